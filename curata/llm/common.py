@@ -117,5 +117,8 @@ def document_tokens(docs: DataFrame, carry: list[str], name: str = "byte_bpe_50k
     return map_batches(docs.select(*carry, "text"), schema, ("text",), make)
 
 
-#: Code blocks (also unclosed), inline code, formulas and boxes: no prose.
-NOT_PROSE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\boxed\{[^\n]*|\\[a-zA-Z]+|</?[a-zA-Z][^>\n]*>|https?://\S+", re.S)
+#: Code blocks (also unclosed), inline code, formulas, boxes, tags and addresses: no prose. Never runs past the sign 29 between two texts.
+NOT_PROSE = re.compile(
+    r"```[^\x1d]*?(?:```|(?=\x1d)|\Z)|`[^`\n\x1d]*`|\$\$[^$\x1d]*\$\$|\$[^$\n\x1d]*\$|\\\[[^\x1d]*?\\\]|\\\([^\x1d]*?\\\)"
+    r"|\\boxed\{[^{}\n\x1d]*(?:\{[^{}\n\x1d]*\}[^{}\n\x1d]*)*\}?|\\[a-zA-Z]+|</?[a-zA-Z][^<>\n\x1d]*>|https?://\S+"
+)
