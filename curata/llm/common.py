@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def chunks(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[pa.RecordBatch,
     n = batch.num_rows
     if not n:
         return
-    size = sum((np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(x)), 0)).astype(np.int64) for x in names), np.zeros(n, np.int64))
+    size = sum((np.asarray(pc.fill_null(pc.binary_length(batch.column(x)), 0)).astype(np.int64) for x in names), np.zeros(n, np.int64))
     cut = np.concatenate([[0], np.cumsum(size + 16)]) // CHUNK_CHARS
     starts = np.concatenate([[0], np.flatnonzero(np.diff(cut[:-1])) + 1, [n]])
     for a, b in zip(starts[:-1], starts[1:]):
