@@ -12,10 +12,11 @@ text; NULL records are all equal; rows with a NULL key are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.plans.lineage import cut
 from curata.plans.skew import dictionary_join, hot_limit
 
 #: Buckets of the numbering: ranks are taken within one, and with 65,536 a bucket of 10^10 values has 150,000.
@@ -72,25 +73,27 @@ def dictionary(records: DataFrame) -> DataFrame:
     values = values.withColumn("hc", value_hash(F.col("c"))).drop("c")
     numbered = values.select("field", "hc").distinct().withColumn("bucket", F.pmod(F.xxhash64("field", "hc"), F.lit(BUCKETS)))
     # rank within the bucket: the numbers are dense there and the same in every run
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("field", "hc"))
     numbered = numbered.select("field", "hc", (F.col("bucket") * F.lit(1 << 40) + rank).alias("n"))
     return values.join(numbered, ["field", "hc"]).select("field", "h", "freq", "n")
 
 
 def encoded(records: DataFrame, id_col: str) -> DataFrame:
-    """(``id_col``, code): the record as its sorted field-value tuple of integers."""
-    entries = dictionary(records)
-    pairs = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("field"), value_hash(F.col(name)).alias("h")) for k, name in enumerate(FIELDS)))
-    cells = records.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.field", "p.h")
-    cells = dictionary_join(cells, entries, ["field", "h"], "freq", hot_limit(records.count()))
+    """(``id_col``, code): the record as its sorted field-value tuple of integers.
+
+    The texts are read twice, for the dictionary and for the records' hashes; both are written down compactly.
+    """
+    entries = cut(dictionary(records))
+    hashed = cut(records.select(id_col, *(value_hash(F.col(name)).alias(name) for name in FIELDS)))
+    pairs = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("field"), F.col(name).alias("h")) for k, name in enumerate(FIELDS)))
+    cells = hashed.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.field", "p.h")
+    cells = dictionary_join(cells, entries, ["field", "h"], "freq", hot_limit(hashed.count()))
     return cells.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("field", "n"))).alias("code")).select(id_col, F.transform("code", lambda x: x["n"]).alias("code"))
 
 
 def groups(raw: DataFrame, id_col: str, record_col: str) -> tuple[DataFrame, DataFrame]:
     """Encoded records, and (code, keep, n) of each group of copies; n = 1 where a record has none."""
-    codes = encoded(parsed(raw, id_col, record_col), id_col)
+    codes = cut(encoded(parsed(raw, id_col, record_col), id_col))
     return codes, codes.groupBy("code").agg(F.min(id_col).alias("keep"), F.count("*").alias("n"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import budget, copies, language, leak, mixture, packing, pairs, repeats, toxic
+from curata.llm.common import source_key
+from curata.plans.lineage import cut
 from curata.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +70,6 @@ def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def _repeats(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "audit_pool", "pool_idx", "output", "source")
-    from curata.llm.common import source_key
-
     return repeats.verdicts(df.withColumn("source", source_key(F.col("source"))), "pool_idx", "output", "source")
 
 
@@ -86,15 +86,18 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p4_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """Sources with their raw and shrunk rates of repetitive outputs."""
     df = table(spark, folder, "audit_pool", "pool_idx", "output", "source")
-    from curata.llm.common import source_key
+    return repeats.host_rates(cut(repeats.text_rule(df.withColumn("source", source_key(F.col("source"))), "pool_idx", "output", "source")))
+
 
-    return repeats.host_rates(repeats.text_rule(df.withColumn("source", source_key(F.col("source"))), "pool_idx", "output", "source"))
+def p5_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each row's prompt and output, with the keys of the budget."""
+    df = table(spark, folder, "audit_pool", "pool_idx", "source", "lang", "domain", "prompt", "output")
+    return budget.counted(df, "pool_idx", ("prompt", "output"))
 
 
 def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of prompts and outputs by source, language and domain."""
-    df = table(spark, folder, "audit_pool", "pool_idx", "source", "lang", "domain", "prompt", "output")
-    return budget.totals(budget.counted(df, "pool_idx", ("prompt", "output")))
+    return budget.totals(p5_tokens(spark, folder))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,6 +146,6 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxic.rates(_toxic(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p1_clean, p2_found, p2_groups, p3_found, p3_languages, p3_segments, p4_found, p4_shares, p4_hosts, p5_budget, p6_found, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p1_clean, p2_found, p2_groups, p3_found, p3_languages, p3_segments, p4_found, p4_shares, p4_hosts, p5_tokens, p5_budget, p6_found, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 #: Queries that SQL can state. The others are held against brute force, exact round trips and held-out rows in the tests.
 ORACLE: dict[str, str] = {}

@@ -98,15 +98,18 @@ def text_rule(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 
 
 def host_rates(rules: DataFrame) -> DataFrame:
-    """(host, n, n_failed, rate, shrunk_rate, bad_host) with an empirical beta prior over all hosts."""
+    """(host, n, n_failed, rate, shrunk_rate, bad_host) with an empirical beta prior over all hosts.
+
+    ``rules`` is used more than once; cut it first.
+    """
     hosts = rules.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("fails").cast("bigint")).alias("n_failed")).withColumn("rate", F.col("n_failed") / F.col("n"))
     # moments of the hosts' rates, weighted by rows; a + b = m (1 - m) / v - 1
     prior = hosts.agg((F.sum("n_failed") / F.sum("n")).alias("m"), F.sum(F.col("n") * F.col("rate") * F.col("rate")).alias("s"), F.sum("n").alias("w"))
     prior = prior.withColumn("v", F.greatest(F.col("s") / F.col("w") - F.col("m") * F.col("m"), F.lit(1e-9)))
-    prior = prior.select("m", F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)).alias("strength"))
-    shrunk = (F.col("n_failed") + F.col("strength") * F.col("m")) / (F.col("n") + F.col("strength"))
-    # one row of prior
-    return hosts.join(F.broadcast(prior)).select("host", "n", "n_failed", "rate", shrunk.alias("shrunk_rate"), (shrunk >= BAD_HOST * F.col("m")).alias("bad_host"))
+    one = prior.select("m", F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)).alias("strength")).first()
+    m, strength = one.m or 0.0, one.strength or 1.0
+    shrunk = (F.col("n_failed") + F.lit(strength * m)) / (F.col("n") + F.lit(strength))
+    return hosts.select("host", "n", "n_failed", "rate", shrunk.alias("shrunk_rate"), (shrunk >= F.lit(BAD_HOST * m)).alias("bad_host"))
 
 
 def verdicts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
