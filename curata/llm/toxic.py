@@ -29,14 +29,16 @@ from curata.llm.toxic_seeds import sentences
 
 KINDS = ("abuse", "hate", "sexual")
 #: Bound of the reviewed documents of the sample, by verdict, and of the unreviewed ones (taken as mostly harmless).
-LABELLED_DOCS, BACKGROUND_DOCS = 1000, 1000
+LABELLED_DOCS, BACKGROUND_DOCS = 1500, 1000
 ORDERS, BITS = (1, 2, 3, 4, 5), 18
 #: Steps of the fit, smoothing of the ratios, penalty.
-STEPS, SMOOTH, PENALTY = 40, 0.5, 2e-4
+STEPS, SMOOTH, PENALTY = 30, 0.5, 2e-4
 #: A sentence is of a kind from this probability.
-THRESHOLD = 0.25
+THRESHOLD = 0.2
+#: Scores below this are 0.
+LEAST = 0.02
 #: Fits, each with the examples of the one before. Bound of the harmless sentences of a fit.
-ROUNDS, MAX_HARMLESS = 4, 5000
+ROUNDS, MAX_HARMLESS = 4, 6000
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 #: Single letters set off by one sign each: s-p-a-c-e-d, s p a c e d.
@@ -48,29 +50,48 @@ _MASK = re.compile(r"(?<=[^\W\d_])[.*_#·•](?=[^\W\d_])")
 _MIXED = re.compile(r"(?<![^\W_])(?=[а-яіѕј]*[a-z])(?=[a-z]*[а-яіѕј])[a-zа-яіѕј]+")
 _LOOKALIKE = str.maketrans("аеорсухкмтвніѕј", "aeopcyxkmtbhisj")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_SPLIT = re.compile(r"[.!?。！？;；\n\r]+|\[/?[a-z]+[^\]\n]*\]|```|</?[a-z]+[^<>\n]*>")
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_SPLIT = re.compile(r"(?<![^\W\d_])\.+|\.+(?![^\W\d_])|[!?。！？;；\n\r]+|\[/?[a-z]+[^\]\n]*\]|```|</?[a-z]+[^<>\n]*>")
+#: Numbers by themselves or before a single letter; any number.
+_NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?=[^\W\d_]?(?![^\W_]))")
+_TITLE = re.compile(r"(?<![^\W_])[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+(?![^\W_])")
+_DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _SPACE = re.compile(r"[^\S\x1c-\x1f\n]+")
-_VARIABLE = re.compile(r"(?<![^\W_])[b-hj-z](?![^\W_])(?! [b-hj-z](?![^\W_]))")
 
 
-def undisguised(joined: str) -> str:
-    """Lower case without invisible signs, spacing inside words, digits for letters and stretched letters."""
+def rough(joined: str) -> str:
+    """Lower case without invisible signs; numbers that aren't part of a word as 0."""
     t = _INVISIBLE.sub("", joined)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t)
-    t = t.lower()
-    t = _MIXED.sub(lambda m: m.group().translate(_LOOKALIKE), t)
+    return _NUMBER.sub("0", t.lower())
+
+
+def undisguised(sentence: str) -> str:
+    """A rough sentence with look-alikes, spacing inside words, digits for letters and stretched letters undone."""
+    t = rough(sentence)
+    if not t.isascii():
+        t = _MIXED.sub(lambda m: m.group().translate(_LOOKALIKE), t)
     t = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), t)
     t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), t)
     t = _STRETCHED.sub(r"\1", _MASK.sub("*", t))
-    return _SPACE.sub(" ", _NUMBER.sub("0", t))
+    return _SPACE.sub(" ", _DIGITS.sub("0", t)).strip(" -*#>:,'\"()")
+
+
+def rough_units(texts: list[str | None]) -> list[list[str]]:
+    """The rough sentences of each text. A full stop inside a word is a hidden letter, not an end."""
+    joined = rough("\x1d".join((t or "").replace("\x1d", " ") for t in texts))
+    return [_SPLIT.split(t) for t in joined.split("\x1d")]
 
 
 def units(texts: list[str | None]) -> list[list[str]]:
     """The undisguised sentences of each text."""
-    joined = undisguised("\x1d".join((t or "").replace("\x1d", " ") for t in texts))
-    return [[u for u in (x.strip(" -*#>:,'\"()") for x in _SPLIT.split(t)) if len(u) > 1] for t in joined.split("\x1d")]
+    return [[x for u in us if len(x := undisguised(u)) > 1] for us in rough_units(texts)]
+
+
+def framed(text: str) -> dict[str, str]:
+    """The undisguised sentences of a text, each with its frame: the sentence without capitalised words (names)."""
+    t = _DIGITS.sub("0", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
+    return {x: undisguised(_TITLE.sub("§", u)) for u in _SPLIT.split(t) if len(x := undisguised(u)) > 1}
 
 
 def masks(sentences_: list[str]) -> dict[str, str]:
@@ -108,10 +129,11 @@ class Model:
 def fit(texts: list[str], kind: np.ndarray, weight: np.ndarray) -> Model:
     """``kind``: number of the kind, -1 for none; ``weight`` of each text."""
     row, feature = grams([f" {t} " for t in texts], ORDERS, BITS, True)
+    count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+    often = np.bincount(feature, minlength=1 << BITS) > 1  # an n-gram of one text says nothing about others
+    row, feature = row[often[feature]], feature[often[feature]]
     used, local = np.unique(feature, return_inverse=True)
-    start = np.searchsorted(row, np.arange(len(texts)))
     table, bias = np.zeros((1 << BITS, len(KINDS)), np.float32), np.zeros(len(KINDS))
-    count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
     for k in range(len(KINDS)):
         y = (kind == k).astype(float)
         if not y.any():
@@ -127,8 +149,7 @@ def fit(texts: list[str], kind: np.ndarray, weight: np.ndarray) -> Model:
         balance = balance / balance.sum()
         g2, gb2 = np.full(len(used), 1e-8), 1e-8
         for _ in range(STEPS):
-            z = np.add.reduceat(x * w[local], start) if len(x) else np.zeros(len(texts))
-            z = np.where(np.bincount(row, minlength=len(texts)) > 0, z, 0) + b
+            z = np.bincount(row, x * w[local], len(texts)) + b
             d = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
             g = np.bincount(local, x * d[row], len(used)) + PENALTY * (w - 0.3) / len(used) ** 0.5
             g2 += g * g
@@ -149,8 +170,14 @@ def learn(reviewed: list[tuple[str, bool]], background: list[str]) -> Model:
     """
     seeds = [(undisguised(s), KINDS.index(k) if k else -1) for s, k in sentences()]
     kinds = fit([s for s, _ in seeds], np.array([k for _, k in seeds]), np.ones(len(seeds)))
-    split = [(sorted(set(us)), t) for us, (_, t) in zip(units([x for x, _ in reviewed]), reviewed)]
-    other = sorted({u for us in units(background) for u in us})
+    own, new = [framed(x) for x, _ in reviewed], [framed(x) for x in background]
+    frame = {u: f for d in (*own, *new) for u, f in d.items()}
+    split = [(sorted(d), t) for d, (_, t) in zip(own, reviewed)]
+    other = sorted({u for d in new for u in d})
+    places_of: dict[str, int] = {}  # documents of a frame
+    for d in [*new, *(d for d, (_, t) in zip(own, reviewed) if not t)]:
+        for f in set(d.values()):
+            places_of[f] = places_of.get(f, 0) + 1
     base = max(sum(t for _, t in split), 1) / max(len(split), 1)
     halves = []
     for half in (0, 1):
@@ -171,19 +198,38 @@ def learn(reviewed: list[tuple[str, bool]], background: list[str]) -> Model:
         against += evidence(us, by).tolist()
     pool_of, hidden, examples, model = np.array(pool, object), masks([s for s, k in seeds if k >= 0]), [], kinds
     against = np.array(against)
-    order = np.array([int(hashlib.md5(u.encode()).hexdigest()[:8], 16) for u in pool]).argsort() if pool else np.zeros(0, int)
+    # sentences that occur often are judged by their own reviews too
+    tally: dict[str, list[int]] = {}
+    for d, (_, t) in zip(own, reviewed):
+        for f in set(d.values()):
+            tally.setdefault(f, [0, 0])[t] += 1
+    if len(pool):
+        neutral = max(base, float(np.quantile(against, 0.8)))  # few sentences are abusive
+        against = np.array([min(x, neutral / 3) if (c := tally.get(frame[u])) and c[0] >= 2 and (c[1] + 0.5) / (c[0] + 0.5) < 4 * base / max(1 - base, 1e-9) else x for u, x in zip(pool, against)])
+    else:
+        neutral = base
+    # half of the harmless ones by the documents they are in, half by a hash
+    chance = [int(hashlib.md5(u.encode()).hexdigest()[:8], 16) for u in pool]
+    often = np.lexsort((chance, [-places_of.get(frame[u], 0) for u in pool])) if pool else np.zeros(0, int)
+    mixed = np.argsort(chance)
     logit = lambda x: np.log(np.clip(x, 1e-4, 1 - 1e-4) / (1 - np.clip(x, 1e-4, 1 - 1e-4)))
+    # cleared by review: in several unmarked documents, and in marked ones not much more often than any sentence
+    odds = base / max(1 - base, 1e-9)
+    cleared = np.array([bool((c := tally.get(frame[u])) and c[0] >= 2 and (c[1] + 0.5) / (c[0] + 0.5) < 4 * odds) for u in pool], bool)
     for step in range(ROUNDS):
+        p, k = model.probabilities(pool), kinds.probabilities(pool)
         if step and len(pool):
-            p, k = model.probabilities(pool), kinds.probabilities(pool)
-            likely = (p.max(1) > 0.15) & (logit(p.max(1)) + np.clip(logit(against) - logit(base), -2.0, 2.0) > 0)
+            likely = ~cleared & (p.max(1) > 0.1) & (logit(p.max(1)) + np.clip(logit(against) - logit(neutral), -2.0, 2.0) > 0)
             examples = [(u, int(x)) for u, x in zip(pool_of[likely], (k[likely] + p[likely]).argmax(1))]
             hidden = masks([s for s, k in seeds if k >= 0] + [u for u, _ in examples])
-            calm = (against < 2 * base) & ~likely | (p.max(1) < 0.02)
+            # what looks abusive is harmless only if reviews say so
+            calm = cleared | ((against < neutral) & (p.max(1) < 0.1)) | (p.max(1) < 0.02)
         else:
-            calm = against < 2 * base
-        harmless = list(pool_of[[i for i in order if calm[i]][:MAX_HARMLESS]]) if len(pool) else []
-        rows = [(s, k, 1.0) for s, k in seeds] + [(s, k, 2.0) for s, k in examples] + [(s, -1, 1.0) for s in harmless]
+            calm = cleared | (p.max(1) < 0.5)
+        half = [i for i in often if calm[i]][: MAX_HARMLESS // 2] if len(pool) else []
+        rest = [i for i in mixed if calm[i]][: MAX_HARMLESS // 2] if step else []
+        harmless = [(pool[i], -1, min(places_of.get(frame[pool[i]], 1), 50) ** 0.5) for i in dict.fromkeys([*half, *rest])]
+        rows = [(s, k, 1.0) for s, k in seeds] + [(s, k, 2.0) for s, k in examples] + harmless
         model = fit([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
         model.hidden = hidden
     return model
@@ -217,14 +263,23 @@ class Scorer:
         self.model, self.keep, self.known = model, keep, {}
 
     def texts(self, texts: list[str | None]) -> list[tuple[float, ...]]:
-        split = units(texts)
-        new = list({u for us in split for u in us} - self.known.keys())
+        split = rough_units(texts)
+        new = {u for us in split for u in us} - self.known.keys()
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
-            new = list({u for us in split for u in us})
-        self.known.update(zip(new, map(tuple, self.model.probabilities(new).tolist())))
+            new = {u for us in split for u in us}
+        new = list(new)
+        clear = [undisguised(u) for u in new]
+        at = {u: k for k, u in enumerate(dict.fromkeys(clear))}
+        p = self.model.probabilities(list(at))
         zero = (0.0,) * len(KINDS)
-        return [tuple(map(max, zip(zero, *map(self.known.__getitem__, us)))) for us in split]
+        some = [tuple(x) if max(x) >= LEAST else None for x in p.tolist()]
+        self.known.update((u, some[at[c]] if len(c) > 1 else None) for u, c in zip(new, clear))
+        out = []
+        for us in split:
+            found = [x for x in map(self.known.__getitem__, us) if x is not None]
+            out.append(tuple(map(max, zip(*found))) if found else zero)
+        return out
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
