@@ -11,15 +11,16 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normal form; NULL stays NULL."""
     return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def tail_ratio(s: pd.Series) -> pd.Series:
     """Compressed over plain size of the last 4000 UTF-8 bytes, to four places; 1 for an empty text, NULL for NULL."""
 
@@ -65,7 +66,7 @@ def bleu4(pred: list, ref: list) -> float:
     return math.exp(total) * (1 if len(pred) > len(ref) else math.exp(1 - len(ref) / len(pred)))
 
 
-@F.pandas_udf("struct<bleu4:double,rouge1:double,rouge2:double,rougel:double>")
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("bleu4", "rouge1", "rouge2", "rougel")]))
 def similarity(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """Character BLEU-4 and word ROUGE F scores in per cent; an empty or NULL side scores 0."""
     rows = []
@@ -82,7 +83,7 @@ def similarity(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 
 # Words that only style an answer, and signs with an equal spelling.
-DROPPED = ("\\left", "\\right", "\\!", "\\,", "\;", "\\ ", "^\\circ", "^{\\circ}", "\\$", "$", "\\%", "%", "\\mathrm", "\\displaystyle")
+DROPPED = ("\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "^\\circ", "^{\\circ}", "\\$", "$", "\\%", "%", "\\mathrm", "\\displaystyle")
 EQUAL_SIGNS = {"\\tfrac": "\\frac", "\\dfrac": "\\frac", "\\neq": "\\ne", "\\leq": "\\le", "\\geq": "\\ge", "\\pi": "pi", "\\infty": "inf", "∞": "inf", "π": "pi", "−": "-"}
 UNITS = "degrees? cm mm km meters? metres? inches feet ft miles hours? minutes? seconds? days? weeks? years? dollars? cents? units? points? square cubic".split()
 _TEXT = re.compile(r"\\(?:text|mbox|mathrm|textbf)\s*\{([^{}]*)\}")
@@ -235,12 +236,12 @@ def same_answer(pred: str | None, gold: str | None, depth: int = 0) -> bool:
     return False
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_answer(s: pd.Series) -> pd.Series:
     return s.map(canonical)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def answers_equal(pred: pd.Series, gold: pd.Series) -> pd.Series:
     memo: dict = {}
     return pd.Series([memo[k] if (k := (p, g)) in memo else memo.setdefault(k, same_answer(p, g)) for p, g in zip(pred, gold)], dtype=bool)

@@ -16,10 +16,11 @@ def contamination(docs: DataFrame, doc_id: str, text_words: Column, items: DataF
     repeated passages can lift a score above 1. ``pos`` is the first hit. The item side is one exploded table of
     grams; whether it is broadcast is left to its size.
     """
-    grams = items.select(F.col(item_id).alias("item"), F.explode(F.array_distinct(shingle(item_words, n))).alias("gram"))
+    # words in a projection of their own: a lambda would evaluate them for each gram
+    grams = items.select(F.col(item_id).alias("item"), item_words.alias("w")).select("item", F.explode(F.array_distinct(shingle(F.col("w"), n))).alias("gram"))
     size = grams.groupBy("item").agg(F.count("*").alias("n_grams"))
     rare = grams.groupBy("gram").agg(F.count("*").alias("k"), F.collect_list("item").alias("owners")).where(F.col("k") <= most_items).select("gram", "owners")
-    probes = docs.select(F.col(doc_id).alias("doc"), F.posexplode(shingle(text_words, n)).alias("pos", "gram"))
+    probes = docs.select(F.col(doc_id).alias("doc"), text_words.alias("w")).select("doc", F.posexplode(shingle(F.col("w"), n)).alias("pos", "gram"))
     hits = probes.join(rare, "gram").select("doc", "pos", F.explode("owners").alias("item"))
     got = hits.groupBy("doc", "item").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
     return got.join(size, "item").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.round(F.col("hits") / F.col("n_grams"), 3).alias("score"), "pos")
@@ -53,10 +54,32 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(seeded_key(F.col(key), seed=seed), key).limit(n)
 
 
+def rank_by_buckets(df: DataFrame, groups: Sequence[str], bucket: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the place (from 1) in the group's total order (bucket..., order...), without gathering a group.
+
+    The place is the number of rows in the group's earlier buckets plus the rank inside the bucket, so a task sees a
+    bucket only, however many rows a group has. NULL groups are groups.
+    """
+    b = [f"__b{k}" for k in range(len(bucket))]
+    d = df.withColumns(dict(zip(b, bucket)))
+    counts = d.groupBy(*groups, *b).agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*groups).orderBy(*b).rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*groups, *b]
+    offsets = counts.select(*(F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)), F.coalesce(earlier, F.lit(0)).alias("__before"))
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__o{i}")) for i, k in enumerate(keys)))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return d.join(offsets, on).withColumn(name, inside + F.col("__before")).drop(*b, "__before", *(f"__o{i}" for i in range(len(keys))))
+
+
+def seeded_rank(df: DataFrame, groups: Sequence[str], key: str, seed: int, name: str) -> DataFrame:
+    """Add ``name``: the place of each row in its group's seeded order."""
+    h = seeded_key(F.col(key), seed=seed)
+    return rank_by_buckets(df, groups, [F.substring(h, 1, 3)], [h, F.col(key)], name)
+
+
 def water_fill(df: DataFrame, group: str, key: str, total: int, seed: int) -> DataFrame:
     """A sample of ``total`` rows with max-min fair quotas by group: the k-th rows of all groups before any k+1-th."""
-    w = Window.partitionBy(group).orderBy(seeded_key(F.col(key), seed=seed), key)
-    return df.withColumn("quota_rank", F.row_number().over(w)).orderBy("quota_rank", group).limit(total)
+    return seeded_rank(df, [group], key, seed, "quota_rank").orderBy("quota_rank", group).limit(total)
 
 
 def oversample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -82,9 +105,8 @@ def interleave(df: DataFrame, source: str, key: str, weights: dict[str, int], se
 
     ``turn`` is the round and ``slot`` the place in it, so the order is (turn, slot) and needs no global counter.
     """
-    w = Window.partitionBy(source).orderBy(seeded_key(F.col(key), seed=seed), key)
     weight = F.coalesce(*(F.when(F.col(source) == k, F.lit(v)) for k, v in weights.items()))
-    ranked = df.where(F.col(source).isin(list(weights))).withColumn("__r", F.row_number().over(w) - 1)
+    ranked = seeded_rank(df.where(F.col(source).isin(list(weights))), [source], key, seed, "__r").withColumn("__r", F.col("__r") - 1)
     sizes = {r[source]: r["n"] for r in ranked.groupBy(source).agg(F.count("*").alias("n")).collect()}
     turns = [-(-sizes.get(k, 0) // v) if stop == "all" else sizes.get(k, 0) // v for k, v in weights.items()]
     last = (max if stop == "all" else min)(turns, default=0)
@@ -92,7 +114,7 @@ def interleave(df: DataFrame, source: str, key: str, weights: dict[str, int], se
         size = F.coalesce(*(F.when(F.col(source) == k, F.lit(sizes.get(k, 0))) for k in weights))
         copies = F.ceil((last * weight - F.col("__r")) / size).cast("int")
         ranked = ranked.where(copies > 0).withColumn("__c", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("__r", F.col("__r") + F.col("__c") * size).drop("__c")
-    return ranked.withColumn("turn", F.floor(F.col("__r") / weight)).withColumn("slot", F.col("__r") % weight).where(F.col("turn") < last).drop("__r")
+    return ranked.withColumn("turn", F.floor(F.col("__r") / weight)).withColumn("slot", (F.col("__r") % weight).cast("int")).where(F.col("turn") < last).drop("__r")
 
 
 def tiers(cases: Sequence[tuple[Column, int]], otherwise: int = -1) -> Column:
