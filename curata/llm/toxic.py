@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,10 +31,12 @@ from curata.llm.toxic_seeds import sentences
 
 KINDS = ("abuse", "hate", "sexual")
 #: Bound of the reviewed documents of the sample, by verdict, and of the unreviewed ones (taken as mostly harmless).
-LABELLED_DOCS, BACKGROUND_DOCS = 1500, 1000
+LABELLED_DOCS, BACKGROUND_DOCS = 1000, 1000
 ORDERS, BITS = (1, 2, 3, 4, 5), 18
 #: Steps of the fit, smoothing of the ratios, penalty.
 STEPS, SMOOTH, PENALTY = 30, 0.5, 2e-4
+#: Least absolute log-count ratio of an n-gram that counts.
+LEAST_RATIO = 0.3
 #: A sentence is of a kind from this probability.
 THRESHOLD = 0.2
 #: Scores below this are 0.
@@ -67,8 +71,12 @@ def rough(joined: str) -> str:
 
 
 def undisguised(sentence: str) -> str:
+    """A sentence, roughened first, with all disguises undone."""
+    return cleared_up(rough(sentence))
+
+
+def cleared_up(t: str) -> str:
     """A rough sentence with look-alikes, spacing inside words, digits for letters and stretched letters undone."""
-    t = rough(sentence)
     if not t.isascii():
         t = _MIXED.sub(lambda m: m.group().translate(_LOOKALIKE), t)
     t = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), t)
@@ -85,13 +93,16 @@ def rough_units(texts: list[str | None]) -> list[list[str]]:
 
 def units(texts: list[str | None]) -> list[list[str]]:
     """The undisguised sentences of each text."""
-    return [[x for u in us if len(x := undisguised(u)) > 1] for us in rough_units(texts)]
+    return [[x for u in us if len(x := cleared_up(u)) > 1] for us in rough_units(texts)]
+
+
+_kept = lru_cache(200_000)(undisguised)
 
 
 def framed(text: str) -> dict[str, str]:
     """The undisguised sentences of a text, each with its frame: the sentence without capitalised words (names)."""
-    t = _DIGITS.sub("0", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
-    return {x: undisguised(_TITLE.sub("§", u)) for u in _SPLIT.split(t) if len(x := undisguised(u)) > 1}
+    t = _NUMBER.sub("0", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
+    return {x: _kept(_TITLE.sub("§", u)) for u in _SPLIT.split(t) if len(x := _kept(u)) > 1}
 
 
 def masks(sentences_: list[str]) -> dict[str, str]:
@@ -132,7 +143,8 @@ def fit(texts: list[str], kind: np.ndarray, weight: np.ndarray) -> Model:
     count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
     often = np.bincount(feature, minlength=1 << BITS) > 1  # an n-gram of one text says nothing about others
     row, feature = row[often[feature]], feature[often[feature]]
-    used, local = np.unique(feature, return_inverse=True)
+    used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS))
+    local = np.searchsorted(used, feature)
     table, bias = np.zeros((1 << BITS, len(KINDS)), np.float32), np.zeros(len(KINDS))
     for k in range(len(KINDS)):
         y = (kind == k).astype(float)
@@ -143,20 +155,23 @@ def fit(texts: list[str], kind: np.ndarray, weight: np.ndarray) -> Model:
         neg = np.bincount(local, ((1 - y) * weight)[row], len(used)) + SMOOTH
         # log-count ratio of shares
         ratio = np.log((pos / ((y * weight).sum() + 2 * SMOOTH)) / (neg / (((1 - y) * weight).sum() + 2 * SMOOTH)))
-        x = ratio[local] / np.sqrt(count)[row]
+        # n-grams about as frequent in both say nothing
+        tells = np.flatnonzero(np.abs(ratio[local]) >= LEAST_RATIO)
+        at, own = row[tells], local[tells]
+        x = ratio[own] / np.sqrt(count)[at]
         w, b = np.full(len(used), 0.3), -1.0
         balance = weight * np.where(y > 0, ((1 - y) * weight).sum() / max((y * weight).sum(), 1e-9), 1.0) ** 0.5
         balance = balance / balance.sum()
         g2, gb2 = np.full(len(used), 1e-8), 1e-8
         for _ in range(STEPS):
-            z = np.bincount(row, x * w[local], len(texts)) + b
+            z = np.bincount(at, x * w[own], len(texts)) + b
             d = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            g = np.bincount(local, x * d[row], len(used)) + PENALTY * (w - 0.3) / len(used) ** 0.5
+            g = np.bincount(own, x * d[at], len(used)) + PENALTY * (w - 0.3) / len(used) ** 0.5
             g2 += g * g
             gb2 += d.sum() ** 2
             w -= 0.15 * g / np.sqrt(g2)
             b -= 0.5 * d.sum() / np.sqrt(gb2)
-        table[used, k] = w * ratio
+        table[used, k] = np.where(np.abs(ratio) >= LEAST_RATIO, w * ratio, 0)
         bias[k] = b
     return Model(table, bias)
 
@@ -181,8 +196,8 @@ def learn(reviewed: list[tuple[str, bool]], background: list[str]) -> Model:
     base = max(sum(t for _, t in split), 1) / max(len(split), 1)
     halves = []
     for half in (0, 1):
-        places = [(u, t) for k, (us, t) in enumerate(split) if k % 2 == half for u in us]
-        halves.append(fit([u for u, _ in places], np.array([-1 + t for _, t in places]), np.ones(len(places))) if any(t for _, t in places) else None)
+        places = Counter((u, t) for k, (us, t) in enumerate(split) if k % 2 == half for u in us)
+        halves.append(fit([u for u, _ in places], np.array([-1 + t for _, t in places]), np.array([float(n) for n in places.values()])) if any(t for _, t in places) else None)
 
     def evidence(us: list[str], by: list[int]) -> np.ndarray:
         p = [halves[h].probabilities(us)[:, 0] for h in by if halves[h] is not None]
@@ -269,7 +284,7 @@ class Scorer:
             self.known.clear()
             new = {u for us in split for u in us}
         new = list(new)
-        clear = [undisguised(u) for u in new]
+        clear = [cleared_up(u) for u in new]
         at = {u: k for k, u in enumerate(dict.fromkeys(clear))}
         p = self.model.probabilities(list(at))
         zero = (0.0,) * len(KINDS)
