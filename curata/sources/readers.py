@@ -130,7 +130,7 @@ def transcript_turns(df: DataFrame, key: str, text: str, speaker: str = "[A-Z][a
     """(key, turn, speaker, content): turns of ``Name: words`` transcripts, a name starting a line."""
     parts = F.filter(F.split(F.col(text), f"(?m)(?=^{speaker}: )"), lambda x: x.rlike(f"^{speaker}: "))
     t = df.select(key, F.posexplode(parts).alias("turn", "x"))
-    return t.select(key, "turn", F.substring_index("x", ": ", 1).alias("speaker"), F.trim(F.regexp_replace("x", f"^{speaker}: ", "")).alias("content"))
+    return t.select(key, "turn", F.substring_index("x", ": ", 1).alias("speaker"), F.regexp_replace(F.regexp_replace("x", f"^{speaker}: ", ""), "^\\s+|\\s+$", "").alias("content"))
 
 
 def alternating(values: F.Column) -> F.Column:
