@@ -2,8 +2,8 @@
 
 The mix is as large as the scarcest source allows (its tokens times its repeats, over its share). Blocks of equal
 size go to the sources by highest quotients, and a source's blocks to its shards likewise, by their tokens: an
-integer quota for each shard. A shard takes its documents in seeded order, in whole passes and a last part of one,
-until its quota is met. Shards split every source, so none is gathered anywhere.
+integer quota for each shard. A shard takes its documents in whole passes, and in a last part of one those
+that still fit its quota, in seeded order. Shards split every source, so none is gathered anywhere.
 
 Cases: sources are compared in one spelling; documents without tokens, without a source or of a source without
 target aren't in the mix; a target without documents gets no blocks, and the report shows it; no document is used
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def quotas(targets: list[tuple[str, float, int]], supply: dict[str, dict[int, in
     live = [(s, w, r) for s, w, r in targets if have[s] > 0 and w > 0 and r > 0]
     if not live:
         return []
-    total = min(have[s] * r / w for s, w, r in live)
+    every = sum(w for _, w, _ in live)
+    total = min(have[s] * r * every / w for s, w, r in live)
     blocks = int(total / BLOCK)
     out = []
     for (s, _, r), n in zip(live, sainte_lague([w for _, w, _ in live], blocks)):
@@ -76,8 +78,10 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 42, name: str = "byte
     goals = _targets(targets)
     keyed = docs.select("doc_id", source_key(F.col("source")).alias("source"), "text").where(F.col("source").isin([s for s, _, _ in goals]))
     sized = cut(document_tokens(keyed, ["doc_id", "source"], name, folder)).where("tokens > 0")
-    shards = min(MAX_SHARDS, max(8, -(-docs.count() // SHARD_DOCS)))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    # shards by the source's own size: a small source in many shards would meet its quotas badly
+    shards = {r.source: min(MAX_SHARDS, -(-r["count"] // SHARD_DOCS)) for r in sized.groupBy("source").count().collect()}
+    parts = F.coalesce(*(F.when(F.col("source") == s, F.lit(n)) for s, n in shards.items()), F.lit(1))
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
     supply: dict[str, dict[int, int]] = {}
     for r in sized.groupBy("source", "shard").agg(F.sum("tokens").alias("t")).collect():  # at most targets x MAX_SHARDS rows
         supply.setdefault(r.source, {})[r.shard] = r.t
@@ -85,12 +89,24 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 42, name: str = "byte
     repeats = {s: r for s, _, r in goals}
     rows = [(s, k, q * BLOCK // t, q * BLOCK - q * BLOCK // t * t, repeats[s]) for s, k, t, q in plan]
     quota = spark.createDataFrame(rows, "source string, shard int, passes bigint, rest bigint, most int")
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = sized.join(F.broadcast(quota), ["source", "shard"]).withColumn("upto", F.sum("tokens").over(order))
-    # the last pass stops at the document that holds the quota's end, if half of it or more is wanted
-    last = (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).cast("bigint")
-    copies = F.least(F.col("passes") + last, F.col("most").cast("bigint"))
-    return chosen.select("source", "doc_id", copies.alias("copies"), "tokens").where("copies > 0")
+    chosen = sized.join(F.broadcast(quota), ["source", "shard"]).withColumn("at", F.xxhash64("doc_id", F.lit(seed)))
+
+    def take(shard: pd.DataFrame) -> pd.DataFrame:
+        """Whole passes for all; of the last pass, in seeded order, the documents that still fit."""
+        shard = shard.sort_values(["at", "doc_id"], kind="stable")
+        rest, most = int(shard["rest"].iloc[0]), int(shard["most"].iloc[0])
+        copies = [int(shard["passes"].iloc[0])] * len(shard)
+        for k, n in enumerate(shard["tokens"].tolist()):
+            if n <= rest and copies[k] < most:
+                rest -= n
+                copies[k] += 1
+                if not rest:
+                    break
+        return shard.assign(copies=copies)[["source", "doc_id", "copies", "tokens"]]
+
+    # a shard holds a bounded part of its source, three numbers a document
+    mix = chosen.groupBy("source", "shard").applyInPandas(take, "source string, doc_id bigint, copies bigint, tokens bigint")
+    return mix.where("copies > 0")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
