@@ -189,3 +189,27 @@ def extract_calls(dialect: str):
         return s.map(lambda t: None if t is None or (c := d.read(t)) is None else json.dumps(c, ensure_ascii=False))
 
     return run
+
+
+def placeholder_count(messages: Column, sign: str = "<image>") -> Column:
+    """How often a media sign stands in the turns; it must equal the number of media given."""
+    return F.aggregate(F.transform(messages, lambda m: F.regexp_count(m["content"], F.lit(re.escape(sign)))), F.lit(0), lambda a, x: a + x)
+
+
+def frame_places(frames: Column, seconds: Column, fps: float, most: int) -> Column:
+    """Evenly spaced frames of a clip: as many as ``fps`` asks for, at most ``most``, at least one."""
+    n = F.greatest(F.least(F.floor(seconds * fps), F.lit(most), frames), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(n == 1, F.lit(0)).otherwise(F.floor(i * (frames - 1) / F.greatest(n - 1, F.lit(1)))).cast("int"))
+
+
+def jinja(t: Template) -> str:
+    """A template as Jinja text."""
+    put = lambda p: p.replace("{{content}}", "' + content + '").replace("\n", "\\n")
+    lines = [
+        "{% if messages[0]['role'] == 'system' %}{% set system = messages[0]['content'] %}{% set loop_messages = messages[1:] %}{% else %}{% set system = '" + t.default_system + "' %}{% set loop_messages = messages %}{% endif %}",
+        "{% if system %}{% set content = system %}{{ '" + put(t.prefix + t.system) + "' }}{% endif %}",
+        "{% for message in loop_messages %}{% set content = message['content'] %}",
+        "{% if message['role'] == 'user' %}{{ '" + put(t.user) + "' }}{% elif message['role'] == 'assistant' %}{{ '" + put(t.assistant) + "' }}{% endif %}",
+        "{% endfor %}",
+    ]
+    return "".join(lines)

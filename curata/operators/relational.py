@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,67 @@ def composition(df: DataFrame, group: str, length: str, distinct: str) -> DataFr
     return size.withColumn("k", F.lit(1)).join(spread.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+@dataclass(frozen=True)
+class Selection:
+    """How a training subset is selected: difficulty band, deduplication order, quotas, size."""
+
+    low: float = 0.0
+    high: float = 1.0
+    drop_noise: bool = True
+    quotas: bool = False
+    hardest: bool = False
+    total: int = 15_000
+    seed: int = 42
+
+    def __post_init__(self):
+        if not 0 <= self.low <= self.high <= 1 or self.total < 1:
+            raise ValueError("the band must lie in 0..1 and the size be positive")
+
+
+#: Named selections; a caller may make others.
+PRESETS = {
+    "filter_only": Selection(drop_noise=False),
+    "filter_difficulty": Selection(0.25, 0.75),
+    "full_method": Selection(0.25, 0.75, quotas=True),
+    "hardest_only": Selection(0.0, 0.25, hardest=True),
+}
+
+
+def select(rows: DataFrame, how: Selection, key: str = "pool_idx", prompt: str = "prompt_hash", group: str = "cluster_id") -> DataFrame:
+    """A subset of quality rows with scores: band, noise rule, one row a prompt, then quotas, hardness or chance decides.
+
+    Rows without a pass rate are outside every band narrower than 0..1.
+    """
+    d = rows
+    if (how.low, how.high) != (0.0, 1.0):
+        d = d.where(F.col("pass_rate").between(how.low - 1e-9, how.high + 1e-9))
+    if how.drop_noise:
+        noise = (F.col("pass_rate") == 0) & F.col("r1_agreement").isNotNull() & ~F.coalesce("r1_in_majority", F.lit(False))
+        d = d.where(~F.coalesce(noise, F.lit(False)))
+    d = best_per_key(d.where(F.col(prompt).isNotNull()), [prompt], [F.col("r1_in_majority").desc_nulls_last(), seeded_key(F.col(key), seed=how.seed), F.col(key)])
+    if how.quotas:
+        return water_fill(d.where(F.col(group) >= 0), group, key, how.total, how.seed).drop("quota_rank")
+    if how.hardest:
+        return d.orderBy(F.col("pass_rate").asc_nulls_last(), seeded_key(F.col(key), seed=how.seed), key).limit(how.total)
+    return uniform_sample(d, key, how.total, how.seed)
+
+
+def few_shot(questions: DataFrame, q_key: str, pool: DataFrame, p_key: str, group: str, n: int, seed: int) -> DataFrame:
+    """(q_key, p_key, shot): n examples of each group of a small pool for every question of the group, the same for all.
+
+    The examples are ranked once a group; questions join n rows each.
+    """
+    ranked = seeded_rank(pool, [group], p_key, seed, "shot").where(F.col("shot") <= n).select(group, p_key, "shot")
+    return questions.select(q_key, group).join(ranked, group).select(q_key, p_key, "shot")
+
+
+def verdict_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Rows whose verdict differs between two gradings, or that only one has."""
+    a = before.select(*keys, F.col(column).alias("before"))
+    b = after.select(*keys, F.col(column).alias("after"))
+    return a.join(b, list(keys), "full").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """Unbiased pass@k from n samples of which c are right: 1 - C(n-c, k) / C(n, k)."""
     miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda a, i: a * (n - c - i) / (n - i))

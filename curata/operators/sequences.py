@@ -153,3 +153,21 @@ def shifted_pairs(df: DataFrame, batch: str, order: str, response: str) -> DataF
     w = Window.partitionBy(batch).orderBy(order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn("mismatched", F.coalesce(F.lag(response).over(w), F.last(response).over(whole)))
+
+
+def encode_preference(prompt: Column, chosen: Column, rejected: Column, cutoff: int) -> Column:
+    """(chosen_ids, chosen_labels, rejected_ids, rejected_labels): one prompt, the budget by the longer response."""
+    s, t = length_budget(F.size(prompt), F.greatest(F.size(chosen), F.size(rejected)), cutoff)
+    p, a, b = F.slice(prompt, F.lit(1), s), F.slice(chosen, F.lit(1), t), F.slice(rejected, F.lit(1), t)
+    blank = F.transform(p, lambda _: F.lit(IGNORE))
+    return F.struct(F.concat(p, a).alias("chosen_ids"), F.concat(blank, a).alias("chosen_labels"), F.concat(p, b).alias("rejected_ids"), F.concat(blank, b).alias("rejected_labels"))
+
+
+def encode_rated(prompt: Column, response: Column, mismatched: Column, cutoff: int) -> Column:
+    """(input_ids, labels, kl_ids, kl_labels): a rated response, and the mismatched one of the same batch, each in its own budget."""
+    parts = []
+    for name, ids in (("input", response), ("kl", mismatched)):
+        s, t = length_budget(F.size(prompt), F.size(ids), cutoff)
+        p, a = F.slice(prompt, F.lit(1), s), F.slice(ids, F.lit(1), t)
+        parts += [F.concat(p, a).alias(f"{name}_ids"), F.concat(F.transform(p, lambda _: F.lit(IGNORE)), a).alias("labels" if name == "input" else "kl_labels")]
+    return F.struct(*parts)

@@ -204,3 +204,60 @@ def test_llm_is_optional():
             for node in ast.walk(ast.parse(open(path).read())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), path
+
+
+@pytest.mark.parametrize("a,want", [("x = 3.0", "3"), ("100,000", "100000"), ("\\frac12", "\\frac{1}{2}"), ("\\sqrt2", "\\sqrt{2}"), ("\\text{yes}", "yes"), ("$5$ dollars", "5"), ("\\boxed{7}", "7"), ("B", "b"), ("12\\%", "12"), (None, None), ("", "")])
+def test_final_answer(spark, a, want):
+    from curata.functions import answers
+
+    assert one(spark, answers.final_answer(F.lit(a).cast("string"))) == want
+
+
+def test_formats_and_sets(spark):
+    from curata.functions import answers
+
+    assert one(spark, answers.sets_as_matrices(F.lit(" {1,2} "))) == "\\begin{pmatrix}1\\2\\end{pmatrix}"
+    assert one(spark, answers.sets_as_matrices(F.lit("none"))) == ""
+    assert one(spark, answers.formatted("cot", F.lit("q"), [("a", "b")])) == "Question: a\nAnswer: b\n\n\nQuestion: q\nAnswer:"
+    assert one(spark, answers.formatted("qwen25-math-cot", F.lit("q"), [("a", "b")])).count("<|im_start|>user") == 1
+    assert all("{input}" in f[0] for f in answers.FORMATS.values())
+
+
+def test_measures(spark):
+    from curata.functions import metrics as M
+
+    assert one(spark, M.letter_of(F.lit([0.1, 0.9, 0.9]))) == "B"
+    assert abs(sum(one(spark, M.softmax(F.lit([1.0, 2.0, 3.0])))) - 1) < 1e-12
+    x = one(spark, M.sequence_logp(F.lit([-1.0, -2.0, -4.0]), F.lit([-100, 5, -100, 6])))
+    assert (x.total, x.n) == (-5.0, 2)
+    assert one(spark, M.perplexity(F.lit([0.0]), F.lit([1, -100]))) is None
+    assert one(spark, M.tokens_per_second(F.lit(10), F.lit(2), F.lit(0))) is None
+
+
+def test_preference_encoding(spark):
+    e = one(spark, S.encode_preference(F.lit([1, 2, 3]), F.lit([4]), F.lit([5, 6]), 100))
+    assert e.chosen_ids == [1, 2, 3, 4] and e.rejected_labels == [-100] * 3 + [5, 6]
+    r = one(spark, S.encode_rated(F.lit([1]), F.lit([2]), F.lit([3, 4]), 10))
+    assert r.input_ids == [1, 2] and r.kl_labels == [-100, 3, 4]
+
+
+def test_selection_presets(spark):
+    rows = spark.createDataFrame([(k, f"h{k % 40}", (k % 5) / 4, None if k % 3 else 0.5, k % 2 == 0, k % 4 - 1) for k in range(120)], "pool_idx bigint, prompt_hash string, pass_rate double, r1_agreement double, r1_in_majority boolean, cluster_id int")
+    for how in R.PRESETS.values():
+        got = R.select(rows, how).collect()
+        assert got and len({r.prompt_hash for r in got}) == len(got)
+        assert all(how.low <= r.pass_rate <= how.high for r in got)
+    with pytest.raises(ValueError):
+        R.Selection(0.7, 0.2)
+    assert R.verdict_changes(rows.select("pool_idx", F.lit(True).alias("v")), rows.select("pool_idx", F.lit(None).cast("boolean").alias("v")), ["pool_idx"], "v").count() == 120
+
+
+def test_media_and_export(spark):
+    m = F.array(D.turn("user", F.lit("<image> and <image>")), D.turn("assistant", F.lit("ok")))
+    assert one(spark, D.placeholder_count(m)) == 2
+    assert one(spark, D.frame_places(F.lit(100), F.lit(10.0), 1.0, 4)) == [0, 33, 66, 99]
+    assert one(spark, D.frame_places(F.lit(1), F.lit(0.1), 1.0, 4)) == [0]
+    text = D.jinja(D.TEMPLATES["chatml"])
+    assert text.count("{%") == text.count("%}") and "<|im_start|>user" in text
+    with pytest.raises(ValueError):
+        D.register("plain", D.Template())
