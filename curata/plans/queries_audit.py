@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curata.functions import text as T
 from curata.operators import relational as R
 from curata.plans.registry import query
+from curata.plans.spread import spread
 from curata.sources import table
 
 _TOK = f"regexp_extract_all(lower(%s), '{T.TOKEN}')"
@@ -25,7 +26,7 @@ _CONTAM = f"""WITH q AS (SELECT id, {_TOK % 'problem'} AS w FROM amc), qg AS (SE
 
 
 def _scored(spark, folder) -> DataFrame:
-    items, docs = table(spark, folder, "amc", "id", "problem"), table(spark, folder, "audit_pool", "pool_idx", "output").where("output IS NOT NULL")
+    items, docs = table(spark, folder, "amc", "id", "problem"), spread(table(spark, folder, "audit_pool", "pool_idx", "output").where("output IS NOT NULL"))
     return R.contamination(docs, "pool_idx", T.tokens(F.col("output")), items, "id", T.tokens(F.col("problem")), T.shingles)
 
 
