@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.plans.spread import spread
+
 #: The languages of the corpus.
 LANGS = ("en", "zh", "fr", "de", "es", "pt", "ru")
 #: The folder of the public tokenizer files, unless a caller names another.
@@ -64,7 +66,7 @@ def map_batches(df: DataFrame, schema: str, texts: tuple[str, ...], make: Callab
                 if out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
