@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import dialogue as D
 from curata.operators import sequences as S
+from curata.operators import tools
 from curata.plans.registry import query
 from curata.sources import readers, table
 from curata.streaming import streams
@@ -165,7 +166,7 @@ def tool_calls(spark, folder):
     """Tool calls found in texts; every third test item's text is wrapped as a call, the others are ordinary content."""
     a = table(spark, folder, "amc", "id", "url")
     call = F.concat(F.lit('<tool_call>\n{"name": "open", "arguments": {"url": "'), "url", F.lit('"}}\n</tool_call>'))
-    return a.select("id", D.extract_calls("tags")(F.when(F.col("id") % 3 == 0, call).otherwise(F.col("url"))).alias("calls"))
+    return a.select("id", tools.extract_calls("qwen")(F.when(F.col("id") % 3 == 0, call).otherwise(F.col("url"))).alias("calls"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+: ')) AS INTEGER) AS turns FROM documents WHERE text IS NOT NULL")

@@ -10,6 +10,7 @@ from curata.functions import udfs as U
 from curata.operators import dialogue as D
 from curata.operators import relational as R
 from curata.operators import sequences as S
+from curata.operators import tools
 from curata.plans.skew import dictionary_join, hot_limit
 from curata.sources import readers
 
@@ -70,12 +71,29 @@ def test_alignment_and_templates(spark):
     assert one(spark, D.preference(F.lit("r"), F.lit(False))) == ["", "r"]
 
 
-def test_tools():
-    call = [{"name": "tool_name", "arguments": {"foo": "bar", "size": 10}}]
-    for d in D.DIALECTS.values():
-        assert d.read(d.write(call)) == call
-        assert d.read("plain words") is None
-    assert D.DIALECTS["tags"].read("<tool_call>\n{broken}\n</tool_call>") is None
+CALLS = [("tool_name", {"foo": "bar", "size": 10})]
+
+
+@pytest.mark.parametrize("name", sorted(tools.DIALECTS))
+def test_tools(spark, name):
+    d = tools.DIALECTS[name]
+    assert d.read(d.write(CALLS)) == CALLS
+    assert d.read("plain words") is None and d.read("") is None
+    if name != "glm4":
+        assert d.read(d.write(CALLS * 2)) == CALLS * 2
+    df = spark.createDataFrame([(d.write(CALLS),), ("plain words",), (None,)], "t string")
+    got = [r.c for r in df.select(tools.extract_calls(name)("t").alias("c")).collect()]
+    assert got[0][0].name == "tool_name" and json.loads(got[0][0].arguments) == CALLS[0][1] and got[1:] == [None, None]
+    call = json.dumps({"name": "tool_name", "arguments": CALLS[0][1]})
+    assert df.limit(1).select(tools.write_calls(name)(F.lit(call)).alias("c")).first().c == d.write(CALLS)
+
+
+def test_tool_texts():
+    assert tools.DIALECTS["default"].write(CALLS) == 'Action: tool_name\nAction Input: {"foo": "bar", "size": 10}'
+    assert tools.DIALECTS["glm4"].write(CALLS) == 'tool_name\n{"foo": "bar", "size": 10}'
+    assert tools.DIALECTS["qwen"].read("<tool_call>\n{broken}\n</tool_call>") is None
+    assert tools.DIALECTS["qwen"].read('<tool_call>{"name": "a", "arguments": {"x": "</tool_call>"}}</tool_call>') == [("a", {"x": "</tool_call>"})]
+    assert tools.described([{"name": "a"}, {"type": "function", "function": {"name": "b"}}], True) == "a, b"
 
 
 @pytest.mark.parametrize("text,want", [("so \\boxed{\\frac{1}{2}}.", "\\frac{1}{2}"), ("\\boxed{1} and \\boxed{2}", "2"), ("\\boxed{1", "1"), ("none", ""), ("", ""), (None, None), ("x \\boxed{ {a}{b} } y", " {a}{b} ")])
