@@ -66,16 +66,21 @@ def value_hash(col: Column) -> Column:
 
 
 def dictionary(records: DataFrame) -> DataFrame:
-    """(field, h, freq, n): each distinct raw value of each field with its number and its frequency."""
+    """(field, h, freq, n): each distinct raw value of each field with its number and its frequency.
+
+    Canonical values of very many raw forms (upper and lower case, spacings) are one key of the second join; it has
+    as many rows as there are distinct raw values, and adaptive skew handling splits such a key.
+    """
     pairs = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("field"), F.col(name).alias("v")) for k, name in enumerate(FIELDS)))
     values = records.select(F.explode(pairs).alias("p")).select("p.*").groupBy("field", "v").agg(F.count("*").alias("freq"))
     values = values.select("field", value_hash(F.col("v")).alias("h"), canonical(F.col("v")).alias("c"), "freq")
-    values = values.withColumn("hc", value_hash(F.col("c"))).drop("c")
+    # written down: else the numbering below would canonicalise again, and each record's value at that
+    values = cut(values.withColumn("hc", value_hash(F.col("c"))).drop("c"))
     numbered = values.select("field", "hc").distinct().withColumn("bucket", F.pmod(F.xxhash64("field", "hc"), F.lit(BUCKETS)))
     # rank within the bucket: the numbers are dense there and the same in every run
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("field", "hc"))
     numbered = numbered.select("field", "hc", (F.col("bucket") * F.lit(1 << 40) + rank).alias("n"))
-    return values.join(numbered, ["field", "hc"]).select("field", "h", "freq", "n")
+    return cut(values.join(numbered, ["field", "hc"]).select("field", "h", "freq", "n"))
 
 
 def encoded(records: DataFrame, id_col: str) -> DataFrame:
@@ -83,7 +88,7 @@ def encoded(records: DataFrame, id_col: str) -> DataFrame:
 
     The texts are read twice, for the dictionary and for the records' hashes; both are written down compactly.
     """
-    entries = cut(dictionary(records))
+    entries = dictionary(records)
     hashed = cut(records.select(id_col, *(value_hash(F.col(name)).alias(name) for name in FIELDS)))
     pairs = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("field"), F.col(name).alias("h")) for k, name in enumerate(FIELDS)))
     cells = hashed.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.field", "p.h")
