@@ -102,6 +102,21 @@ register("labelled", Template(user="Human: {{content}}\nAssistant:", assistant="
 register("fused", Template(user="[INST] {{content}} [/INST]", assistant=" {{content}} </s>", system="<<SYS>>\n{{content}}\n<</SYS>>\n\n", system_in_user=True))
 
 
+# Chat formats of public models, as their model cards give them.
+register("alpaca", Template(user="### Instruction:\n{{content}}\n\n### Response:\n", assistant="{{content}}\n\n", system="{{content}}\n\n", default_system="Below is an instruction that describes a task. Write a response that appropriately completes the request."))
+register("vicuna", Template(user="USER: {{content}} ASSISTANT:", assistant="{{content}}</s>", system="{{content}} ", default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."))
+register("llama2", Template(user="<s>[INST] {{content}} [/INST]", assistant=" {{content}} </s>", system="<<SYS>>\n{{content}}\n<</SYS>>\n\n", system_in_user=True))
+register("llama3", Template(prefix="<|begin_of_text|>", user="<|start_header_id|>user<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", assistant="{{content}}<|eot_id|>", system="<|start_header_id|>system<|end_header_id|>\n\n{{content}}<|eot_id|>", observation="<|start_header_id|>ipython<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", stop=("<|eot_id|>", "<|eom_id|>")))
+register("mistral", Template(prefix="<s>", user="[INST] {{content}}[/INST]", assistant=" {{content}}</s>", system="{{content}}\n\n", observation="[TOOL_RESULTS] {\"content\": {{content}}}[/TOOL_RESULTS]", system_in_user=True))
+register("gemma", Template(prefix="<bos>", user="<start_of_turn>user\n{{content}}<end_of_turn>\n<start_of_turn>model\n", assistant="{{content}}<end_of_turn>\n", system="{{content}}\n\n", system_in_user=True, stop=("<end_of_turn>",)))
+register("phi", Template(user="<|user|>\n{{content}}<|end|>\n<|assistant|>\n", assistant="{{content}}<|end|>\n", system="<|system|>\n{{content}}<|end|>\n", stop=("<|end|>",)))
+register("zephyr", Template(user="<|user|>\n{{content}}</s>\n<|assistant|>\n", assistant="{{content}}</s>\n", system="<|system|>\n{{content}}</s>\n"))
+register("deepseek", Template(prefix="<｜begin▁of▁sentence｜>", user="User: {{content}}\n\nAssistant:", assistant=" {{content}}<｜end▁of▁sentence｜>", system="{{content}}\n\n"))
+register("glm4", Template(prefix="[gMASK]<sop>", user="<|user|>\n{{content}}<|assistant|>", assistant="\n{{content}}", system="<|system|>\n{{content}}", observation="<|observation|>\n{{content}}<|assistant|>", stop=("<|user|>", "<|observation|>")))
+register("falcon", Template(user="User: {{content}}\nFalcon:", assistant="{{content}}\n", system="{{content}}\n"))
+register("openchat", Template(prefix="<s>", user="GPT4 Correct User: {{content}}<|end_of_turn|>GPT4 Correct Assistant:", assistant="{{content}}<|end_of_turn|>", system="{{content}}", stop=("<|end_of_turn|>",)))
+
+
 def slot(pattern: str, content: Column) -> Column:
     """A pattern with its place filled, compiled to a concatenation."""
     before, _, after = pattern.partition("{{content}}")

@@ -140,6 +140,31 @@ def alternating(values: F.Column) -> F.Column:
     return F.when(F.size(values) >= 2, turns)
 
 
+def preference_transcripts(df: DataFrame, key: str, chosen: str, rejected: str, human: str = "\n\nHuman: ", assistant: str = "\n\nAssistant: ") -> DataFrame:
+    """(key, instruction, chosen, rejected, history): two transcripts that differ in their last answer, taken apart.
+
+    The last answers are what follows the last assistant mark; the instruction is the human turn before it, and
+    earlier pairs are the history. Rows without both marks are left out.
+    """
+    last = F.substring_index(F.col(chosen), assistant, -1)
+    before = F.expr(f"substring(`{chosen}`, 1, length(`{chosen}`) - length(substring_index(`{chosen}`, '{assistant.encode('unicode_escape').decode()}', -1)) - {len(assistant)})")
+    turns = F.filter(F.split(before, human.encode("unicode_escape").decode()), lambda x: F.trim(x) != "")
+    pair = lambda t: F.array(F.trim(F.substring_index(t, assistant, 1)), F.trim(F.substring_index(t, assistant, -1)))
+    history = F.transform(F.slice(turns, F.lit(1), F.greatest(F.size(turns) - 1, F.lit(0))), pair)
+    d = df.where(F.contains(chosen, F.lit(assistant)) & F.contains(rejected, F.lit(assistant)))
+    return d.select(key, F.trim(F.element_at(turns, -1)).alias("instruction"), F.trim(last).alias("chosen"), F.trim(F.substring_index(F.col(rejected), assistant, -1)).alias("rejected"), history.alias("history"))
+
+
+def benchmark_sample(parts: list[DataFrame], key: str, n: int, seed: int) -> DataFrame:
+    """Sub-tasks of a benchmark as one table, without rows of several answers, at most n rows in seeded order."""
+    from curata.operators.relational import uniform_sample, unions
+
+    d = unions(parts)
+    if "answer" in d.columns:
+        d = d.where(~F.coalesce(F.contains(F.col("answer").cast("string"), F.lit(";")), F.lit(False)))
+    return uniform_sample(d, key, n, seed)
+
+
 def page(df: DataFrame, order: str, index: int, size: int = 2) -> DataFrame:
     """One page of a table in a total order."""
     return df.orderBy(order).offset(index * size).limit(size)

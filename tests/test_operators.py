@@ -279,3 +279,21 @@ def test_media_and_export(spark):
     assert text.count("{%") == text.count("%}") and "<|im_start|>user" in text
     with pytest.raises(ValueError):
         D.register("plain", D.Template())
+
+
+@pytest.mark.parametrize("name", sorted(D.TEMPLATES))
+def test_every_template_holds_all_turns(spark, name):
+    msgs = F.array(D.turn("user", F.lit("first question")), D.turn("assistant", F.lit("first answer")), D.turn("user", F.lit("second question")), D.turn("assistant", F.lit("second answer")))
+    pairs = one(spark, D.encoded_pairs(msgs, F.lit("be kind"), D.TEMPLATES[name]))
+    whole = "".join(p.source + p.target for p in pairs)
+    assert len(pairs) == 2 and all(whole.count(x) == 1 for x in ("first question", "first answer", "second question", "second answer", "be kind"))
+    assert whole.index("be kind") < whole.index("first question") < whole.index("first answer") < whole.index("second question")
+
+
+def test_preference_transcripts(spark):
+    a = "\n\nHuman: q1\n\nAssistant: a1\n\nHuman: q2\n\nAssistant: good"
+    df = spark.createDataFrame([(1, a, a.replace("good", "bad")), (2, "x", None)], "id bigint, c string, r string")
+    got = readers.preference_transcripts(df, "id", "c", "r").collect()
+    assert [(r.instruction, r.chosen, r.rejected, r.history) for r in got] == [("q2", "good", "bad", [["q1", "a1"]])]
+    s = readers.benchmark_sample([spark.createDataFrame([(k, "1;2" if k % 2 else "3") for k in range(20)], "id bigint, answer string")] * 2, "id", 7, 1)
+    assert s.count() == 7 and s.where("answer = '3'").count() == 7
