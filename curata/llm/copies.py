@@ -36,6 +36,7 @@ def canonical(col: Column) -> Column:
     """
     c = F.lower(F.translate(col, "０１２３４５６７８９＋＝＊．−‐‑", "0123456789+=*.---"))
     steps = (
+        ("ß", "ss"),  # upper case has two letters for it
         ("[\\u200B-\\u200F\\u2060\\uFEFF\\u00AD]", ""),
         ("\\*\\*+|_", " "),
         ("(?<=\\p{N})\\.(?=\\p{N})", "\u0001"),

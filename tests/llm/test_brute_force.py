@@ -83,7 +83,7 @@ def test_binary_search():
     "a,b,same",
     [
         ("Find  x, if y = 3.", "“find x if Y = 3”", True), ("rows of 12 34", "rows of 1 234", False), ("x = 3.5", "x = 35", False), ("x - 3", "x + 3", False), ("x * 3", "x - 3", False),
-        ("1,234 ok", "1234 ok", False), ("读取24行，每行3个", "读取24行　每行3个", True), ("a well-known fact", "a well known fact", True), ("tracewell_math", "Tracewell-Math", True), (None, "", True), ("...", "", True), ("１２ cats", "12 cats", True), ("5x", "5 x", True),
+        ("1,234 ok", "1234 ok", False), ("读取24行，每行3个", "读取24行　每行3个", True), ("a well-known fact", "a well known fact", True), ("tracewell_math", "Tracewell-Math", True), (None, "", True), ("...", "", True), ("１２ cats", "12 cats", True), ("5x", "5 x", True), ("größte Reihe", "GRÖSSTE REIHE", True), ("x^2", "x2", False), ("a\u200bb", "ab", True),
     ],
 )
 def test_canonical(spark, a, b, same):
