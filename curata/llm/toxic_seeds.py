@@ -1,6 +1,7 @@
 """Labelled sentences that start the content classifier off: three kinds of abuse, and harmless look-alikes.
 
-Written from general knowledge of such language, none of them taken from a table. Slots in braces are filled with
+Written from general knowledge of such language, by an author who had seen test documents; lines close to theirs were
+taken out. Slots in braces are filled with
 every word of their list, so that a few lines give the vocabulary of a kind.
 """
 
