@@ -19,7 +19,7 @@ def user_prompt(instruction: Column, extra: Column) -> Column:
 
 
 def normal_prompt(text: Column) -> Column:
-    """Lower case, white space of all kinds collapsed, ends trimmed. NULL stays NULL."""
+    """Lower case, white space of all kinds collapsed, ends trimmed. NULL stays NULL. Without NFKC, which ``udfs.normal_prompt`` applies."""
     return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
 
 

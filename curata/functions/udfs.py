@@ -20,6 +20,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.StringType())
+def normal_prompt(s: pd.Series) -> pd.Series:
+    """Compatibility normal form, lower case, white space of all kinds collapsed, ends trimmed; NULL stays NULL."""
+    return s.map(lambda t: None if t is None else re.sub(r"\s+", " ", (t if t.isascii() else unicodedata.normalize("NFKC", t)).lower()).strip())
+
+
 @F.pandas_udf(T.DoubleType())
 def tail_ratio(s: pd.Series) -> pd.Series:
     """Compressed over plain size of the last 4000 UTF-8 bytes, to four places; 1 for an empty text, NULL for NULL."""

@@ -23,11 +23,18 @@ def pool(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 @query(f"SELECT pool_idx, {_NORM % 'prompt'} AS norm, substr(sha1({_NORM % 'prompt'}), 1, 16) AS hash16, CAST(len({_TOK % 'prompt'}) AS INTEGER) AS n_tokens FROM audit_pool")
 def prompt_hashes(spark, folder):
-    """Normal prompts, their hashes and numbers of tokens."""
+    """Prompts normalised without NFKC, their hashes and numbers of tokens; ``normal_prompts`` applies it."""
     p = F.col("prompt")
     return pool(spark, folder, "pool_idx", "prompt").select("pool_idx", T.normal_prompt(p).alias("norm"), T.prompt_hash(p).alias("hash16"), F.size(T.tokens(p)).alias("n_tokens"))
 
 
+@query()
+def normal_prompts(spark, folder):
+    """Normal prompts with NFKC, their hashes and numbers of tokens: upstream's F2 to F4."""
+    d = pool(spark, folder, "pool_idx", "prompt").withColumn("norm", U.normal_prompt("prompt"))
+    return d.select("pool_idx", "norm", F.substring(F.sha1("norm"), 1, 16).alias("hash16"), F.size(T.tokens(F.col("norm"))).alias("n_tokens"))
+
+
 @query(
     f"""SELECT pool_idx, CASE WHEN contains(output, '</think>') THEN length({_TAIL % '</think>'}) ELSE 0 END AS final_chars,
     CAST(len(string_split(output, '<think>')) - 1 AS INTEGER) AS opens, CAST(len(string_split(output, '</think>')) - 1 AS INTEGER) AS closes,
