@@ -113,10 +113,12 @@ def max_line_repeat(text: Column, least: int = 30) -> Column:
     return F.coalesce(F.array_max(counts), F.lit(0))
 
 
-def quality_flags(prompt: Column, text: Column, repeats: Column) -> dict[str, Column]:
-    """Upstream's flags: repeated lines, Chinese in answers to prompts without, malformed think tags, any of them."""
+def quality_flags(prompt: Column, text: Column, repeats: Column, looping: Column | None = None) -> dict[str, Column]:
+    """Upstream's flags: repeated lines or (where given) a looping tail, Chinese in answers to prompts without, malformed think tags, any of them."""
     opens, closes = occurrences(text, "<think>"), occurrences(text, "</think>")
     repetition = F.coalesce(repeats >= 25, F.lit(False))
+    if looping is not None:
+        repetition = repetition | F.coalesce(looping, F.lit(False))
     mix = F.coalesce((count_matches(prompt, CJK) == 0) & (count_matches(text, CJK) >= 20), F.lit(False))
     malformed = F.coalesce((opens != 1) | (closes > 1), F.lit(True))
     return {"flag_repetition": repetition, "flag_lang_mix": mix, "flag_malformed": malformed, "flagged": repetition | mix | malformed}

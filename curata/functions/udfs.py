@@ -39,6 +39,25 @@ def tail_ratio(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(T.StructType([T.StructField("tail_zlib_ratio", T.DoubleType()), T.StructField("max_line_repeat", T.IntegerType()), T.StructField("looping", T.BooleanType())]))
+def repetition(s: pd.Series) -> pd.DataFrame:
+    """The tail's ratio to four places, the count of the most frequent line of 30 characters, and whether the tail alone shows a loop.
+
+    A tail of at least 2000 bytes loops below a ratio of 0.10, before rounding. Lines are trimmed of all white space. NULL gives NULL.
+    """
+
+    def one(t):
+        if t is None:
+            return None, None, None
+        b = t.encode("utf-8", "ignore")[-4000:]
+        ratio = len(zlib.compress(b)) / max(1, len(b))
+        lines = Counter(x for line in t.split("\n") if len(x := line.strip()) >= 30)
+        return round(ratio, 4), max(lines.values(), default=0), len(b) >= 2000 and ratio < 0.10
+
+    d = pd.DataFrame([one(t) for t in s], columns=["tail_zlib_ratio", "max_line_repeat", "looping"])
+    return d.astype({"max_line_repeat": "Int32", "looping": "boolean"})
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit vectors: one big integer operation for each element of b."""
     where: dict = {}

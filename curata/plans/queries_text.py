@@ -101,11 +101,19 @@ _REPEAT = f"CAST(coalesce(list_max(list_transform(list_distinct({_LINES}), lambd
     SELECT *, flag_repetition OR flag_lang_mix OR flag_malformed AS flagged FROM f"""
 )
 def quality_flags(spark, folder):
-    """Upstream's quality flags, recomputed."""
+    """Upstream's quality flags without the compression of the tail; ``audit_flags`` has it."""
     df = pool(spark, folder, "pool_idx", "prompt", "output").withColumn("max_line_repeat", T.max_line_repeat(F.col("output")))
     return df.select("pool_idx", "max_line_repeat", *(c.alias(k) for k, c in T.quality_flags(F.col("prompt"), F.col("output"), F.col("max_line_repeat")).items()))
 
 
+@query()
+def audit_flags(spark, folder):
+    """Upstream's quality flags, recomputed: repetition by repeated lines or by the compression of the tail."""
+    df = pool(spark, folder, "pool_idx", "prompt", "output").withColumn("r", U.repetition("output"))
+    flags = T.quality_flags(F.col("prompt"), F.col("output"), F.col("r.max_line_repeat"), F.col("r.looping"))
+    return df.select("pool_idx", "r.tail_zlib_ratio", "r.max_line_repeat", *(c.alias(k) for k, c in flags.items()))
+
+
 @query()
 def tail_ratios(spark, folder):
     """Compressibility of the outputs' ends."""

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import unicodedata
+import zlib
 
 from curata.plans import catalog
 
@@ -24,3 +25,22 @@ def test_normal_prompts(spark, tmp_path):
         assert r.hash16 == (None if t is None else hashlib.sha1(norm.encode()).hexdigest()[:16])
     by = {r.pool_idx: r.hash16 for r in got}
     assert by[0] == by[1] and by[2] == by[3]
+
+
+def test_audit_flags(spark, tmp_path):
+    """Loops in one long line and in short lines count; short tails, varied texts and 24 equal lines don't."""
+    varied = "".join(chr(97 + int(c, 16)) for k in range(60) for c in hashlib.sha1(str(k).encode()).hexdigest())
+    line = "this line has more than thirty characters"
+    spread = "\n".join(f"{line}\t\n{varied[k * 60 : k * 60 + 100]}" for k in range(26))
+    texts = ["<think>" + "go on " * 500 + "</think>", "<think>" + "again\n" * 500, "<think>" + "go on " * 300, "<think>" + varied, "<think>" + f"{line}\n" * 24, "<think>" + spread, "", None]
+    table = [(k, "p", t) for k, t in enumerate(texts)]
+    got = {r.pool_idx: r for r in rows(spark, tmp_path, "audit_flags", {"audit_pool": (table, "pool_idx bigint, prompt string, output string")})}
+    assert [got[k].flag_repetition for k in range(8)] == [True, True, False, False, False, True, False, False]
+    for k, t in enumerate(texts[:-1]):
+        b = t.encode()[-4000:]
+        lines = [x.strip() for x in t.split("\n") if len(x.strip()) >= 30]
+        ratio, most = len(zlib.compress(b)) / max(1, len(b)), max(map(lines.count, lines), default=0)
+        assert got[k].tail_zlib_ratio == round(ratio, 4) and got[k].max_line_repeat == most
+        assert got[k].flag_repetition == (len(b) >= 2000 and ratio < 0.10 or most >= 25)
+        assert got[k].flagged == (got[k].flag_repetition or got[k].flag_malformed)
+    assert got[7].tail_zlib_ratio is None and got[7].flagged
