@@ -6,9 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.functions.udfs import answers_equal, canonical_answer
+from curata.plans.lineage import cut
+
 
 def contamination(docs: DataFrame, doc_id: str, text_words: Column, items: DataFrame, item_id: str, item_words: Column, shingle, n: int = 8, most_items: int = 5) -> DataFrame:
     """(doc_id, item_id, score, pos): for each document and item the share of the item's n-grams found in it.
@@ -220,6 +224,41 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(c == 0, F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(1 - miss)
 
 
+def class_agreement(df: DataFrame, group: str, key: str, answer: str) -> DataFrame:
+    """(key, group, agreement, in_majority) of the rows whose group has several: the largest class of equal answers over the group's rows, and whether
+    the row's class is a strict majority.
+
+    Empty and NULL answers equal nothing, each is a class of its own. Equality isn't transitive, classes are its closure; an answer is graded
+    against those of later keys, as gold. Distinct normal forms are graded once a group, and only groups with equal forms of other spelling are gathered.
+    """
+    rows = df.where(F.col(group).isNotNull()).select(key, group, F.when(F.col(answer) != "", F.col(answer)).alias("a"))
+    size = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(size, group).withColumn("form", F.when(F.col("a").isNotNull(), canonical_answer("a")))
+    forms = cut(rows.where("form IS NOT NULL").groupBy(group, "form").agg(F.count("*").alias("c"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("a").alias("a")))
+    x, y = (forms.select(group, *(F.col(c).alias(f"{c}_{side}") for c in ("form", "lo", "hi", "a"))) for side in "xy")
+    pairs = x.join(y, group).where("form_x < form_y").withColumn("xy", answers_equal("a_x", "a_y")).withColumn("yx", answers_equal("a_y", "a_x"))
+    edges = pairs.where("(lo_x < hi_y AND xy) OR (lo_y < hi_x AND yx)").select(group, "form_x", "form_y")
+
+    def components(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def find(v):
+            while parent.setdefault(v, v) != v:
+                v = parent[v]
+            return v
+
+        for u, v in zip(pdf["form_x"], pdf["form_y"]):
+            parent[find(u)] = find(v)
+        return pd.DataFrame({group: pdf[group].iloc[0], "form": list(parent), "root": [find(v) for v in list(parent)]})
+
+    roots = edges.groupBy(group).applyInPandas(components, f"`{group}` string, form string, root string")
+    f = forms.join(roots, [group, "form"], "left").withColumn("root", F.coalesce("root", "form"))
+    f = f.withColumn("size", F.sum("c").over(Window.partitionBy(group, "root")))
+    best = f.groupBy(group).agg(F.max("size").alias("best"))
+    d = rows.join(best, group, "left").join(f.select(group, "form", "size"), [group, "form"], "left")
+    return d.select(key, group, F.round(F.coalesce("best", F.lit(1)) / F.col("n"), 6).alias("agreement"), F.coalesce(F.col("size") * 2 > F.col("n"), F.lit(False)).alias("in_majority"))
+
+
 def bootstrap_gap(scores: DataFrame, bench: str, question: str, a: str, b: str, rounds: int, seed: int) -> DataFrame:
     """(lo, hi, mean): percentiles 2.5 and 97.5 of the macro-averaged gap a - b over resampled questions.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions import text as T
+from curata.functions import udfs as U
 from curata.operators import relational as R
 from curata.plans.registry import query
 from curata.plans.spread import spread
@@ -133,13 +134,21 @@ def sample_measures(spark, folder):
     SELECT rep_pool_idx, max(round(size / n, 6)) AS agreement, bool_or(size * 2 > n AND x NOT LIKE '#%') AS has_majority FROM c GROUP BY rep_pool_idx"""
 )
 def answer_agreement(spark, folder):
-    """Share of the largest class of equal answers, and whether it is a strict majority; empty answers equal nothing."""
+    """Share of the most frequent spelling among sampled answers, and whether it is a strict majority; empty answers equal nothing. Grading: ``prompt_agreement``."""
     g = table(spark, folder, "generations").distinct().where(F.size("answers") > 1)
     a = g.select("rep_pool_idx", F.size("answers").alias("n"), F.posexplode("answers").alias("i", "x"))
     c = a.groupBy("rep_pool_idx", "n", F.when(F.col("x") == "", F.concat(F.lit("#"), "i")).otherwise(F.col("x")).alias("x")).agg(F.count("*").alias("size"))
     return c.groupBy("rep_pool_idx").agg(F.max(F.round(F.col("size") / F.col("n"), 6)).alias("agreement"), F.bool_or((F.col("size") * 2 > F.col("n")) & ~F.col("x").startswith("#")).alias("has_majority"))
 
 
+@query()
+def prompt_agreement(spark, folder):
+    """Agreement of the responses to each prompt that has several, by graded answers; a missing hash is made from the prompt."""
+    p = table(spark, folder, "audit_pool", "pool_idx", "prompt", "prompt_hash", "r1_answer")
+    made = F.substring(F.sha1(U.normal_prompt(F.when(F.col("prompt_hash").isNull(), F.col("prompt")))), 1, 16)
+    return R.class_agreement(spread(p).withColumn("prompt_hash", F.coalesce("prompt_hash", made)), "prompt_hash", "pool_idx", "r1_answer")
+
+
 @query("SELECT a.pool_idx, a.domain, s.pass_rate, s.n_correct, coalesce(s.cluster_id, -1) AS cluster_id FROM audit_pool a LEFT JOIN (SELECT DISTINCT * FROM pool_scores) s USING (pool_idx)")
 def wide_scores(spark, folder):
     """Audit rows with their scores and clusters; -1 where there is none."""

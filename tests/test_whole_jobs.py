@@ -5,6 +5,7 @@ import re
 import unicodedata
 import zlib
 
+from curata.functions import udfs as U
 from curata.plans import catalog
 
 
@@ -44,3 +45,32 @@ def test_audit_flags(spark, tmp_path):
         assert got[k].flag_repetition == (len(b) >= 2000 and ratio < 0.10 or most >= 25)
         assert got[k].flagged == (got[k].flag_repetition or got[k].flag_malformed)
     assert got[7].tail_zlib_ratio is None and got[7].flagged
+
+
+def agreement(answers):
+    """(agreement, in_majority) of answers in the order of their keys, pair by pair."""
+    parent = list(range(len(answers)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i, a in enumerate(answers):
+        for j in range(i + 1, len(answers)):
+            b = answers[j]
+            if find(i) != find(j) and a and b and (U.canonical(a) == U.canonical(b) or U.same_answer(a, b)):
+                parent[find(i)] = find(j)
+    roots = [find(i) for i in range(len(answers))]
+    return [(round(max(map(roots.count, roots)) / len(roots), 6), bool(a) and 2 * roots.count(r) > len(roots)) for a, r in zip(answers, roots)]
+
+
+def test_prompt_agreement(spark, tmp_path):
+    """Other spellings, chains of near numbers, one-way equality, empty and NULL answers, and a hash made from the prompt."""
+    groups = [
+        ["2/4", "20/40", "0.5", "3"], ["", None, ""], ["7", "8"], ["7"], ["\\frac{1}{2}", "", "0.50", None, "1/2"],
+        ["0", "0.00008", "0.00016", "5"], ["ab", "B", "C"], ["B", "ab", "C"], ["$", "%", "1"], ["(1, 2)", "(1,2)", "(2,1)"], ["50\\%", "0.5"],
+    ]
+    table = [(100 * g + k, f"Prompt　{g}", None if k % 2 else hashlib.sha1(f"prompt {g}".encode()).hexdigest()[:16], a) for g, answers in enumerate(groups) for k, a in enumerate(answers)]
+    got = rows(spark, tmp_path, "prompt_agreement", {"audit_pool": (table, "pool_idx bigint, prompt string, prompt_hash string, r1_answer string")})
+    want = {100 * g + k: x for g, answers in enumerate(groups) if len(answers) > 1 for k, x in enumerate(agreement(answers))}
+    assert {r.pool_idx: (r.agreement, r.in_majority) for r in got} == want and len(got) == len(want)
+    assert want[0] == (0.75, True) and want[100] == (0.333333, False) and want[500] == (0.75, True) and want[600] != want[700]
