@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curata.functions import text as T
 from curata.functions import udfs as U
 from curata.operators import relational as R
+from curata.plans.lineage import cut
 from curata.plans.registry import query
 from curata.plans.spread import spread
 from curata.sources import table
@@ -216,12 +217,28 @@ def run_verdicts(spark, folder):
     SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(m), 6) AS mean FROM m"""
 )
 def bootstrap_interval(spark, folder):
-    """Interval of the gap between two runs by paired resampling of questions, 200 rounds."""
+    """Interval of the gap between two runs by resampling of 500 groups of orders a bench, 200 rounds; ``paired_bootstrap`` resamples questions."""
     g = grid(spark, folder).withColumn("q", F.col("question") % 500).withColumn("x", F.col("c") / F.col("n"))
     s = g.groupBy("bench", "q").agg(F.avg(F.when(F.col("run") == "BUILDING", F.col("x"))).alias("a"), F.avg(F.when(F.col("run") == "MACHINERY", F.col("x"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     return R.bootstrap_gap(s, "bench", "q", "a", "b", 200, 7)
 
 
+@query()
+def paired_bootstrap(spark, folder):
+    """Interval of the gap between two runs by paired resampling of all questions, 2000 rounds.
+
+    An order belongs to one run, so the questions are the suppliers, which the runs of a bench share; their lines are the samples.
+    """
+    li = table(spark, folder, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag")
+    samples = li.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("c"))
+    o, c = table(spark, folder, "orders", "o_orderkey", "o_custkey"), table(spark, folder, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    runs = c.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(table(spark, folder, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    d = samples.join(o.join(runs, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
+    part = lambda run, x: F.sum(F.when(F.col("c_mktsegment") == run, F.col(x)))
+    s = d.groupBy(F.col("n_name").alias("bench"), F.col("l_suppkey").alias("question")).agg((part("BUILDING", "c") / part("BUILDING", "n")).alias("a"), (part("MACHINERY", "c") / part("MACHINERY", "n")).alias("b"))
+    return R.bootstrap_gap(cut(s.where("a IS NOT NULL AND b IS NOT NULL")), "bench", "question", "a", "b", 2000, 7)
+
+
 @query(
     f"""SELECT coalesce(bench, 'Average') AS category, count(*) AS questions, round(avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_GRID}) GROUP BY GROUPING SETS ((bench), ())"""
 )

@@ -1,10 +1,13 @@
 """Jobs that SQL doesn't state, as queries on small tables against brute force."""
 
 import hashlib
+import random
 import re
 import unicodedata
 import zlib
 
+import numpy as np
+
 from curata.functions import udfs as U
 from curata.plans import catalog
 
@@ -74,3 +77,26 @@ def test_prompt_agreement(spark, tmp_path):
     want = {100 * g + k: x for g, answers in enumerate(groups) if len(answers) > 1 for k, x in enumerate(agreement(answers))}
     assert {r.pool_idx: (r.agreement, r.in_majority) for r in got} == want and len(got) == len(want)
     assert want[0] == (0.75, True) and want[100] == (0.333333, False) and want[500] == (0.75, True) and want[600] != want[700]
+
+
+def test_paired_bootstrap(spark, tmp_path):
+    """Every supplier both runs have in a nation is a question, in each of 2000 rounds."""
+    rng = random.Random(5)
+    nations, runs = ["FRANCE", "PERU"], ["BUILDING", "MACHINERY", "AUTOMOBILE"]
+    customers = [(k, k % 2, runs[k % 3]) for k in range(12)]
+    orders = [(k, rng.randrange(12)) for k in range(200)]
+    lines = [(o, 500 * rng.randrange(7) + n, rng.choice("RAN")) for o, _ in orders for n in range(2)]
+    tables = {
+        "nation": (list(enumerate(nations)), "n_nationkey bigint, n_name string"), "customer": (customers, "c_custkey bigint, c_nationkey bigint, c_mktsegment string"),
+        "orders": (orders, "o_orderkey bigint, o_custkey bigint"), "lineitem": (lines, "l_orderkey bigint, l_suppkey bigint, l_returnflag string"),
+    }
+    (got,) = rows(spark, tmp_path, "paired_bootstrap", tables)
+    cells = {}
+    for o, supplier, flag in lines:
+        _, nation, run = customers[orders[o][1]]
+        cells.setdefault((nations[nation], supplier), {}).setdefault(run, []).append(flag == "R")
+    gaps = {b: [np.mean(x["BUILDING"]) - np.mean(x["MACHINERY"]) for (n, _), x in sorted(cells.items()) if n == b and {"BUILDING", "MACHINERY"} <= set(x)] for b in nations}
+    assert all(len(g) > 7 for g in gaps.values())  # more than the suppliers' remainders by 500
+    draw = lambda r, b, k: int(hashlib.md5(f"7|{r}|{b}|{k}".encode()).hexdigest()[:8], 16) % len(gaps[b])
+    means = [np.mean([np.mean([gaps[b][draw(r, b, k)] for k in range(len(gaps[b]))]) for b in nations]) for r in range(2000)]
+    assert np.allclose([got.lo, got.hi, got["mean"]], [*np.percentile(means, [2.5, 97.5]), np.mean(means)], atol=2e-6)
