@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,12 @@ def repetition(s: pd.Series) -> pd.DataFrame:
     return d.astype({"max_line_repeat": "Int32", "looping": "boolean"})
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def code_points(s: pd.Series) -> pd.Series:
+    """The code point of each character, as ``sequences.words_as_ids``; NULL stays NULL."""
+    return s.map(lambda t: None if t is None else np.frombuffer(t.encode("utf-32-le"), "<i4"))
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit vectors: one big integer operation for each element of b."""
     where: dict = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,33 @@ def pack_batches(df: DataFrame, key: str, ids: str, capacity: int, batch: int =
     return df.groupBy(F.floor(F.col(key) / batch).alias("batch_id")).applyInPandas(pack, schema)
 
 
+def pack_turns(df: DataFrame, key: str, source: str, target: str, capacity: int, batch: int = 1000) -> DataFrame:
+    """(batch_id, pack_id, n_sequences, tokens, keys, input_ids, labels, position_ids, segment_ids): pairs of texts, cut to the budget and packed.
+
+    Ids are code points; labels stand on the targets only. Batches and packs are those of ``pack_batches``; as each pair is cut to the
+    capacity by ``length_budget`` first, none is dropped.
+    """
+    s, t = length_budget(F.length(source), F.length(target), capacity)
+    d = df.select(key, F.substring(source, F.lit(1), s).alias("s"), F.substring(target, F.lit(1), t).alias("t"))
+
+    def pack(bid: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        sources, targets = ([np.frombuffer(x.encode("utf-32-le"), "<i4") for x in pdf[c]] for c in "st")
+        sizes, keys, rows = [len(a) + len(b) for a, b in zip(sources, targets)], pdf[key].to_numpy(), []
+        for p, members in enumerate(greedy_bins(sizes, capacity)):
+            n = [sizes[k] for k in members]
+            pad = np.zeros(capacity - sum(n), np.int32)
+            ids = np.concatenate([x for k in members for x in (sources[k], targets[k])] + [pad])
+            labels = np.concatenate([x for k in members for x in (np.full(len(sources[k]), IGNORE, np.int32), targets[k])] + [pad + IGNORE])
+            places = np.concatenate([np.arange(x, dtype=np.int32) for x in n] + [pad])
+            segments = np.concatenate([np.repeat(np.arange(1, len(n) + 1, dtype=np.int32), n), pad])
+            rows.append((bid[0], p, len(n), sum(n), keys[members], ids, labels, places, segments))
+        return pd.DataFrame(rows, columns=["batch_id", "pack_id", "n_sequences", "tokens", "keys", "input_ids", "labels", "position_ids", "segment_ids"])
+
+    schema = "batch_id bigint, pack_id int, n_sequences int, tokens int, keys array<bigint>, input_ids array<int>, labels array<int>, position_ids array<int>, segment_ids array<int>"
+    return d.groupBy(F.floor(F.col(key) / batch).alias("batch_id")).applyInPandas(pack, schema)
+
+
 def blocks(df: DataFrame, key: str, ids: str, block: int, end: int, batch: int = 1000) -> DataFrame:
     """(batch_id, block_id, ids): sequences with an end sign joined and cut into equal blocks; a batch's rest is dropped.
 

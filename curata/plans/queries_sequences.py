@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.functions import udfs as U
 from curata.operators import dialogue as D
 from curata.operators import sequences as S
 from curata.operators import tools
 from curata.plans.registry import query
+from curata.plans.spread import spread
 from curata.sources import readers, table
 from curata.streaming import streams
 
@@ -116,6 +118,13 @@ def packed_batches(spark, folder):
     return S.pack_batches(a, "pool_idx", "ids", 64).select("batch_id", "pack_id", "n_sequences", "tokens", "keys")
 
 
+@query()
+def packed_pairs(spark, folder):
+    """Prompts and outputs of the whole pool within a budget of 4096, packed by batches of 1000 keys into sequences of 4096."""
+    a = table(spark, folder, "audit_pool", "pool_idx", "prompt", "output").where("prompt IS NOT NULL AND output IS NOT NULL")
+    return S.pack_turns(a, "pool_idx", "prompt", "output", 4096)
+
+
 @query(
     """WITH s AS (SELECT id, id // 1000 AS b, problem || chr(1) AS t FROM amc WHERE problem IS NOT NULL), j AS (SELECT b, string_agg(t, '' ORDER BY id) AS t FROM s GROUP BY b),
     k AS (SELECT b, t, unnest(range(length(t) // 512)) AS block_id FROM j) SELECT b AS batch_id, CAST(block_id AS BIGINT) AS block_id, list_transform(string_split(substr(t, CAST(block_id * 512 + 1 AS BIGINT), 512), ''), lambda c: unicode(c)) AS ids FROM k"""
@@ -126,6 +135,13 @@ def pretraining_blocks(spark, folder):
     return S.blocks(a, "id", "ids", 512, 1)
 
 
+@query()
+def document_blocks(spark, folder):
+    """All documents joined with an end sign by batches of 1000 keys and cut into blocks of 2048; the rest of a batch is dropped."""
+    d = table(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL")
+    return S.blocks(spread(d).select("doc_id", U.code_points("text").alias("ids")), "doc_id", "ids", 2048, 1)
+
+
 @query(
     "SELECT id, CAST(id // 16 AS BIGINT) AS batch, CAST(length(problem) AS INTEGER) AS n, CAST(ceil(max(length(problem)) OVER (PARTITION BY id // 16) / 8) * 8 AS INTEGER) AS width FROM amc WHERE problem IS NOT NULL"
 )

@@ -100,3 +100,38 @@ def test_paired_bootstrap(spark, tmp_path):
     draw = lambda r, b, k: int(hashlib.md5(f"7|{r}|{b}|{k}".encode()).hexdigest()[:8], 16) % len(gaps[b])
     means = [np.mean([np.mean([gaps[b][draw(r, b, k)] for k in range(len(gaps[b]))]) for b in nations]) for r in range(2000)]
     assert np.allclose([got.lo, got.hi, got["mean"]], [*np.percentile(means, [2.5, 97.5]), np.mean(means)], atol=2e-6)
+
+
+def test_document_blocks(spark, tmp_path):
+    """Several batches, a text of many blocks, a batch too short for one, characters outside the basic plane."""
+    table = [(k, None if k % 11 == 5 else "aé证😀"[: k % 5] * (k % 40)) for k in (*range(0, 3000, 7), 5000)] + [(1501, "long 文😀 " * 3000)]
+    got = {(r.batch_id, r.block_id): r.ids for r in rows(spark, tmp_path, "document_blocks", {"documents": (table, "doc_id bigint, text string")})}
+    want = {}
+    for b in range(6):
+        flat = [c for k, t in sorted(table) if k // 1000 == b and t is not None for c in [*map(ord, t), 1]]
+        want |= {(b, i): flat[2048 * i : 2048 * (i + 1)] for i in range(len(flat) // 2048)}
+    assert got == want and len({b for b, _ in want}) == 3
+
+
+def test_packed_pairs(spark, tmp_path):
+    """Every pair is in one pack, cut to the budget, with labels on the output only; long pairs aren't dropped."""
+    table = [(k, "p😀" * (k % 90), "答o" * (37 * k % 700)) for k in range(900, 1100)] + [(1200, "q" * 5000, "r" * 3000), (1201, "q", "r" * 9000), (1202, None, "x"), (1203, "x", None)]
+    got = rows(spark, tmp_path, "packed_pairs", {"audit_pool": (table, "pool_idx bigint, prompt string, output string")})
+    texts, seen = {k: (p, o) for k, p, o in table}, []
+    for r in got:
+        ids, labels, places, segments = [], [], [], []
+        for j, k in enumerate(r["keys"]):
+            assert k // 1000 == r.batch_id
+            p, o = texts[k]
+            t = 4096 if 2 * len(o) < 4096 else 4096 - len(p) if 2 * len(p) < 4096 else int(4096 * len(o) / (len(p) + len(o)))
+            o = o[:t]
+            p = p[: max(4096 - len(o), 0)]
+            ids += map(ord, p + o)
+            labels += [-100] * len(p) + [*map(ord, o)]
+            places += range(len(p + o))
+            segments += [j + 1] * len(p + o)
+            seen.append(k)
+        pad = 4096 - len(ids)
+        assert pad >= 0 and r.tokens == len(ids) and r.n_sequences == len(r["keys"])
+        assert (r.input_ids, r.labels, r.position_ids, r.segment_ids) == (ids + [0] * pad, labels + [-100] * pad, places + [0] * pad, segments + [0] * pad)
+    assert sorted(seen) == [k for k, p, o in table if p is not None and o is not None]
