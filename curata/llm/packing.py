@@ -1,32 +1,37 @@
 """Problem 7: filling containers of fixed capacity along a space-filling curve.
 
-Each document's pieces are hashed to a vector and projected to three dimensions; the cell of the point on a
-Hilbert curve orders the documents so that neighbours are alike. The curve is cut into stretches of about
-``STRETCH`` documents; cells with more (a third of all documents may be copies) are divided by a hash of the key.
-Within a stretch the largest document goes first, into the fullest container that still takes it.
+Each document's pieces are hashed to a vector and projected to three dimensions; the place of the point on a
+Hilbert curve orders the documents so that neighbours are alike. The documents are range-sorted by that key (equal
+places by document, so a crowd of copies is divided like any other stretch), and each range is packed in one walk
+along the curve: of ``NEIGHBOURS`` documents at a time the largest goes first, into the fullest open container that
+still takes it. At most ``OPEN`` containers stay open, the fullest is closed first, so containers hold neighbours and
+a walk's memory doesn't grow with its range.
 
 Cases: only documents above the capacity are split, into full containers and a rest; documents without tokens
-(NULL or empty texts) take no space and lie in the first container of their stretch; rows with a NULL key are kept.
+(NULL or empty texts) take no space and lie in a container their neighbours opened (one of their own where there is
+none); rows with a NULL key are kept.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import PieceCounter, map_batches
 from curata.plans.lineage import cut
 
-#: Documents of a stretch; bits of a dimension, and of the curve's cells that are counted.
-STRETCH, BITS, CELL_BITS = 4000, 10, 12
-#: Bits of a container's number for its place within the stretch and for the part of a divided cell.
-BIN_BITS, PART_BITS = 26, 22
+#: Bits of a dimension of the curve; documents of a range (one task's walk, about).
+BITS, RANGE_DOCS = 10, 20_000
+#: Documents along the curve that are placed together, largest first, and containers that stay open.
+NEIGHBOURS, OPEN = 64, 256
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -114,30 +119,42 @@ def measured(docs: DataFrame, name: str, folder: str | None = None) -> DataFrame
     return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id bigint, tokens bigint, place bigint", ("text",), make)
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
-    """(item, piece, container, tokens): largest first, into the fullest container that takes it; by number where equal."""
-    out, rest, bins = [], [], 0
-    for k, n in enumerate(sizes.tolist()):
-        piece = 0
-        while n > capacity:
-            out.append((k, piece, bins, capacity))
-            bins, piece, n = bins + 1, piece + 1, n - capacity
-        rest.append((-n, k, piece))
-    open_: list[tuple[int, int]] = []  # room left, container
-    for n, k, piece in sorted(rest):
-        n = -n
-        if n == 0 and bins:
-            out.append((k, piece, 0, 0))
-            continue
-        at = bisect_left(open_, (n, -1))
-        if at < len(open_):
-            room, b = open_.pop(at)
-        else:
-            room, b, bins = capacity, bins, bins + 1
-        out.append((k, piece, b, n))
-        if room > n:
-            insort(open_, (room - n, b))
-    return out
+class Packer:
+    """One plan's walk along the curve."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.bins, self.open = capacity, 0, []  # open: (room left, container), the fullest first
+
+    def place(self, sizes: list[int]) -> list[tuple[int, int, int, int]]:
+        """(item, piece, container, tokens) of the next neighbours: largest first, into the fullest container that takes it."""
+        out, rest, capacity, open_ = [], [], self.capacity, self.open
+        for k, n in enumerate(sizes):
+            piece = 0
+            while n > capacity:
+                out.append((k, piece, self.bins, capacity))
+                self.bins, piece, n = self.bins + 1, piece + 1, n - capacity
+            rest.append((-n, k, piece))
+        for n, k, piece in sorted(rest):
+            n = -n
+            if n == 0 and self.bins:
+                out.append((k, piece, self.bins - 1, 0))
+                continue
+            at = bisect_left(open_, (n, -1))
+            if at < len(open_):
+                room, b = open_.pop(at)
+            else:
+                room, b, self.bins = capacity, self.bins, self.bins + 1
+            out.append((k, piece, b, n))
+            if room > n:
+                insort(open_, (room - n, b))
+        del open_[: max(len(open_) - OPEN, 0)]
+        return out
+
+
+def along_the_curve(items: DataFrame) -> DataFrame:
+    """The documents range-partitioned and sorted by their places on the curve, equal places by document."""
+    ranges = max(1, -(-items.count() // RANGE_DOCS))
+    return items.repartitionByRange(ranges, "place", "doc_id").sortWithinPartitions("place", "doc_id", "tokens")
 
 
 def packed(docs: DataFrame, plans: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
@@ -146,30 +163,33 @@ def packed(docs: DataFrame, plans: DataFrame, name: str = "byte_bpe_50k.tiktoken
     if len(capacities) > 1000:
         raise ValueError("more than 1000 plans; pass them in parts")
     items = cut(measured(docs, name, folder))  # three numbers a document: the texts are read once
-    cell = F.shiftright("place", 3 * BITS - CELL_BITS)
-    # at most 2^CELL_BITS rows, so one task may order them
-    cells = items.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("cell", F.floor(F.coalesce(before, F.lit(0)) / STRETCH).alias("stretch"), F.ceil(F.col("n") / STRETCH).cast("int").alias("parts"))
-    placed = items.withColumn("cell", cell).join(F.broadcast(cells), "cell")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0)).cast("bigint")
-    # a divided cell has stretches of its own
-    first = F.when(F.col("parts") > 1, F.col("cell") * 2 + 1).otherwise(F.lit(0)).cast("bigint")
-    placed = placed.select(F.col("stretch").cast("bigint").alias("stretch"), first.alias("own"), part.alias("part"), "doc_id", "place", "tokens")
-
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "doc_id"], kind="stable", na_position="last")
-        ids, sizes = group["doc_id"].to_numpy(), group["tokens"].to_numpy()
-        frames = []
-        for plan, capacity in capacities:
-            rows = np.array(best_fit(sizes, capacity), np.int64).reshape(-1, 4)
-            frames.append(pd.DataFrame({"plan_id": plan, "capacity_tokens": capacity, "stretch": key[0], "own": key[1], "part": key[2], "bin": rows[:, 2], "doc_id": ids[rows[:, 0]], "piece": rows[:, 1], "tokens": rows[:, 3]}))
-        return pd.concat(frames) if frames else pd.DataFrame()
-
-    schema = "plan_id int, capacity_tokens bigint, stretch bigint, own bigint, part bigint, bin bigint, doc_id bigint, piece int, tokens bigint"
-    out = placed.groupBy("stretch", "own", "part").applyInPandas(pack, schema)
-    container = F.concat_ws("-", "stretch", "own", "part", "bin")
-    return out.select("plan_id", "capacity_tokens", container.alias("container"), "doc_id", "piece", "tokens")
+    return walked(along_the_curve(items), capacities)
+
+
+def walked(ranges: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
+    """Pack each range in the order it comes in."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        packers = [(plan, capacity, Packer(capacity)) for plan, capacity in capacities]
+        for batch in batches:
+            frames = []
+            for a in range(0, len(batch), NEIGHBOURS):
+                near = batch.iloc[a : a + NEIGHBOURS]
+                ids, sizes = near["doc_id"].to_numpy(), near["tokens"].tolist()
+                for plan, capacity, packer in packers:
+                    rows = np.array(packer.place(sizes), np.int64).reshape(-1, 4)
+                    frames.append((plan, capacity, rows, ids[rows[:, 0]]))
+            if frames:
+                n = [len(rows) for _, _, rows, _ in frames]
+                rows = np.concatenate([rows for _, _, rows, _ in frames])
+                yield pd.DataFrame({
+                    "plan_id": np.repeat([p for p, _, _, _ in frames], n), "capacity_tokens": np.repeat([c for _, c, _, _ in frames], n), "part": part, "bin": rows[:, 2],
+                    "doc_id": np.concatenate([i for _, _, _, i in frames]), "piece": rows[:, 1], "tokens": rows[:, 3],
+                })
+
+    out = ranges.mapInPandas(walk, "plan_id int, capacity_tokens bigint, part bigint, bin bigint, doc_id bigint, piece int, tokens bigint")
+    return out.select("plan_id", "capacity_tokens", F.concat_ws("-", "part", "bin").alias("container"), "doc_id", "piece", "tokens")
 
 
 def fill(packing: DataFrame) -> DataFrame:

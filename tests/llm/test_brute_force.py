@@ -223,7 +223,7 @@ def test_hilbert_curve_is_a_bijection_of_neighbours():
 
 
 def test_packing_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "STRETCH", 20)
+    monkeypatch.setattr(packing, "RANGE_DOCS", 60)
     rng = random.Random(6)
     rows = [(k, text(rng, rng.choice([0, 3, 30, 300, 2000]))) for k in range(80)] + [(200 + k, "copy of one text") for k in range(60)] + [(400, None), (401, "")]
     docs, plans = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, 64), (2, 512)], "plan_id int, capacity_tokens bigint")
@@ -243,6 +243,33 @@ def test_packing_loses_nothing(spark, monkeypatch):
     assert all(r.fill_share > 0.7 for r in packing.fill(packing.packed(docs, plans)).collect())
 
 
+def test_containers_hold_neighbours_of_the_curve(spark, monkeypatch):
+    """The walk follows the Hilbert key: without it the same documents lie in other containers, farther apart."""
+    monkeypatch.setattr(packing, "NEIGHBOURS", 8)
+    monkeypatch.setattr(packing, "OPEN", 4)
+    rng = random.Random(61)
+    rows = [(k, rng.randint(5, 60), rng.randrange(1 << 30)) for k in range(600)]
+    items = spark.createDataFrame(rows, "doc_id bigint, tokens bigint, place bigint")
+    place = {k: p for k, _, p in rows}
+
+    def spread_of(ranges):
+        got = packing.walked(ranges, [(1, 128)]).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.container, set()).add(r.doc_id)
+        return {frozenset(v) for v in by.values()}, np.mean([max(map(place.get, v)) - min(map(place.get, v)) for v in by.values()])
+
+    monkeypatch.setattr(packing, "RANGE_DOCS", 300)
+    ranges = packing.along_the_curve(items)
+    assert "rangepartitioning(place" in ranges._jdf.queryExecution().toString()
+    with_key, near = spread_of(ranges)
+    without, far = spread_of(items.coalesce(1))
+    assert with_key != without and near < far / 10
+    monkeypatch.setattr(packing, "RANGE_DOCS", 100)  # a third in one place: divided by document
+    crowd = packing.along_the_curve(items.withColumn("place", F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("place"))))
+    assert max(r.n for r in crowd.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 200
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 def test_sainte_lague_by_brute_force():
     rng = random.Random(7)
