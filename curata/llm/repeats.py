@@ -1,10 +1,11 @@
-"""Problem 4: the share of repeated content inside each text, and verdicts on its host.
+"""Problem 4: repeated content inside each text, judged by the text's rule and its host's rate.
 
 A text's rule: the share of its words that stand in phrases of six or more words (ten characters in Chinese)
 which occurred earlier in the text. Rule failures are added up by host (source), the hosts' rates are shrunk
 towards the corpus' rate with a beta prior fitted to all hosts by moments, and each host's verdict is joined
-back to its texts. The case list needs each text's own share, which no host rate can give: there the text's
-rule decides, and the host's shrunk rate and verdict stand beside it.
+back to its texts. The decision rests on both: a text fails from a share of a third, and each doubling of its
+host's shrunk odds over the corpus' lowers that threshold by ``SHARE_ERROR`` (each halving raises it), at most by
+``MOST_DOUBLINGS`` of them. Hosts within a factor of two of the corpus leave the third as it is.
 
 Cases: NULL, empty and wordless texts have share 0 and pass; a NULL host is a host of its own.
 """
@@ -24,6 +25,8 @@ from curata.plans.skew import dictionary_join, hot_limit
 
 #: Words (or Chinese characters) of the shortest phrase, and the share from which a text fails.
 PHRASE_WORDS, PHRASE_CHARS, MIN_SHARE = 6, 10, 1 / 3
+#: How far a doubling of the host's odds moves a text's threshold, and how many doublings count.
+SHARE_ERROR, MOST_DOUBLINGS = 0.015, 3
 #: A host is bad if its shrunk rate is at least so many times the corpus' rate.
 BAD_HOST = 2.0
 
@@ -98,7 +101,7 @@ def text_rule(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 
 
 def host_rates(rules: DataFrame) -> DataFrame:
-    """(host, n, n_failed, rate, shrunk_rate, bad_host) with an empirical beta prior over all hosts.
+    """(host, n, n_failed, rate, shrunk_rate, bad_host, threshold) with an empirical beta prior over all hosts.
 
     ``rules`` is used more than once; cut it first.
     """
@@ -109,11 +112,19 @@ def host_rates(rules: DataFrame) -> DataFrame:
     one = prior.select("m", F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)).alias("strength")).first()
     m, strength = one.m or 0.0, one.strength or 1.0
     shrunk = (F.col("n_failed") + F.lit(strength * m)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", "n", "n_failed", "rate", shrunk.alias("shrunk_rate"), (shrunk >= F.lit(BAD_HOST * m)).alias("bad_host"))
+    # whole doublings of the odds, towards zero
+    odds = lambda p: p / (1 - p)
+    doublings = F.log2(F.least(F.greatest(odds(F.least(shrunk, F.lit(1 - 1e-9))), F.lit(1e-12)) / F.lit(odds(min(max(m, 1e-9), 1 - 1e-9))), F.lit(1e12)))
+    whole = F.when(doublings >= 0, F.floor(doublings)).otherwise(F.ceil(doublings))
+    moved = F.least(F.greatest(whole, F.lit(-MOST_DOUBLINGS)), F.lit(MOST_DOUBLINGS)) * F.lit(SHARE_ERROR)
+    return hosts.select("host", "n", "n_failed", "rate", shrunk.alias("shrunk_rate"), (shrunk >= F.lit(BAD_HOST * m)).alias("bad_host"), (F.lit(MIN_SHARE) - moved).alias("threshold"))
 
 
 def verdicts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Each row's own share and rule, with its host's shrunk rate and verdict."""
+    """Each row's own share and rule, its host's shrunk rate and verdict, and whether the row ``fails`` by both."""
     rules = cut(text_rule(df, id_col, text_col, host_col))  # numbers only: the texts are read once
-    hosts = host_rates(rules).select("host", "n", "shrunk_rate", "bad_host")
-    return dictionary_join(rules.withColumn("host", F.coalesce("host", F.lit(""))), hosts, ["host"], "n", hot_limit(rules.count()))
+    hosts = host_rates(rules).select("host", "n", "shrunk_rate", "bad_host", "threshold")
+    d = dictionary_join(rules.withColumn("host", F.coalesce("host", F.lit(""))), hosts, ["host"], "n", hot_limit(rules.count()))
+    # the share's own rounding must not decide at exactly the threshold
+    by_both = (F.col("repeated") > 0) & (F.col("repeated") + 1e-9 >= F.col("threshold") * F.col("n_words"))
+    return d.withColumnRenamed("fails", "rule_fails").withColumn("fails", by_both)

@@ -166,6 +166,24 @@ def test_hosts_are_shrunk(spark):
     assert repeats.verdicts(spark.createDataFrame([], "i bigint, t string, h string"), "i", "t", "h").count() == 0
 
 
+def test_host_rates_decide(spark, monkeypatch):
+    """A text just under the third fails in a host of repetitive texts and passes in a calm one; without hosts it never fails."""
+    rng = random.Random(44)
+    bad, near = "the same six words come again. " * 5, ""
+    words = iter(f"w{k}" for k in range(100_000))
+    block = [next(words) for _ in range(31)]
+    near = " ".join([*block, *(next(words) for _ in range(37)), *block])  # 31 of 99 words repeat: 0.313
+    rows = [(k, bad if k % 4 else near, "loud") for k in range(200)] + [(1000 + k, near if k % 50 == 0 else text(rng, 30), "calm") for k in range(2000)]
+    df = spark.createDataFrame(rows, "i bigint, t string, h string")
+    own = {i for i, t, _ in rows if t == bad}
+    border = {i for i, t, h in rows if t == near and h == "loud"}
+    out = repeats.verdicts(df, "i", "t", "h").cache()
+    assert {r.i for r in out.where("rule_fails").collect()} == own
+    assert {r.i for r in out.where("fails").collect()} == own | border
+    monkeypatch.setattr(repeats, "MOST_DOUBLINGS", 0)
+    assert {r.i for r in repeats.verdicts(df, "i", "t", "h").where("fails").collect()} == own
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 def test_longest_match_is_linear_and_exact():
     rng = random.Random(5)
