@@ -315,6 +315,37 @@ def test_mixture_keeps_shares_and_caps(spark):
     assert mixture.mixed(docs.limit(0), goals).count() == 0
 
 
+def test_targets_of_one_source_are_one(spark):
+    rng = random.Random(81)
+    docs = spark.createDataFrame([(k, text(rng, 40), "Big" if k % 2 else "b i g") for k in range(100)], "doc_id bigint, text string, source string").withColumn("source", F.lit("Big"))
+    goals = spark.createDataFrame([("big", 0.5, 1), ("BIG", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix = mixture.mixed(docs, goals)
+    assert mix.where("copies > 1").count() == 0 and mix.count() == mix.select("doc_id").distinct().count()
+    assert [(r.source, r.target_share) for r in mixture.shares(mix, goals).collect()] == [("big", 1.0)]
+
+
+def test_many_shards_and_no_preference_for_short_documents(spark, monkeypatch):
+    """More shards than groups; long and short documents are taken as often."""
+    monkeypatch.setattr(mixture, "SHARD_DOCS", 150)
+    monkeypatch.setattr(mixture, "GROUPS", 3)
+    monkeypatch.setattr(mixture, "BLOCK", 32)
+    rng = random.Random(82)
+    rows = [(k, text(rng, 80 if k % 2 else 8), "a") for k in range(1200)] + [(5000 + k, text(rng, 60), "b") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mix = mixture.mixed(docs, spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 1)], "source string, target_share double, max_repeats int"))
+    got = {r.source: r for r in mixture.shares(mix, spark.createDataFrame([("a", 0.6), ("b", 0.4)], "source string, target_share double")).collect()}
+    assert abs(got["a"].actual_share - 0.6) < 0.02
+    n = [sum(r.source == "a" and r.doc_id % 2 == odd for r in mix.collect()) for odd in (0, 1)]
+    assert abs(n[0] - n[1]) < 0.25 * max(n), n
+
+
+def test_quotas_of_many_shards():
+    rng = random.Random(83)
+    shards = [float(rng.randint(1, 10**6)) for _ in range(100_000)]
+    got, seat = mixture.sainte_lague(shards, 3_000_000), 3_000_000 / sum(shards)
+    assert sum(got) == 3_000_000 and max(abs(q - w * seat) for q, w in zip(got, shards)) < 1
+
+
 # n-grams ------------------------------------------------------------------------------------------------------------
 def test_hashed_sums_match_plain_ones():
     rng = np.random.default_rng(9)
