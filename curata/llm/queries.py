@@ -15,23 +15,23 @@ from curata.sources import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leak.matches(table(spark, folder, "audit_pool", "pool_idx", "output"), table(spark, folder, "amc", "id", "problem"), "pool_idx", "output", "id", "problem")
+def _pool_and_items(spark: SparkSession, folder: str) -> tuple:
+    return table(spark, folder, "audit_pool", "pool_idx", "output"), table(spark, folder, "amc", "id", "problem"), "pool_idx", "output", "id", "problem"
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(pool_idx, item_id): outputs that hold a test item."""
-    return _leaks(spark, folder).select("pool_idx", "item_id")
+    """(pool_idx, item_id): outputs that hold half of a test item; its words are runs of a-z and 0-9."""
+    return leak.matches(*_pool_and_items(spark, folder), ascii_only=True).select("pool_idx", "item_id")
 
 
 def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Each leak with the words held, its longest verbatim match and where that stands."""
-    return _leaks(spark, folder)
+    """Every maximal verbatim match of an output and a test item, words of any script, whatever part of the item it is."""
+    return leak.passages(*_pool_and_items(spark, folder))
 
 
 def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Keys and sources of the corpus without the outputs that hold a test item."""
-    return leak.without_leaks(table(spark, folder, "audit_pool", "pool_idx", "source"), _leaks(spark, folder), "pool_idx")
+    return leak.without_leaks(table(spark, folder, "audit_pool", "pool_idx", "source"), leak.matches(*_pool_and_items(spark, folder)), "pool_idx")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

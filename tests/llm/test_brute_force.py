@@ -56,11 +56,47 @@ def test_leaks_match_brute_force(spark):
     assert leak.without_leaks(spark.createDataFrame(docs, "pool_idx bigint, output string"), got, "pool_idx").count() == len(docs) - len({i for i, _ in want})
 
 
+def test_every_maximal_match_in_any_script(spark, monkeypatch):
+    """Chinese, Russian and French items; a small part of a long item; passages that many items and places share."""
+    rng = random.Random(11)
+    zh, ru, fr = "求所有满足方程的正整数的个数并说明理由", "найдите все целые числа для которых выполнено это равенство и сумма равна нулю", "été après été où l'élève étudie déjà la même équation générale très compliquée"
+    long_item = " ".join(f"w{k}" for k in range(500))
+    items = [(1, zh), (2, ru), (3, fr), (4, long_item), *((10 + k, f"{text(random.Random(5), 12)} tail{k} of this item") for k in range(6)), (30, "aa " * 40)]
+    docs = [(1, f"前言：{zh}。后记"), (2, f"... {ru.upper()}!"), (3, f"Voici: {fr} fin"), (4, f"intro {' '.join(long_item.split()[100:340])} outro"), (5, f"{text(random.Random(5), 12)} x " * 7), (6, "aa " * 60), (7, None), (8, "")]
+    d, i = spark.createDataFrame(docs, "pool_idx bigint, output string"), spark.createDataFrame(items, "id bigint, problem string")
+
+    def plain():
+        out = set()
+        for k, t in docs:
+            a = leak.words([t])[:-1]
+            for j, u in items:
+                b = leak.words([u])[:-1]
+                for x in range(len(a)):
+                    for y in range(len(b)):
+                        if a[x] == b[y] and (x == 0 or y == 0 or a[x - 1] != b[y - 1]):
+                            n = 0
+                            while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                                n += 1
+                            if n >= 8:
+                                out.add((k, j, x, y, n))
+        return out
+
+    want = plain()
+    for most in (leak.MOST_HITS, 50):  # also in small parts of the hits
+        monkeypatch.setattr(leak, "MOST_HITS", most)
+        assert {tuple(r)[:5] for r in leak.passages(d, i, "pool_idx", "output", "id", "problem").collect()} == want
+        own = leak.Items([k for k, _ in items], [t for _, t in items])  # here, not in a worker: the parts of the hits
+        assert {(docs[t][0], own.ids[k], p, j, n) for t, k, p, j, n in leak.shard_matches(own, [t for _, t in docs])} == want
+    leaked = {(r.pool_idx, r.item_id) for r in leak.matches(d, i, "pool_idx", "output", "id", "problem").collect()}
+    assert {(1, 1), (2, 2), (3, 3)} <= leaked and (4, 4) not in leaked and (4, 4, 1, 100, 240) in want
+    assert (4, 4) in {(r.pool_idx, r.item_id) for r in leak.matches(d, i, "pool_idx", "output", "id", "problem", min_share=0.3).collect()}
+
+
 def test_leaks_in_blocks_and_empty(spark, monkeypatch):
     rng = random.Random(2)
     items = spark.createDataFrame([(k, text(rng, 40)) for k in range(9)], "id bigint, problem string")
     docs = items.select(F.col("id").alias("pool_idx"), F.col("problem").alias("output"))
-    monkeypatch.setattr(leak, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leak, "PASS_ITEMS", 2)
     assert leak.matches(docs, items, "pool_idx", "output", "id", "problem").count() >= 9
     assert leak.matches(docs.limit(0), items, "pool_idx", "output", "id", "problem").count() == 0
     assert leak.matches(docs, items.limit(0), "pool_idx", "output", "id", "problem").count() == 0
