@@ -2,8 +2,9 @@
 
 A public vocabulary is read as a longest-match one: from the left, the longest piece that fits. Its trie has a
 failure link at each node (where to go on when no child fits) and, precomputed, how many tokens that emits, so a
-word is counted in one pass without going back. Counts are exact for longest match; against the vocabulary's own
-merge order they are an estimate, whose error the tests and the README give.
+text is counted in one pass without going back. White space counts as it stands: runs of blanks have pieces of
+their own, tabs and line breaks are bytes. Counts are exact for longest match over the whole text; against the
+vocabulary's own merge order they are an estimate, whose error the tests and the README give.
 
 Cases: NULL and empty texts have no tokens; characters outside the vocabulary count their bytes; a missing
 label is ``und``, a NULL source or domain stays a group of its own.
@@ -12,6 +13,7 @@ label is ``und``, a NULL source or domain stays a group of its own.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -25,11 +27,19 @@ _SHIFT = 21  # bits of a code point
 
 
 class LongestMatch(dict):
-    """Counts of words, counted by the trie at first sight."""
+    """Counts of stretches of text, counted by the trie at first sight.
+
+    A text is cut only where no piece can reach across: before a run of blanks (if no piece has a blank after another
+    sign), and around white space that no longer piece contains.
+    """
 
     def __init__(self, tokens: set[str], keep: int = KEEP):
         super().__init__()
         self.keep = keep
+        long = "".join(t for t in tokens if len(t) > 1)
+        alone = "".join(c for c in "\n\t" if c not in long)
+        inside = any("▁" in t.lstrip("▁") for t in tokens)
+        self.find = re.compile(f"[^{alone}]+|[{alone}]" if inside and alone else f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else "") if not inside else r"(?s:.+)").findall
         cost = {c: 1 if c in tokens else len(c.encode()) for t in tokens for c in t}  # each character can stand alone
         child: dict[int, int] = {}
         parent, letter, depth, price = [0], [0], [0], [0]
@@ -58,10 +68,10 @@ class LongestMatch(dict):
                 z = self.link[z]
             self.link[v], self.emits[v] = child[z << _SHIFT | letter[v]], emitted
 
-    def __missing__(self, word: str) -> int:
-        n = self.word("▁" + word)
-        if len(self) < self.keep and len(word) < 48:
-            self[word] = n
+    def __missing__(self, stretch: str) -> int:
+        n = self.word(stretch.replace(" ", "▁"))
+        if len(self) < self.keep and len(stretch) < 48:
+            self[stretch] = n
         return n
 
     def word(self, word: str) -> int:
@@ -82,8 +92,8 @@ class LongestMatch(dict):
         return n
 
     def count(self, text: str | None) -> int:
-        """Tokens of a text; line breaks are one each, other white space goes with its word."""
-        return sum(map(self.__getitem__, text.split())) + text.count("\n") if text else 0
+        """Tokens of a text, before which the vocabulary sets a blank."""
+        return sum(map(self.__getitem__, self.find(" " + text))) if text else 0
 
 
 @lru_cache(2)

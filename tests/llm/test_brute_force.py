@@ -233,7 +233,23 @@ def test_longest_match_is_linear_and_exact():
             n += 1 if k else len(s[i].encode())
             i = k or i + 1
         assert m.word("▁" + w) == n, w
-    assert m.count(None) == 0 and m.count("") == 0 and m.count(" \n ") == 1
+    assert m.count(None) == 0 and m.count("") == 0
+
+
+@pytest.mark.parametrize("extra", [set(), {"a▁b"}, {"\n\n", "c\n"}])
+def test_whole_texts_with_white_space_are_exact(extra):
+    """Tabs, indentation, runs of blanks and line breaks count as a plain longest match over the whole text counts them."""
+    rng = random.Random(55)
+    vocabulary = {"▁", "▁▁", "▁▁▁▁", "▁a", "ab", "abc", "b", "c", "▁▁b", "}\r"} | extra
+    m = budget.LongestMatch(vocabulary)
+    for _ in range(2000):
+        t = "".join(rng.choice(["a", "b", "c", " ", " ", "    ", "\t", "\n", "}", "\r", "日"]) for _ in range(rng.randint(0, 20)))
+        s, n, i = "▁" + t.replace(" ", "▁") if t else "", 0, 0
+        while i < len(s):
+            k = next((k for k in range(min(len(s), i + 6), i, -1) if s[i:k] in vocabulary), 0)
+            n += 1 if k else 1 if any(s[i] in p for p in vocabulary) and s[i] in vocabulary else len(s[i].encode())
+            i = k or i + 1
+        assert m.count(t) == n, repr(t)
 
 
 def test_budget_is_close_to_the_tokenizer():
@@ -243,7 +259,7 @@ def test_budget_is_close_to_the_tokenizer():
     if not os.path.exists(os.path.join(common.TOKENIZERS, budget.VOCABULARY)):
         pytest.skip("no vocabulary here")
     sp = spm.SentencePieceProcessor(model_file=os.path.join(common.TOKENIZERS, budget.VOCABULARY))
-    lines = ["The slope between the marked points equals 12/35.", "Die Steigung der Geraden beträgt 4/7, also bleibt ein Rest.", "Hay que tener cuidado, porque 45 se cuenta dos veces.", "Угловой коэффициент прямой равен 3."] * 5
+    lines = ["The slope between the marked points equals 12/35.", "Die Steigung der Geraden beträgt 4/7, also bleibt ein Rest.", "Hay que tener cuidado, porque 45 se cuenta dos veces.", "Угловой коэффициент прямой равен 3.", "def f(x):\n    for k in range(x):\n        print(k,\t\tx)\n"] * 5
     exact, ours = sum(len(sp.encode(t)) for t in lines), sum(budget.vocabulary().count(t) for t in lines)
     assert abs(ours / exact - 1) < 0.05
 
