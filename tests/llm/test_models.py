@@ -78,6 +78,22 @@ def test_defects(defect_models, text, want):
     assert pairs.defects(PROMPT, text, *defect_models) == want
 
 
+def test_compression_decides_copies(defect_models, monkeypatch):
+    """Copies are told by compression: with a dictionary that isn't the prompt none is found."""
+    rows = [f"Q: {PROMPT}", PROMPT.upper(), f"{PROMPT} The answer is that y equals the sum of both, which we get by the rule.", PROMPT[: len(PROMPT) // 2], "42", PROMPT.replace(",", " ; ")]
+    assert [pairs.is_copy(PROMPT, t) for t in rows] == [True, True, False, False, False, True]
+    assert not pairs.is_copy("", PROMPT) and not pairs.is_copy(None, PROMPT) and pairs.rest_beside(b"", b"x") == 0
+    plain = pairs.zstandard.ZstdCompressionDict
+    monkeypatch.setattr(pairs.zstandard, "ZstdCompressionDict", lambda data, dict_type: plain(b"other words of another kind", dict_type=dict_type))
+    assert not any(pairs.is_copy(PROMPT, t) for t in rows)
+
+
+def test_refusal_before_advice(defect_models):
+    text = "<think>Hm.</think>\n\nI'm sorry, but I can't help with that.\n\nYou might ask a teacher or look into a textbook."
+    assert "refusal" in pairs.defects(PROMPT, text, *defect_models)
+    assert "refusal" not in pairs.defects(PROMPT, "<think>Hm.</think>\n\nI cannot answer this in general.\n\nFor x = 105 the value is y = 3251.5.", *defect_models)
+
+
 def test_asked_language_is_no_defect(defect_models):
     assert pairs.defects(PROMPT + " Please write the whole answer in German.", "Hier muss man aufpassen, weil die Regel zweimal gezählt wird. Das Ergebnis der Aufgabe ist also gleich 5.", *defect_models) == []
     assert pairs.defects(None, "The rule gives the value 3.", *defect_models) == []
