@@ -30,10 +30,10 @@ def source_key(col: Column) -> Column:
     return F.when(k != "", k)
 
 
-def lang_label(col: Column) -> Column:
-    """A delivered label as its two-letter language, without region or script; NULL where it names no language."""
+def lang_label(col: Column, langs: tuple[str, ...] = LANGS) -> Column:
+    """A delivered label as its two-letter language, without region or script; NULL where it names none of ``langs``."""
     k = F.regexp_extract(F.lower(F.trim(col)), "^([a-z]{2})(?:[-_][a-z0-9_-]+)?$", 1)
-    return F.when(k.isin(*LANGS), k)
+    return F.when(k.isin(*langs), k)
 
 
 def chunks(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
@@ -49,6 +49,22 @@ def chunks(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[pa.RecordBatch,
         yield part, [part.column(x).to_pylist() for x in names]
 
 
+#: A sampled text is at most so long (others are left to their like), and a sample's texts together about so long.
+LONGEST_SAMPLED, SAMPLE_CHARS = 200_000, 4_000_000
+
+
+def sample_limits(df: DataFrame, stratum: Column, text: Column, rows: int, chars: int = SAMPLE_CHARS) -> dict:
+    """Of each stratum (NULL aside) the share of ``sample_hash`` that gives about ``rows`` texts of together about ``chars`` characters at most."""
+    size = df.where(stratum.isNotNull() & text.isNotNull()).groupBy(stratum.alias("k")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("c"))
+    return {r.k: min(1.0, rows / r.n, chars / max(r.c, 1)) for r in size.collect()}
+
+
+def sampled(key: Column, text: Column, share: Column) -> Column:
+    """Whether a row is in a sample of this share, by a hash of its key; fine enough for 10^15 rows."""
+    # 53 bits, so that the smallest share of the largest table is still some hashes
+    return (F.shiftrightunsigned(F.xxhash64(key), 11) < (share * F.lit(float(1 << 53))).cast("bigint")) & (F.length(text) <= LONGEST_SAMPLED)
+
+
 def map_batches(df: DataFrame, schema: str, texts: tuple[str, ...], make: Callable[[], Callable[..., dict[str, Iterable]]]) -> DataFrame:
     """``mapInArrow`` over bounded slices of texts.
 

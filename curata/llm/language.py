@@ -22,11 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import LANGS, NOT_PROSE, lang_label, map_batches
+from curata.llm.common import LANGS, NOT_PROSE, lang_label, map_batches, sample_limits, sampled
 from curata.llm.ngrams import grams, linear
 
 #: The bound of the labelled sample, by language, and of the units of one language taken from it.
-ROWS_PER_LANG, UNITS_PER_LANG = 700, 2500
+ROWS_PER_LANG, UNITS_PER_LANG = 1000, 4000
 #: Landmarks of a language, n-gram lengths, width of the table, ridge.
 LANDMARKS, ORDERS, BITS, RIDGE = 72, (1, 2, 3, 4), 17, 0.5
 #: A language is present in a clause of so many words, or Chinese characters.
@@ -41,7 +41,6 @@ _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _SENTENCE = re.compile(r"[.!?。！？;；:：|()（）\[\]\"“”«»„「」『』>]+|\n(?:[^\S\x1c-\x1f]*\n)+")
 _UNIT = re.compile(r"[,，、—–]+")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-_HAN, _CYRILLIC, _LATIN = re.compile("[㐀-鿿]"), re.compile("[а-яё]"), re.compile("[a-zß-ɏ]")
 _LETTERS = re.compile(r"(?<![\w])[^\W\d_]{2,}(?:['’][^\W\d_]+)*|[^\W\d_](?=['’])|[àéyeoаи](?= )|[㐀-鿿]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)*")
 
@@ -67,96 +66,84 @@ def sizes(unit: str) -> tuple[int, int]:
     return words, chars
 
 
-def allowed(units: list[str]) -> np.ndarray:
-    """Which languages each unit's script admits; all where it has no letters of a known script."""
-    zh, ru = LANGS.index("zh"), LANGS.index("ru")
-    out = np.ones((len(units), len(LANGS)), bool)
-    for k, u in enumerate(units):
-        han = 2 * len(_HAN.findall(u))
-        cyrillic, latin = len(_CYRILLIC.findall(u)), len(_LATIN.findall(u))
-        if max(han, cyrillic, latin):
-            out[k] = False
-            if han >= max(cyrillic, latin):
-                out[k, zh] = True
-            elif cyrillic >= latin:
-                out[k, ru] = True
-            else:
-                out[k] = True
-                out[k, [zh, ru]] = False
-    return out
-
-
 @dataclass
 class Model:
-    """``table``: of each hashed n-gram its share in the score of each language."""
+    """``table``: of each hashed n-gram its share in the score of each language of ``langs``."""
 
     table: np.ndarray
+    langs: tuple[str, ...] = LANGS
 
     def scores(self, units: list[str]) -> np.ndarray:
         total, n = linear([letters(u) for u in units], self.table, ORDERS, True)
-        return np.where(allowed(units), total / np.sqrt(np.maximum(n, 1))[:, None], -2.0)
+        return total / np.sqrt(np.maximum(n, 1))[:, None]
 
 
-def fit(units: list[str], labels: np.ndarray, rounds: int = 2) -> Model:
+def fit(units: list[str], labels: np.ndarray, langs: tuple[str, ...] = LANGS, rounds: int = 2) -> Model:
     """Nyström kernel ridge regression; units are distinct, labels are numbers of languages."""
     width = 1 << BITS
     row, feature = grams([letters(u) for u in units], ORDERS, BITS, True)
     norm = np.sqrt(np.maximum(np.bincount(row, minlength=len(units)), 1))
     keep = np.ones(len(units), bool)
-    table = np.zeros((width, len(LANGS)))
+    table = np.zeros((width, len(langs)))
     for _ in range(rounds):
-        marks = np.concatenate([np.flatnonzero(keep & (labels == k))[:LANDMARKS] for k in range(len(LANGS))])
-        kernel = np.zeros((len(units), len(marks)))
+        marks = np.concatenate([np.flatnonzero(keep & (labels == k))[:LANDMARKS] for k in range(len(langs))])
+        kernel = np.zeros((len(units), len(marks)), np.float32)
         start = np.searchsorted(row, np.arange(len(units) + 1))
         for j, m in enumerate(marks):
             own = np.zeros(width)
             own[feature[start[m] : start[m + 1]]] = 1
             kernel[:, j] = np.bincount(row, own[feature], len(units)) / (norm * norm[m])
-        value, vector = np.linalg.eigh(kernel[marks])
+        value, vector = np.linalg.eigh(kernel[marks].astype(float))
         root = vector / np.sqrt(np.maximum(value, 1e-6))  # columns of K_mm^(-1/2), rotated
-        phi = kernel[keep] @ root
-        target = np.where(labels[keep][:, None] == np.arange(len(LANGS)), 1.0, -1.0)
-        weight = np.linalg.solve(phi.T @ phi + RIDGE * np.eye(phi.shape[1]), phi.T @ target)
+        gram, right = RIDGE * np.eye(len(marks)), np.zeros((len(marks), len(langs)))
+        for part in np.array_split(np.flatnonzero(keep), 1 + len(units) // 4000):  # the feature space a part at a time
+            phi = kernel[part] @ root
+            gram += phi.T @ phi
+            right += phi.T @ np.where(labels[part][:, None] == np.arange(len(langs)), 1.0, -1.0)
+        weight = np.linalg.solve(gram, right)
         alpha = root @ weight
-        table = np.zeros((width, len(LANGS)))
+        table = np.zeros((width, len(langs)))
         for j, m in enumerate(marks):
             table[feature[start[m] : start[m + 1]]] += alpha[j] / norm[m]
         keep = (kernel @ alpha).argmax(1) == labels
-        if not all((keep & (labels == k)).any() for k in range(len(LANGS)) if (labels == k).any()):
+        if not all((keep & (labels == k)).any() for k in range(len(langs)) if (labels == k).any()):
             break
-    return Model(table.astype(np.float32))
+    return Model(table.astype(np.float32), langs)
+
 
+def train(df: DataFrame, id_col: str, text_col: str, label_col: str, langs: tuple[str, ...] = LANGS) -> Model:
+    """Fit on at most about ``ROWS_PER_LANG`` labelled rows of each language, chosen by a hash of the key.
 
-def train(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """Fit on at most about ``ROWS_PER_LANG`` labelled rows of each language, chosen by a hash of the key."""
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), lang_label(F.col(label_col)).alias("l")).where("l IS NOT NULL AND t IS NOT NULL AND i IS NOT NULL")
-    share = {r.l: min(1.0, ROWS_PER_LANG / r["count"]) for r in df.select(lang_label(F.col(label_col)).alias("l")).where("l IS NOT NULL").groupBy("l").count().collect()}
+    ``langs`` are the languages told apart; rows with other labels aren't samples.
+    """
+    label, text = lang_label(F.col(label_col), langs), F.col(text_col)
+    share = sample_limits(df, label, text, ROWS_PER_LANG)
     if not share:
-        return Model(np.zeros((1 << BITS, len(LANGS)), np.float32))
-    limit = F.coalesce(*(F.when(F.col("l") == k, F.lit(int(v * 1_000_000))) for k, v in share.items()))
-    sample = sorted(rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < limit).collect(), key=lambda r: r.i)
+        return Model(np.zeros((1 << BITS, len(langs)), np.float32), langs)
+    own = F.coalesce(*(F.when(label == k, F.lit(v)) for k, v in share.items()))
+    rows = df.where(F.col(id_col).isNotNull() & sampled(F.col(id_col), text, own)).select(F.col(id_col).alias("i"), text.alias("t"), label.alias("l"))
     votes: dict[str, list[int]] = {}
-    for r in sample:
-        k = LANGS.index(r.l)
-        for u in set(re.split("[\x1d\x1e\x1f]", prepared([r.t]))):
+    for r in sorted(rows.collect(), key=lambda r: (r.i, r.t)):
+        k = langs.index(r.l)
+        for u in dict.fromkeys(re.split("[\x1d\x1e\x1f]", prepared([r.t]))):
             w, c = sizes(u)
             if w >= UNIT_WORDS or c >= UNIT_CHARS:
-                votes.setdefault(letters(u), [0] * len(LANGS))[k] += 1
-    taken, units, labels = [0] * len(LANGS), [], []
+                votes.setdefault(letters(u), [0] * len(langs))[k] += 1
+    taken, units, labels = [0] * len(langs), [], []
     for u, v in votes.items():  # a unit has the label of most of its rows
-        k = max(range(len(LANGS)), key=v.__getitem__)
+        k = max(range(len(langs)), key=v.__getitem__)
         if 2 * v[k] > sum(v) and taken[k] < UNITS_PER_LANG:
             taken[k] += 1
             units.append(u)
             labels.append(k)
-    return fit(units, np.array(labels))
+    return fit(units, np.array(labels), langs)
 
 
 class Reader:
     """Reads texts unit by unit with a model; units seen before aren't scored again."""
 
     def __init__(self, model: Model, keep: int = 100_000):
-        self.model, self.keep, self.known = model, keep, {}
+        self.model, self.keep, self.known, self.langs = model, keep, {}, model.langs
 
     def learn(self, joined: str) -> None:
         new = list({u for u in re.split("[\x1d\x1e\x1f]", joined)} - self.known.keys())
@@ -185,9 +172,9 @@ class Reader:
         """
         joined = prepared(texts)
         self.learn(joined)
-        known, out = self.known, []
+        known, langs, out = self.known, self.langs, []
         for text, label in zip(joined.split("\x1d"), labels):
-            found, total = [], [0.0] * len(LANGS)
+            found, total = [], [0.0] * len(langs)
             for at, sentence in enumerate(text.split("\x1e")):
                 for u in sentence.split("\x1f"):
                     if (x := known[u]) is not None:
@@ -196,8 +183,8 @@ class Reader:
             if not found:
                 out.append([])
                 continue
-            main = max(range(len(LANGS)), key=total.__getitem__)
-            if label in LANGS and (k := LANGS.index(label)) != main and all(x[1] < SURE and x[4][k] >= x[4][x[0]] - CLOSE for _, x in found):
+            main = max(range(len(langs)), key=total.__getitem__)
+            if label in langs and (k := langs.index(label)) != main and all(x[1] < SURE and x[4][k] >= x[4][x[0]] - CLOSE for _, x in found):
                 main = k
             runs: list[list] = []
             for at, g in groupby(found, key=lambda f: f[0]):
@@ -222,27 +209,31 @@ class Reader:
             for k, g in groupby(runs, key=lambda r: r[0]):
                 g = list(g)
                 w, c = sum(r[1] for r in g), sum(r[2] for r in g)
-                clause = any(r[2] >= CLAUSE_CHARS if LANGS[k] == "zh" else r[1] >= CLAUSE_WORDS for r in g)
-                merged.append((LANGS[k], w, c, sum(r[3] for r in g) / max(w + c, 1), g[0][4], clause))
+                clause = any(r[2] >= CLAUSE_CHARS if langs[k] == "zh" else r[1] >= CLAUSE_WORDS for r in g)
+                merged.append((langs[k], w, c, sum(r[3] for r in g) / max(w + c, 1), g[0][4], clause))
             out.append(merged)
         return out
 
 
-def segments(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """(``id_col``, segment, lang, first_sentence, n_words, n_chars, confidence): the segments of each text in order."""
+def segments(df: DataFrame, model: Model, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(``id_col``, segment, lang, first_sentence, n_words, n_chars, confidence): the segments of each text in order.
+
+    As in :func:`present`, the delivered label breaks ties of a whole text only.
+    """
     names = (id_col, "segment", "lang", "first_sentence", "n_words", "n_chars", "confidence")
 
     def make():
         reader = Reader(model)
 
         def work(part, texts):
-            ids = part.column(id_col).to_pylist()
-            rows = [(ids[t], k, lang, at, w, c, p) for t, segs in enumerate(reader.segments(texts, [None] * len(texts))) for k, (lang, w, c, p, at, _) in enumerate(segs)]
+            ids, labels = part.column(id_col).to_pylist(), part.column("label").to_pylist()
+            rows = [(ids[t], k, lang, at, w, c, p) for t, segs in enumerate(reader.segments(texts, labels)) for k, (lang, w, c, p, at, _) in enumerate(segs)]
             return dict(zip(names, zip(*rows))) if rows else dict.fromkeys(names, ())
 
         return work
 
-    return map_batches(df.select(F.col(id_col).cast("bigint").alias(id_col), text_col), f"{id_col} bigint, segment int, lang string, first_sentence int, n_words int, n_chars int, confidence double", (text_col,), make)
+    rows = df.select(F.col(id_col).cast("bigint").alias(id_col), text_col, lang_label(F.col(label_col), model.langs).alias("label"))
+    return map_batches(rows, f"{id_col} bigint, segment int, lang string, first_sentence int, n_words int, n_chars int, confidence double", (text_col,), make)
 
 
 def present(df: DataFrame, model: Model, id_col: str, text_col: str, label_col: str, only_cases: bool) -> DataFrame:
@@ -274,5 +265,5 @@ def present(df: DataFrame, model: Model, id_col: str, text_col: str, label_col:
 
         return work
 
-    rows = df.select(F.col(id_col).cast("bigint").alias(id_col), text_col, lang_label(F.col(label_col)).alias("label"))
+    rows = df.select(F.col(id_col).cast("bigint").alias(id_col), text_col, lang_label(F.col(label_col), model.langs).alias("label"))
     return map_batches(rows, f"{id_col} bigint, lang string, label string, confidence double, share double", (text_col,), make)

@@ -65,7 +65,7 @@ def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
 def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Each output's segments of one language, with confidence."""
     df = _labelled(spark, folder)
-    return language.segments(df, language.train(df, "pool_idx", "output", "lang"), "pool_idx", "output")
+    return language.segments(df, language.train(df, "pool_idx", "output", "lang"), "pool_idx", "output", "lang")
 
 
 def _repeats(spark: SparkSession, folder: str) -> DataFrame:

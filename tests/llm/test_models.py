@@ -42,6 +42,21 @@ def test_sentences_from_elsewhere(model):
         assert [x[0] for x in got if x[5]] == [k], (k, got)
 
 
+def test_the_kernel_knows_scripts_and_other_languages(spark):
+    """Chinese and Russian come from the kernel as all do, and the languages are a parameter: Italian and Ukrainian are learned like the rest."""
+    it = ["Dobbiamo guardare prima la seconda parte della domanda.", "Questa regola vale anche per gli altri casi, come si vede subito.", "Il risultato della somma è quindi più grande del primo numero.", "Se leggiamo di nuovo il testo, il limite non cambia."]
+    uk = ["Спочатку треба подивитися на другу частину питання.", "Це правило діє також для інших випадків, як одразу видно.", "Результат суми отже більший за перше число.", "Якщо ще раз прочитати умову, межа не змінюється."]
+    ru = ["Сначала нужно посмотреть на вторую часть вопроса.", "Это правило действует и для других случаев, как сразу видно.", "Результат суммы поэтому больше первого числа.", "Если ещё раз прочитать условие, предел не меняется."]
+    rows = [(100 * k + n, t * 2, lang) for k, (lang, ts) in enumerate({"it": it, "uk": uk, "ru": ru}.items()) for n, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "pool_idx bigint, output string, lang string")
+    model = language.train(df, "pool_idx", "output", "lang", ("it", "uk", "ru"))
+    tests = {"it": "Questa parte della regola non vale per il secondo numero.", "uk": "Ця частина правила не діє для другого числа, якщо умову прочитати ще раз.", "ru": "Эта часть правила не действует для второго числа, если условие прочитать ещё раз."}
+    for k, t in tests.items():
+        assert language.Reader(model).segments([t], [None])[0][0][0] == k
+    zeroed = language.Model(model.table * 0, model.langs)  # nothing beside the kernel decides
+    assert {language.Reader(zeroed).segments([t], [None])[0][0][0] for t in tests.values()} == {"it"}
+
+
 def test_mixed_and_awkward_texts(spark, model):
     rows = [
         (1, f"{SENTENCES['en']} {SENTENCES['zh']}", "en"), (2, SENTENCES["de"], None), (3, SENTENCES["fr"], "FR-ca"), (4, SENTENCES["es"], "de"), (5, None, "en"), (6, "", None), (7, "42 = x + y", "en"),
@@ -50,7 +65,7 @@ def test_mixed_and_awkward_texts(spark, model):
     df = spark.createDataFrame(rows, "pool_idx bigint, output string, lang string")
     got = sorted((r.pool_idx, r.lang) for r in language.present(df, model, "pool_idx", "output", "lang", True).collect())
     assert got == [(1, "en"), (1, "zh"), (2, "de"), (4, "es")]
-    assert language.segments(df.limit(0), model, "pool_idx", "output").count() == 0
+    assert language.segments(df.limit(0), model, "pool_idx", "output", "lang").count() == 0
     assert language.train(df.where("lang = 'xx'"), "pool_idx", "output", "lang").table.sum() == 0
 
 
@@ -71,6 +86,7 @@ PROMPT = "Let 31x - 3.5 = y be the rule written down by Norora. Determine y for
         ("I'm sorry, but I can’t help with that.", ["refusal"]), ("<think>Let us see.</think>\n\nI must decline to answer this question.", ["refusal"]), ('The program prints "Sorry, I can\'t help with that." when the list is empty.\n\n$\\boxed{3}$', []),
         ("I cannot factor this over the integers, so I switch to the quadratic formula.\n\nThe value is $\\boxed{4}$.", []),
         ("<think>First we look at the rule", ["truncated"]), ("The value is $\\boxed{4", ["truncated"]), ("```python\nprint(1)", ["truncated"]), ("We see that the rule holds for the", ["truncated"]), ("The remaining cases are as follows:", ["truncated"]), ("The rule gives the value 3.", []),
+        ("So the rule gives the value as above.\n\nAnswer: \\frac{5}{38}", []), ("So the rule gives the value as above, that is \\frac{5}", ["truncated"]),
         ("Hier muss man aufpassen, weil die Regel zweimal gezählt wird. Das Ergebnis der Aufgabe ist also gleich 5.", ["language"]),
     ],
 )
