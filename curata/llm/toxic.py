@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import map_batches, source_key
+from curata.llm.common import LONGEST_SAMPLED, SAMPLE_CHARS, map_batches, sampled, source_key
 from curata.llm.ngrams import grams, linear
 from curata.llm.toxic_seeds import sentences
 
@@ -39,8 +39,6 @@ STEPS, SMOOTH, PENALTY = 30, 0.5, 2e-4
 LEAST_RATIO = 0.3
 #: A sentence is of a kind from this probability.
 THRESHOLD = 0.2
-#: Scores below this are 0.
-LEAST = 0.02
 #: Fits, each with the examples of the one before. Bound of the harmless sentences of a fit.
 ROUNDS, MAX_HARMLESS = 4, 6000
 
@@ -254,23 +252,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on bounded samples of reviewed and unreviewed documents, chosen by a hash of the key."""
     verdict = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("m")).where("m <> 0.5").select("doc_id", (F.col("m") > 0.5).alias("bad"))
     counts = {r.bad: r["count"] for r in verdict.groupBy("bad").count().collect()}
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    limit = F.when(F.col("bad"), F.lit(_parts(counts.get(True, 0), LABELLED_DOCS))).otherwise(F.lit(_parts(counts.get(False, 0), LABELLED_DOCS)))
-    chosen = verdict.where(h < limit).select("doc_id", "bad").collect()  # bounded
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    size = docs.agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("c")).first()
+    flat = min(1.0, BACKGROUND_DOCS / max(size.n, 1), SAMPLE_CHARS / max(size.c or 0, 1))
+    mean = (size.c or 0) / max(size.n, 1)
+    share = {bad: min(1.0, LABELLED_DOCS / max(n, 1), SAMPLE_CHARS / max(n * mean, 1.0)) for bad, n in counts.items()}
+    own = F.coalesce(*(F.when(F.col("bad") == bad, F.lit(v)) for bad, v in share.items()), F.lit(0.0))
+    chosen = verdict.where(sampled(F.col("doc_id"), F.lit(""), own)).select("doc_id", "bad").collect()  # bounded
+    texts = docs.select("doc_id", "text").where((F.length("text") <= LONGEST_SAMPLED) & F.col("doc_id").isNotNull())
     known = {r.doc_id: r.bad for r in chosen}
-    flat = _parts(docs.count(), BACKGROUND_DOCS)
     ids = docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id bigint").withColumn("chosen", F.lit(True))
     # one pass over the texts: the bounded list of reviewed documents, and the background
-    rows = texts.join(F.broadcast(ids), "doc_id", "left").where(F.col("chosen") | (h < flat)).select("doc_id", "text").collect()
+    rows = texts.join(F.broadcast(ids), "doc_id", "left").where(F.col("chosen") | sampled(F.col("doc_id"), F.col("text"), F.lit(flat))).select("doc_id", "text").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return learn([(r.text, known[r.doc_id]) for r in rows if r.doc_id in known], [r.text for r in rows if r.doc_id not in known])
 
 
-def _parts(rows: int, most: int) -> int:
-    return int(min(1.0, most / max(rows, 1)) * 1_000_000)
-
-
 class Scorer:
     """Scores texts sentence by sentence; sentences seen before aren't scored again."""
 
@@ -288,8 +284,8 @@ class Scorer:
         at = {u: k for k, u in enumerate(dict.fromkeys(clear))}
         p = self.model.probabilities(list(at))
         zero = (0.0,) * len(KINDS)
-        some = [tuple(x) if max(x) >= LEAST else None for x in p.tolist()]
-        self.known.update((u, some[at[c]] if len(c) > 1 else None) for u, c in zip(new, clear))
+        each = [tuple(x) for x in p.tolist()]
+        self.known.update((u, each[at[c]] if len(c) > 1 else None) for u, c in zip(new, clear))
         out = []
         for us in split:
             found = [x for x in map(self.known.__getitem__, us) if x is not None]
