@@ -7,13 +7,14 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.functions import algebra
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
@@ -118,23 +119,50 @@ def similarity(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
 DROPPED = ("\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "^\\circ", "^{\\circ}", "\\$", "$", "\\%", "%", "\\mathrm", "\\displaystyle")
 EQUAL_SIGNS = {"\\tfrac": "\\frac", "\\dfrac": "\\frac", "\\neq": "\\ne", "\\leq": "\\le", "\\geq": "\\ge", "\\pi": "pi", "\\infty": "inf", "∞": "inf", "π": "pi", "−": "-"}
 UNITS = "degrees? cm mm km meters? metres? inches feet ft miles hours? minutes? seconds? days? weeks? years? dollars? cents? units? points? square cubic".split()
+# Number words and their values, and months by number.
+ONES = {w: k for k, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: 10 * k for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+MONTHS = {w: k for k, w in enumerate("january february march april may june july august september october november december".split(), 1)}
 _TEXT = re.compile(r"\\(?:text|mbox|mathrm|textbf)\s*\{([^{}]*)\}")
 _UNIT = re.compile(r"(?<=[\d}\s])\s*(?:%s)(?:\^\{?\d\}?)?\b\.?" % "|".join(UNITS))
 
 
+def worded_number(text: str) -> str:
+    """The digits of a number in words ("minus twenty-one", "two hundred and five"), or the text as it is."""
+    words = [w for w in re.split(r"[\s-]+", text.strip().lower()) if w and w != "and"]
+    sign = bool(words) and words[0] in ("minus", "negative")
+    words = words[sign:]
+    if not words or any(w not in ONES and w not in TENS and w not in SCALES for w in words) or words[0] in SCALES:
+        return text
+    whole = part = 0
+    for w in words:
+        if w == "hundred":
+            part *= 100
+        elif w in SCALES:
+            whole, part = whole + part * SCALES[w], 0
+        else:
+            part += ONES.get(w, TENS.get(w, 0))
+    return f"{'-' if sign else ''}{whole + part}"
+
+
 def canonical(answer: str | None) -> str:
-    """One spelling of a mathematical answer: no styling, units, spaces or trailing zeros; NULL is empty.
+    """One spelling of a mathematical answer: no styling, units, spaces or trailing zeros; numbers and months in words as digits; NULL is empty.
 
     Idempotent and independent of machine load; the order of the steps is part of the definition.
     """
     s = (answer or "").strip().rstrip(".").replace("\n", "")
+    s = worded_number(s)
+    s = re.sub(r"\\begin\{array\}(?:\{[^{}]*\})?", r"\\begin{pmatrix}", s).replace("\\end{array}", "\\end{pmatrix}").replace("bmatrix", "pmatrix")
+    s = str(MONTHS.get(s.lower(), s))
     for old, new in EQUAL_SIGNS.items():
         s = s.replace(old, new)
     for part in DROPPED:
         s = s.replace(part, "")
     s = _TEXT.sub(lambda m: f" {m[1]}", s)
     s = _UNIT.sub("", s.strip())
-    s = re.sub(r"^[a-zA-Z]\s*=\s*", "", s.strip())
+    s = re.sub(r"^\\?[a-zA-Z](?:_\{?\w\}?)?\s*(?:=|\\in(?![a-z]))\s*(?=[^=]*$)", "", s.strip())
+    s = re.sub(r"\s+(?:and|or)\s+(?=[\d\\-])", ",", s)
     s = re.sub(r"\\frac\s*(\d)\s*(\d)(?!\d)", r"\\frac{\1}{\2}", s)
     s = re.sub(r"\\frac\s*(\d)\s*\{", r"\\frac{\1}{", s)
     s = re.sub(r"\\sqrt\s*(\w)", r"\\sqrt{\1}", s)
@@ -147,103 +175,26 @@ def canonical(answer: str | None) -> str:
     return s
 
 
-_LEAF = re.compile(r"\d+(?:\.\d+)?|pi|\\frac|\\sqrt|\\cdot|\\times|\\div|[-+*/^(){}]")
-
-
-class _Parser:
-    """Values of arithmetic over numbers, pi, fractions, roots and powers. No names, no calls, nothing evaluated as code."""
-
-    def __init__(self, text: str):
-        self.t = _LEAF.findall(text)
-        if "".join(self.t) != text or len(self.t) > 200:
-            raise ValueError
-        self.i = 0
-
-    def peek(self):
-        return self.t[self.i] if self.i < len(self.t) else ""
-
-    def take(self, x=None):
-        v = self.peek()
-        if not v or (x and v != x):
-            raise ValueError
-        self.i += 1
-        return v
-
-    def sum(self):
-        v = self.product()
-        while self.peek() in ("+", "-"):
-            v = v + self.product() if self.take() == "+" else v - self.product()
-        return v
-
-    def product(self):
-        v = self.power()
-        while True:
-            x = self.peek()
-            if x in ("*", "\\cdot", "\\times"):
-                self.take()
-                v = v * self.power()
-            elif x in ("/", "\\div"):
-                self.take()
-                v = v / self.power()
-            elif x and (x[0].isdigit() or x in ("(", "\\frac", "\\sqrt", "pi", "{")):
-                v = v * self.power()
-            else:
-                return v
-
-    def power(self):
-        if self.peek() in ("-", "+"):
-            return -self.power() if self.take() == "-" else self.power()
-        v = self.atom()
-        if self.peek() == "^":
-            self.take()
-            e = self.power()
-            if abs(e) > 64:
-                raise ValueError
-            return v**e
-        return v
-
-    def group(self):
-        self.take("{")
-        v = self.sum()
-        self.take("}")
-        return v
-
-    def atom(self):
-        x = self.take()
-        if x[0].isdigit():
-            return Fraction(x)
-        if x == "pi":
-            return math.pi
-        if x == "\\frac":
-            a = self.group()
-            return a / self.group()
-        if x == "\\sqrt":
-            return float(self.group()) ** 0.5
-        if x in ("(", "{"):
-            v = self.sum()
-            self.take(")" if x == "(" else "}")
-            return v
-        raise ValueError
-
-
 def value(text: str) -> float | None:
-    """The value of an arithmetic answer, or None if it isn't one."""
-    try:
-        p = _Parser(text)
-        v = p.sum()
-        if p.i != len(p.t) or isinstance(v, complex):
-            return None
-        return float(v)
-    except (ValueError, ZeroDivisionError, OverflowError, RecursionError, TypeError):
+    """The value of an answer without names, or None if it isn't a real number."""
+    tree = algebra.read(text)
+    if tree is None or algebra.names(tree):
         return None
+    x = algebra.value(tree, {})
+    return None if x is None or abs(complex(x).imag) > 1e-9 else float(complex(x).real)
+
+
+def near(x: float, y: float, absolute: float = 1e-4) -> bool:
+    return x == y or abs(x - y) <= max(1e-9 * max(abs(x), abs(y)), absolute)
 
 
-def same_answer(pred: str | None, gold: str | None, depth: int = 0) -> bool:
-    """Whether two answers are the same: spelling, letters, lists, numbers (a per cent off by 100 passes), tuples, values.
+def same_answer(pred: str | None, gold: str | None) -> bool:
+    """Whether two answers are the same: spelling, letters, numbers (a per cent off by 100 passes), matrices, tuples and intervals,
+    lists in any order, equations, expressions as functions of their names.
 
-    NULL and empty answers equal nothing. Deterministic: no time limits, bounded depth.
+    NULL and empty answers equal nothing. Deterministic: no time limits.
     """
-    if not pred or not gold or depth > 5:
+    if not pred or not gold:
         return False
     a, b = canonical(pred), canonical(gold)
     if not a or not b:
@@ -254,18 +205,59 @@ def same_answer(pred: str | None, gold: str | None, depth: int = 0) -> bool:
         return re.sub(r"[^A-E]", "", a.upper())[-1:] == b.strip("()")
     x, y = value(a), value(b)
     if x is not None and y is not None:
-        return any(abs(x - r) <= max(1e-9 * max(abs(x), abs(r)), 1e-4) for r in (y, y / 100, y * 100))
-    tuple_a, tuple_b = (re.fullmatch(r"([(\[])(.+)([)\]])", t) for t in (a, b))
-    if tuple_a and tuple_b and tuple_a[1] + tuple_a[3] == tuple_b[1] + tuple_b[3]:
-        p, q = tuple_a[2].split(","), tuple_b[2].split(",")
-        return len(p) == len(q) and (len(p) > 1 or tuple_a[2] != a) and all(same_answer(u, v, depth + 1) for u, v in zip(p, q))
-    if "," in a and "," in b and not (tuple_a or tuple_b):
-        p, q = sorted(a.split(",")), sorted(b.split(","))
-        return len(p) == len(q) and all(same_answer(u, v, depth + 1) for u, v in zip(p, q))
+        return any(near(x, r) for r in (y, y / 100, y * 100))
+    m, n = algebra.matrix(a), algebra.matrix(b)
+    if m is not None or n is not None:
+        return m is not None and n is not None and [len(r) for r in m] == [len(r) for r in n] and all(same_answer(u, v) for r, s in zip(m, n) for u, v in zip(r, s))
+    inner_a, inner_b = (re.fullmatch(r"([(\[]|\\\{)(.+)([)\]]|\\\})", t) for t in (a, b))
+    if inner_a and inner_b:
+        p, q = algebra.members(inner_a[2]), algebra.members(inner_b[2])
+        if len(p) > 1 or len(q) > 1:
+            if inner_a[1] == inner_b[1] == "\\{":  # sets
+                return algebra.matching(p, q, same_answer)
+            return inner_a[1] + inner_a[3] == inner_b[1] + inner_b[3] and len(p) == len(q) and all(same_answer(u, v) for u, v in zip(p, q))
+    p, q = algebra.members(a), algebra.members(b)
+    if len(p) > 1 and len(q) > 1:
+        return algebra.matching(p, q, same_answer)
     if a.count("=") == 1 and b.count("=") == 1:
-        (p, q), (r, s) = a.split("="), b.split("=")
-        return (same_answer(p, r, depth + 1) and same_answer(q, s, depth + 1)) or (same_answer(p, s, depth + 1) and same_answer(q, r, depth + 1))
-    return False
+        return algebra.same_equation(a, b) or any(same_answer(p, r) and same_answer(q, s) for (p, q), (r, s) in ((a.split("="), b.split("=")), (a.split("="), b.split("=")[::-1])))
+    return algebra.equal(a, b)
+
+
+def same_simple(pred: str | None, gold: str | None) -> bool:
+    """Numbers within 1e-5, else the same spelling; NULL equals nothing."""
+    if pred is None or gold is None:
+        return False
+    try:
+        return abs(float(pred.replace(",", "")) - float(gold.replace(",", ""))) <= 1e-5
+    except ValueError:
+        return pred.strip() == gold.strip()
+
+
+def same_latex(a: str | None, b: str | None) -> bool:
+    """Whether two LaTeX strings are the same expression or equation, or spelled alike without spaces."""
+    if a is None or b is None:
+        return False
+    return re.sub(r"\s+", "", a) == re.sub(r"\s+", "", b) or algebra.equal(a, b) or algebra.same_equation(a, b)
+
+
+def theorem_answer(text: str | None) -> str | None:
+    """The answer of a theorem question: True or False, an option in brackets, a number (also computed, without units and pi's sign), else the last number.
+
+    NULL stays NULL; a text with none of these is returned trimmed.
+    """
+    if text is None:
+        return None
+    t = re.sub(r"(?i)^.*\b(?:answer|therefore|so)\b\s*(?:is|:)?\s*", "", text.strip().replace("\n", " ")).strip().rstrip(".")
+    if m := re.search(r"(?i)\b(true|false|yes|no|correct|incorrect|wrong)\b", t):
+        return "True" if m[1].lower() in ("true", "yes", "correct") else "False"
+    if m := re.search(r"\(([a-fA-F])\)", t):
+        return f"({m[1].lower()})"
+    bare = re.sub(r"^[a-zA-Z]\s*=\s*|[$~]|\\approx", "", _UNIT.sub("", t)).strip()
+    if (v := value(canonical(bare))) is not None:
+        return f"{v:.12g}"
+    found = re.findall(r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?", t)
+    return found[-1].replace(",", "") if found else t
 
 
 @F.pandas_udf(T.StringType())
@@ -273,7 +265,37 @@ def canonical_answer(s: pd.Series) -> pd.Series:
     return s.map(canonical)
 
 
-@F.pandas_udf(T.BooleanType())
-def answers_equal(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    memo: dict = {}
-    return pd.Series([memo[k] if (k := (p, g)) in memo else memo.setdefault(k, same_answer(p, g)) for p, g in zip(pred, gold)], dtype=bool)
+
+
+def _judged(same):
+    @F.pandas_udf(T.BooleanType())
+    def judge(pred: pd.Series, gold: pd.Series) -> pd.Series:
+        memo: dict = {}
+        return pd.Series([memo[k] if (k := (p, g)) in memo else memo.setdefault(k, same(p, g)) for p, g in zip(pred, gold)], dtype=bool)
+
+    return judge
+
+
+answers_equal, simply_equal, latex_equal = _judged(same_answer), _judged(same_simple), _judged(same_latex)
+
+
+@F.pandas_udf(T.StringType())
+def theorem_answers(s: pd.Series) -> pd.Series:
+    return s.map(theorem_answer)
+
+
+def token_lengths(load=None):
+    """A column function that counts tokens with a tokenizer: ``load`` makes, once a worker, a function from texts to counts.
+
+    Without one, runs of letters and digits and single other signs are tokens. NULL and empty texts have none.
+    """
+    word = re.compile(r"\w+|[^\w\s]")
+    made: list = []
+
+    @F.pandas_udf(T.LongType())
+    def count(s: pd.Series) -> pd.Series:
+        if not made:
+            made.append(load() if load else lambda texts: [len(word.findall(t)) for t in texts])
+        return pd.Series(made[0]([t or "" for t in s]), dtype="int64")
+
+    return count
