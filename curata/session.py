@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from curata.plans.lineage import own_folder
+
 #: Settings that hold on a cluster as on a laptop; sizes are left to the cluster.
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,6 +26,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         "spark.driver.memory": os.environ.get("CURATA_DRIVER_MEMORY", "8g"),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": "file://" + own_folder(),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.sources import files
+
 #: Formats by file extension.
 FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "orc": "orc", "arrow": "arrow", "txt": "text"}
 
 
+#: Where an entry's data may come from, the first that is named wins; and parts of an entry that go with one format only.
+PRECEDENCE = ("hub", "script", "cloud", "file")
+STAGES = ("pretraining", "supervised", "preference", "rated")
+
+
 @dataclass
 class Dataset:
     """An entry of the registry: where a data set lies and which columns play which part."""
@@ -26,12 +34,15 @@ class Dataset:
     ranking: bool = False
     num_samples: int | None = None
     split: str = "train"
+    origin: str = "file"
 
     def __post_init__(self):
         if self.formatting not in ("instruction", "chat"):
             raise ValueError(f"unknown formatting {self.formatting}")
         if self.num_samples is not None and self.num_samples < 1:
             raise ValueError("num_samples must be positive")
+        if self.origin not in PRECEDENCE:
+            raise ValueError(f"unknown origin {self.origin}")
 
     def role(self, part: str) -> str | None:
         """The column of a part. With ``columns`` given, parts it doesn't list have none, defaults included."""
@@ -39,17 +50,55 @@ class Dataset:
         return self.columns.get(part) if self.columns else defaults.get(part)
 
 
+@dataclass(frozen=True)
+class DataArguments:
+    """What a run asks of its data; combinations that make no sense are errors."""
+
+    datasets: tuple[str, ...] = ()
+    weights: tuple[float, ...] = ()
+    strategy: str = "concat"
+    cutoff: int = 2048
+    validation: float = 0.0
+    validation_sets: tuple[str, ...] = ()
+    streaming: bool = False
+    max_steps: int | None = None
+    max_samples: int | None = None
+    packing: bool = False
+    mask_history: bool = False
+    train_on_prompt: bool = False
+    stage: str = "supervised"
+
+    def __post_init__(self):
+        from curata.streaming.streams import check_arguments
+
+        rules = {
+            "the strategy must be concat or interleave": self.strategy in ("concat", "interleave"),
+            "weights are for interleaving": not self.weights or self.strategy == "interleave",
+            "there must be as many weights as data sets": not self.weights or len(self.weights) == len(self.datasets),
+            "the cutoff must be positive": self.cutoff > 0,
+            "the validation size must not be negative": self.validation >= 0,
+            "a validation size needs data sets": not self.validation or bool(self.datasets),
+            "give a validation size or validation sets, not both": not (self.validation and self.validation_sets),
+            "max_samples must be positive": self.max_samples is None or self.max_samples > 0,
+            "mask_history and train_on_prompt exclude each other": not (self.mask_history and self.train_on_prompt),
+            "unknown stage": self.stage in STAGES,
+            "packing is for pretraining and supervised data": not self.packing or self.stage in STAGES[:2],
+        }
+        for message, holds in rules.items():
+            if not holds:
+                raise ValueError(message)
+        check_arguments(self.streaming, self.max_steps, self.max_samples, self.validation)
+
+
 class Registry:
-    """Data sets by name, kept in a JSON file."""
+    """Data sets by name, kept in a JSON file; with a session, in any file system it knows."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark or SparkSession.getActiveSession()
 
     def entries(self) -> dict[str, dict]:
-        if not os.path.exists(self.path):
-            return {}
-        with open(self.path) as f:
-            return json.load(f)
+        text = files.read_text(self.spark, self.path)
+        return json.loads(text) if text else {}
 
     def get(self, name: str) -> Dataset:
         e = self.entries()
@@ -60,9 +109,36 @@ class Registry:
     def put(self, d: Dataset) -> None:
         """Add or replace an entry; the file is replaced as a whole."""
         e = self.entries() | {d.name: {k: v for k, v in d.__dict__.items() if k != "name"}}
-        with open(self.path + ".tmp", "w") as f:
-            json.dump(e, f, indent=1, ensure_ascii=False)
-        os.replace(self.path + ".tmp", self.path)
+        files.write_text(self.spark, self.path, json.dumps(e, indent=1, ensure_ascii=False))
+
+
+def resolved(name: str, entry: dict, folder: str, online: bool = False) -> Dataset:
+    """The data set of an entry that names several places: hub before script before cloud before file.
+
+    Hubs need a network and are an error here unless the caller is ``online``; a file's name is below the registry's folder, a cloud's is whole.
+    """
+    places = [k for k in PRECEDENCE if entry.get(k)]
+    if not places:
+        raise ValueError(f"data set {name} names no place")
+    origin = places[0]
+    if origin == "hub" and not online:
+        if len(places) == 1:
+            raise ValueError(f"data set {name} lies on a hub")
+        origin = places[1]
+    if origin == "cloud" and not entry["cloud"].startswith(tuple(f"{s}://" for s in files.CLOUD)):
+        raise ValueError(f"{entry['cloud']} is no cloud path")
+    path = entry[origin] if origin in ("hub", "cloud") else f"{folder}/{entry[origin]}"
+    return Dataset(name, path, origin=origin, **{k: v for k, v in entry.items() if k not in PRECEDENCE})
+
+
+def merged(parts: dict[str, tuple[Dataset, DataFrame]], stage: str, merge: bool = True) -> DataFrame | dict[str, DataFrame]:
+    """The aligned data sets of a run as one, or by name; ranking data goes with preference training only, and other data with the rest."""
+    from curata.operators.relational import unions
+
+    for name, (d, _) in parts.items():
+        if d.ranking != (stage == "preference"):
+            raise ValueError(f"data set {name} doesn't go with {stage} training")
+    return unions([df for _, df in parts.values()]) if merge else {k: df for k, (_, df) in parts.items()}
 
 
 def extension_of(paths: list[str]) -> str:
@@ -73,16 +149,33 @@ def extension_of(paths: list[str]) -> str:
     return kind
 
 
+def arrow_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Arrow files as a table: each is opened where it is read, the driver sees a schema only."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    content = spark.read.format("binaryFile").load(paths).select("content")
+
+    def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"s": [pa.ipc.open_file(c.as_buffer()).schema.serialize().to_pybytes()]})
+
+    schema = pa.ipc.read_schema(pa.py_buffer(content.limit(1).mapInArrow(schemas, "s binary").first().s))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(0):
+                yield from pa.ipc.open_file(c.as_buffer()).read_all().cast(schema).to_batches()
+
+    return content.mapInArrow(rows, from_arrow_schema(schema))
+
+
 def load(spark: SparkSession, d: Dataset, schema: T.StructType | str | None = None) -> DataFrame:
-    """A registered data set: a file or a folder of files of one kind; cloud paths go through Hadoop's connectors."""
-    paths = [d.path]
-    if os.path.isdir(d.path):
-        paths = sorted(os.path.join(d.path, p) for p in os.listdir(d.path) if not p.startswith((".", "_")))
+    """A registered data set: a file or a folder of files of one kind, in any file system Hadoop knows; ``num_samples`` caps it by position."""
+    paths = files.listed(spark, d.path)
     kind = extension_of(paths)
     if kind == "arrow":
-        import pyarrow as pa
-
-        return spark.createDataFrame(pa.concat_tables(pa.ipc.open_file(p).read_all() for p in paths))
+        return arrow_tables(spark, paths)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "json" and any(p.endswith(".json") for p in paths):
         reader = reader.option("multiLine", True)
@@ -91,6 +184,76 @@ def load(spark: SparkSession, d: Dataset, schema: T.StructType | str | None = No
     return reader.format(FORMATS[kind]).load(paths)
 
 
+def first_samples(df: DataFrame, order: str, most: int | None) -> DataFrame:
+    """At most ``most`` rows, by position."""
+    return df if most is None else df.where(F.col(order) < most)
+
+
+def positions(df: DataFrame, groups: list[str], name: str = "i") -> DataFrame:
+    """Add the place (from 0) of each row of files in its group: files by name, lines as they stand."""
+    w = Window.partitionBy(*groups).orderBy("__file", "__block", "__at")
+    d = df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
+    return d.withColumn(name, (F.row_number().over(w) - 1).cast("bigint")).drop("__file", "__block", "__at")
+
+
+def benchmark_questions(spark: SparkSession, path: str, prefix: str = "", keys: tuple[str, ...] = ("question", "problem", "Question", "input")) -> DataFrame:
+    """(bench, i, question) of all benchmarks of a folder or glob of JSON lines; a bench is a file's name, after a prefix.
+
+    The text is that of the first key with one, trimmed. A bench is small, so its places are counted in one task.
+    """
+    raw = spark.read.json(path)
+    d = raw.select("*", F.concat(F.lit(prefix), F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:/part-[^/]*)?\.jsonl?(?:/part-[^/]*)?$", 1)).alias("bench"))
+    there = [F.col(k).cast("string") for k in keys if k in raw.columns]
+    return positions(d, ["bench"]).select("bench", "i", F.trim(F.coalesce(*there)).alias("question"))
+
+
+def run_results(spark: SparkSession, root: str, benches: list[str], schema: str) -> DataFrame:
+    """Rows of ``root/<run>/<bench>*.jsonl`` with (run, bench, file): of several files of a bench the last by name."""
+    d = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(root).select("*", F.col("_metadata.file_path").alias("file"))
+    named = r"([^/]+)/(" + "|".join(benches) + r")[^/]*\.jsonl$"
+    d = d.withColumns({"run": F.regexp_extract("file", named, 1), "bench": F.regexp_extract("file", named, 2)}).where("bench <> ''")
+    last = d.groupBy("run", "bench").agg(F.max("file").alias("file"))  # as many rows as files
+    return d.join(F.broadcast(last), ["run", "bench", "file"])
+
+
+def save_predictions(df: DataFrame, prompt: str, predict: str, label: str, path: str) -> None:
+    """Predictions as JSON lines of (prompt, predict, label); missing ones are empty."""
+    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((prompt, "prompt"), (predict, "predict"), (label, "label")))).write.mode("overwrite").json(path)
+
+
+def save_report(df: DataFrame, path: str, digits: int = 3) -> str:
+    """A small table as CSV and Markdown beside each other; returns the Markdown."""
+    text = markdown(df, digits)
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    files.write_text(df.sparkSession, f"{path}/report.md", text + "\n")
+    return text
+
+
+def gathered(source: DataFrame, key: str, ids: DataFrame, position: str) -> DataFrame:
+    """The rows of a list of keys, in its order: (``position``, the source's columns); a key listed twice comes twice, one without a row is an error at once."""
+    wanted = ids.select(key, position)
+    missing = wanted.join(source.select(key), key, "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"keys without a row, such as {[r[key] for r in missing]}")
+    return wanted.join(source, key).select(position, *source.columns).orderBy(position)
+
+
+def media_paths(paths: Column, folder: str) -> Column:
+    """Media names below a folder, unless they are whole paths or addresses. Whether files exist is the reader's matter, where they are opened."""
+    return F.transform(paths, lambda p: F.when(p.rlike(r"^(/|[a-zA-Z][a-zA-Z0-9+.-]*://)"), p).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), p)))
+
+
+def settings(text: str) -> dict[str, str]:
+    """``key: value`` lines of a configuration without comments and blank lines; the first colon divides."""
+    out = {}
+    for line in text.splitlines():
+        line = line.split("#", 1)[0].strip()
+        if ":" in line:
+            k, _, v = line.partition(":")
+            out[k.strip()] = v.strip()
+    return out
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | None = None, strict: bool = True) -> DataFrame:
     """JSON lines; a bad line is fatal, or dropped if not strict."""
     r = spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED")
@@ -133,7 +296,7 @@ def transcript_turns(df: DataFrame, key: str, text: str, speaker: str = "[A-Z][a
     return t.select(key, "turn", F.substring_index("x", ": ", 1).alias("speaker"), F.regexp_replace(F.regexp_replace("x", f"^{speaker}: ", ""), "^\\s+|\\s+$", "").alias("content"))
 
 
-def alternating(values: F.Column) -> F.Column:
+def alternating(values: Column) -> Column:
     """A list of texts as user and assistant turns; an odd last one is dropped, fewer than two give NULL."""
     even = F.size(values) - F.size(values) % 2
     turns = F.transform(F.slice(values, F.lit(1), even), lambda x, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), x.alias("content")))
@@ -170,28 +333,39 @@ def page(df: DataFrame, order: str, index: int, size: int = 2) -> DataFrame:
     return df.orderBy(order).offset(index * size).limit(size)
 
 
-def write_subset(df: DataFrame, key: str, n: int, folder: str) -> str:
-    """Write exactly n distinct rows with a fingerprint of their keys; returns the fingerprint.
+#: Ranges of keys whose digests make up a fingerprint.
+DIGESTS = 4096
 
-    The fingerprint is the SHA-256 of the sorted keys joined by commas, taken over one column.
+
+def fingerprint(df: DataFrame, key: str) -> tuple[int, int, str]:
+    """(rows, distinct keys, SHA-256) of a set of keys; a task sees a bucket of them, the driver ``DIGESTS`` digests.
+
+    Each bucket's digest is that of its sorted keys joined by commas, and the fingerprint is the digest of these in order.
     """
-    keys = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ","), 256).alias("f")).first()
-    if keys.n != n or keys.d != n:
-        raise ValueError(f"{keys.n} rows with {keys.d} keys, not {n}")
-    df.write.mode("errorifexists").json(os.path.join(folder, "data"))
-    df.select(key).write.csv(os.path.join(folder, "keys"))
-    with open(os.path.join(folder, "meta.json"), "w") as f:
-        json.dump({"n": n, "key": key, "keys_sha256": keys.f}, f)
-    return keys.f
+    k = df.select(F.col(key).cast("string").alias("k"))
+    by = k.groupBy(F.pmod(F.xxhash64("k"), F.lit(DIGESTS)).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("k").alias("d"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("f"))
+    rows = sorted(by.collect())
+    import hashlib
+
+    return sum(r.n for r in rows), sum(r.d for r in rows), hashlib.sha256("".join(f"{r.b}:{r.f};" for r in rows).encode()).hexdigest()
+
+
+def write_subset(df: DataFrame, key: str, n: int, folder: str, order: str | None = None) -> str:
+    """Write exactly n distinct rows, in a given order, with a fingerprint of their keys and their list; returns the fingerprint."""
+    rows, distinct, told = fingerprint(df, key)
+    if rows != n or distinct != n:
+        raise ValueError(f"{rows} rows with {distinct} keys, not {n}")
+    (df.orderBy(order) if order else df).write.mode("errorifexists").json(f"{folder}/data")
+    df.select(key).write.csv(f"{folder}/keys")
+    files.write_text(df.sparkSession, f"{folder}/meta.json", json.dumps({"n": n, "key": key, "keys_sha256": told}))
+    return told
 
 
 def read_subset(spark: SparkSession, source: DataFrame, key: str, folder: str) -> DataFrame:
     """The rows of a written subset from their source, after checking the keys' fingerprint."""
-    with open(os.path.join(folder, "meta.json")) as f:
-        meta = json.load(f)
-    keys = spark.read.schema(f"{key} {dict(source.dtypes)[key]}").csv(os.path.join(folder, "keys"))
-    got = keys.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ","), 256).alias("f")).first().f
-    if got != meta["keys_sha256"]:
+    meta = json.loads(files.read_text(spark, f"{folder}/meta.json"))
+    keys = spark.read.schema(f"{key} {dict(source.dtypes)[key]}").csv(f"{folder}/keys")
+    if fingerprint(keys, key)[2] != meta["keys_sha256"]:
         raise ValueError("the keys don't match their fingerprint")
     return source.join(keys, key, "left_semi")
 
