@@ -50,3 +50,18 @@ def tokens_per_second(tokens: Column, epochs: Column, seconds: Column) -> Column
 def chosen_first(chosen: Column, rejected: Column) -> Column:
     """1 where the chosen side scores higher, else 0; the mean is the preference accuracy."""
     return (chosen > rejected).cast("int")
+
+
+def model_flops(tokens: Column, length: Column, layers: int, hidden: int, inner: int, vocabulary: int, heads: int, kv_heads: int, backward: bool = True) -> Column:
+    """Floating-point operations of a decoder with gated feed-forward layers over ``tokens`` in sequences of ``length``.
+
+    Two a weight and token, three times with the backward pass; attention adds two products of length x hidden a layer.
+    """
+    kv = hidden * kv_heads / heads
+    weights = layers * (2 * hidden * hidden + 2 * hidden * kv + 3 * hidden * inner) + hidden * vocabulary
+    return (3 if backward else 1) * (2.0 * weights * tokens + 4.0 * layers * hidden * length * tokens)
+
+
+def utilisation(flops: Column, seconds: Column, peak: Column) -> Column:
+    """The share of a device's peak that was used; NULL where no time passed."""
+    return F.when(seconds > 0, flops / seconds / peak)

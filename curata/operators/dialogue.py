@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def align_chat(messages: Column, role: str = "role", content: str = "content", n
     to = F.create_map(*(x for k, v in names.items() for x in (F.lit(k), F.lit(v))))
     m = F.transform(messages, lambda x: F.struct(to[x[role]].alias("role"), F.coalesce(x[content], F.lit("")).alias("content")))
     lead = F.try_element_at(m, F.lit(1))["role"] == "system"
-    rest = F.when(lead, F.slice(m, 2, 1_000_000)).otherwise(m)
+    rest = F.when(lead, F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
     sides = F.transform(rest, lambda x, i: F.when(i % 2 == 0, x["role"].isin("user", "observation")).otherwise(x["role"].isin("assistant", "function")))
     ok = (F.size(rest) > 0) & (F.size(rest) % 2 == 0) & F.forall(sides, lambda x: F.coalesce(x, F.lit(False)))
     none = F.expr(f"cast(array() as array<{TURN}>)")
@@ -56,6 +56,17 @@ def align_chat(messages: Column, role: str = "role", content: str = "content", n
     }
 
 
+#: Converters by formatting; users add their own with ``register_converter``.
+CONVERTERS = {"instruction": align_instruction, "chat": align_chat}
+
+
+def register_converter(name: str, convert) -> None:
+    """Add a converter: a function from columns to the aligned columns by name."""
+    if name in CONVERTERS:
+        raise ValueError(f"converter {name} already exists")
+    CONVERTERS[name] = convert
+
+
 def preference(response: Column, good: Column) -> Column:
     """A rated response as (chosen, rejected) pair with one empty side."""
     return F.when(good, F.array(response, F.lit(""))).otherwise(F.array(F.lit(""), response))
@@ -117,14 +128,77 @@ register("falcon", Template(user="User: {{content}}\nFalcon:", assistant="{{cont
 register("openchat", Template(prefix="<s>", user="GPT4 Correct User: {{content}}<|end_of_turn|>GPT4 Correct Assistant:", assistant="{{content}}<|end_of_turn|>", system="{{content}}", stop=("<|end_of_turn|>",)))
 
 
+_VICUNA = TEMPLATES["vicuna"]
+_LLAMA3, _LLAMA2, _MISTRAL, _GEMMA, _GLM = (TEMPLATES[k] for k in ("llama3", "llama2", "mistral", "gemma", "glm4"))
+
+
+def family(base: Template, names: dict[str, str | dict]) -> None:
+    """Register models that write their turns as another does; a text is the default system, else what differs."""
+    for name, other in names.items():
+        register(name, replace(base, **({"default_system": other} if isinstance(other, str) else other)))
+
+
+# Models that share a format, with their default system texts or what differs, as their model cards give them.
+_HELPFUL = "You are a helpful assistant."
+family(TEMPLATES["chatml"], {
+    "qwen": "You are Qwen, created by Alibaba Cloud. You are a helpful assistant.", "qwen2_vl": _HELPFUL, "qwen2_audio": _HELPFUL, "qwen2_omni": _HELPFUL, "qwen3_nothink": "", "llava_next_qwen": _HELPFUL, "minicpm_v": _HELPFUL, "minicpm_o": _HELPFUL,
+    "qwen3": {"reasoning": True}, "mimo": {"reasoning": True, "default_system": _HELPFUL}, "keye_vl": {"reasoning": True}, "yi": "", "smollm": "", "smollm2": "You are a helpful AI assistant named SmolLM, trained by Hugging Face.",
+    "intern2": {"prefix": "<s>"}, "dbrx": "", "opencoder": "You are OpenCoder, created by OpenCoder Team.", "chatml_de": "Du bist ein freundlicher und hilfsbereiter KI-Assistent.",
+})
+family(_VICUNA, {"llava": _VICUNA.default_system, "llava_next": _VICUNA.default_system, "llava_next_video": _VICUNA.default_system, "video_llava": _VICUNA.default_system})
+family(_LLAMA3, {"mllama": "", "llava_next_llama3": "", "skywork_o1": ""})
+family(_LLAMA2, {"llama2_zh": _HELPFUL, "breeze": {"user": "[INST] {{content}} [/INST] ", "assistant": "{{content}}", "system": "{{content}} ", "prefix": "<s>"}})
+family(_MISTRAL, {"ministral": "", "pixtral": "", "llava_next_mistral": "", "llava_next_video_mistral": "", "mistral_small": {"system": "[SYSTEM_PROMPT]{{content}}[/SYSTEM_PROMPT]", "system_in_user": False}})
+family(_GEMMA, {"gemma2": "", "gemma3": "", "gemma3n": "", "paligemma_chat": ""})
+family(_GLM, {"glm4v": {"reasoning": True}, "glm4_moe": {"reasoning": True}, "glmz1": {"reasoning": True}, "glm4v_moe": {"reasoning": True}, "chatglm3": {"prefix": "[gMASK]sop", "user": "<|user|>\n{{content}}<|assistant|>"}})
+# Fixed values: (user, assistant, system, prefix) of models with a format of their own.
+for _name, (_user, _assistant, _system, _prefix) in {
+    "aquila": ("Human: {{content}}###Assistant:", "{{content}}###", "System: {{content}}###", ""), "atom": ("<s>Human: {{content}}\n</s><s>Assistant:", "{{content}}</s>", "{{content}}", ""),
+    "baichuan": ("<reserved_102>{{content}}<reserved_103>", "{{content}}", "{{content}}", ""), "baichuan2": ("<reserved_106>{{content}}<reserved_107>", "{{content}}", "{{content}}", ""),
+    "belle": ("Human: {{content}}\n\nBelle: ", "{{content}}\n\n", "{{content}}", "<s>"), "bluelm": ("[|Human|]:{{content}}[|AI|]:", "{{content}}</s>", "{{content}}", ""), "codegeex2": ("{{content}}", "{{content}}", "{{content}}", "[gMASK]sop"),
+    "cohere": ("<|START_OF_TURN_TOKEN|><|USER_TOKEN|>{{content}}<|END_OF_TURN_TOKEN|><|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>", "{{content}}<|END_OF_TURN_TOKEN|>", "<|START_OF_TURN_TOKEN|><|SYSTEM_TOKEN|>{{content}}<|END_OF_TURN_TOKEN|>", "<BOS_TOKEN>"),
+    "cpm": ("<用户>{{content}}<AI>", "{{content}}", "{{content}}", "<s>"), "deepseek3": ("<｜User｜>{{content}}<｜Assistant｜>", "{{content}}<｜end▁of▁sentence｜>", "{{content}}", "<｜begin▁of▁sentence｜>"),
+    "deepseekcoder": ("### Instruction:\n{{content}}\n### Response:\n", "{{content}}\n<|EOT|>\n", "{{content}}", "<｜begin▁of▁sentence｜>"), "exaone": ("[|user|]{{content}}\n[|assistant|]", "{{content}}[|endofturn|]\n", "[|system|]{{content}}[|endofturn|]\n", ""),
+    "granite3": ("<|start_of_role|>user<|end_of_role|>{{content}}<|end_of_text|>\n<|start_of_role|>assistant<|end_of_role|>", "{{content}}<|end_of_text|>\n", "<|start_of_role|>system<|end_of_role|>{{content}}<|end_of_text|>\n", ""),
+    "index": ("reserved_0{{content}}reserved_1", "{{content}}", "<unk>{{content}}", ""), "intern": ("<|User|>:{{content}}\n<|Bot|>:", "{{content}}<eoa>\n", "<|System|>:{{content}}\n", "<s>"), "kimi_vl": ("<|im_user|>user<|im_middle|>{{content}}<|im_end|><|im_assistant|>assistant<|im_middle|>", "{{content}}<|im_end|>", "<|im_system|>system<|im_middle|>{{content}}<|im_end|>", ""),
+    "llama4": ("<|header_start|>user<|header_end|>\n\n{{content}}<|eot|><|header_start|>assistant<|header_end|>\n\n", "{{content}}<|eot|>", "<|header_start|>system<|header_end|>\n\n{{content}}<|eot|>", "<|begin_of_text|>"), "olmo": ("<|user|>\n{{content}}<|assistant|>\n", "{{content}}<|endoftext|>", "{{content}}", "<|endoftext|>"),
+    "orion": ("Human: {{content}}\n\nAssistant: </s>", "{{content}}</s>", "{{content}}", "<s>"), "phi4": ("<|im_start|>user<|im_sep|>{{content}}<|im_end|><|im_start|>assistant<|im_sep|>", "{{content}}<|im_end|>", "<|im_start|>system<|im_sep|>{{content}}<|im_end|>", ""),
+    "phi_small": ("<|user|>\n{{content}}<|end|>\n<|assistant|>\n", "{{content}}<|end|>\n", "<|system|>\n{{content}}<|end|>\n", "<|endoftext|>"), "solar": ("### User:\n{{content}}\n\n### Assistant:\n", "{{content}}\n\n", "### System:\n{{content}}\n\n", ""), "starchat": ("<|user|>\n{{content}}<|end|>\n<|assistant|>", "{{content}}<|end|>\n", "<|system|>\n{{content}}<|end|>\n", ""),
+    "telechat": ("<_user>{{content}}<_bot>", "{{content}}<_end>", "<_system>{{content}}<_end>", ""), "xuanyuan": ("Human: {{content}} Assistant:", "{{content}}</s>", "{{content}}", ""), "xverse": ("Human: {{content}}\n\nAssistant: ", "{{content}}<|endoftext|>", "{{content}}", ""), "yuan": ("{{content}}<sep>", "{{content}}<eod>\n", "{{content}}", ""), "ziya": ("<human>:{{content}}\n<bot>:", "{{content}}\n", "{{content}}", ""),
+}.items():
+    register(_name, Template(user=_user, assistant=_assistant, system=_system, prefix=_prefix))
+register("deepseekr1", replace(TEMPLATES["deepseek3"], reasoning=True))
+register("moonlight", TEMPLATES["kimi_vl"])
+register("default", Template(user="Human: {{content}}\nAssistant:", assistant="{{content}}\n", system="System: {{content}}\n"))
+register("empty", TEMPLATES["plain"])
+register("fewshot", Template(assistant="{{content}}\n\n"))
+
+
 def slot(pattern: str, content: Column) -> Column:
     """A pattern with its place filled, compiled to a concatenation."""
     before, _, after = pattern.partition("{{content}}")
     return F.concat(F.lit(before), content, F.lit(after)) if _ else F.lit(before)
 
 
-def encoded_turns(messages: Column, system: Column, t: Template) -> Column:
-    """The written form of each turn; the first carries prefix and system text."""
+def with_thought(answer: Column, thinking: bool | None, marks: tuple[str, str] = ("<think>\n", "\n</think>\n\n")) -> Column:
+    """An answer of a reasoning model: with thinking off, an empty thought stands before one that has none; else it is left as it is."""
+    if thinking is not False:
+        return answer
+    return F.when(F.contains(answer, F.lit(marks[0].strip())), answer).otherwise(F.concat(F.lit("".join(marks)), answer))
+
+
+def function_turn(content: Column, write, thought: tuple[str, str] = ("<think>\n", "\n</think>\n\n")) -> Column:
+    """A turn of calls given as JSON, written by a dialect (``tools.write_calls``); a thought before the calls stays before their text."""
+    pattern = "(?s)^(" + re.escape(thought[0]).replace("\\\n", "\n") + ".*?" + re.escape(thought[1]).replace("\\\n", "\n") + ")"
+    lead = F.regexp_extract(content, pattern, 1)
+    return F.concat(lead, write(F.substring(content, F.length(lead) + 1, F.length(content))))
+
+
+def encoded_turns(messages: Column, system: Column, t: Template, thinking: bool | None = None) -> Column:
+    """The written form of each turn; the first carries prefix and system text.
+
+    A reasoning template leaves out the thoughts of earlier answers and, with ``thinking`` off, gives the last one an empty thought.
+    """
     system = F.when(F.coalesce(system, F.lit("")) == "", F.lit(t.default_system)).otherwise(system)
     head = F.when(system == "", F.lit("")).otherwise(slot(t.system, system))
     last = F.size(messages) - 1
@@ -133,7 +207,7 @@ def encoded_turns(messages: Column, system: Column, t: Template) -> Column:
         body = m["content"]
         if t.reasoning:  # earlier thoughts are left out
             plain = F.regexp_replace(body, r"(?s)<think>\n.*?\n</think>\n\n", "")
-            body = F.when((m["role"] == "assistant") & (i < last), plain).otherwise(body)
+            body = F.when((m["role"] == "assistant") & (i < last), plain).when(m["role"] == "assistant", with_thought(body, thinking, t.thought)).otherwise(body)
         user = slot(t.user, F.concat(F.when(i == 0, head).otherwise(F.lit("")), body)) if t.system_in_user else slot(t.user, body)
         text = F.when(m["role"] == "user", user).when(m["role"] == "observation", slot(t.observation, body)).otherwise(slot(t.assistant, body))
         lead = F.lit(t.prefix) if t.system_in_user else F.concat(F.lit(t.prefix), head)
@@ -172,6 +246,17 @@ def frame_places(frames: Column, seconds: Column, fps: float, most: int) -> Colu
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(n == 1, F.lit(0)).otherwise(F.floor(i * (frames - 1) / F.greatest(n - 1, F.lit(1)))).cast("int"))
 
 
+def ollama(t: Template, model: str = ".") -> str:
+    """A template as a model file for a local server: its turns, system text and stop signs."""
+    put = lambda p, name: p.replace("{{content}}", "{{ ." + name + " }}")
+    head = f"{t.prefix}{{{{ if .System }}}}{put(t.system, 'System')}{{{{ end }}}}"
+    body = "{{ range .Messages }}" + f'{{{{ if eq .Role "user" }}}}{put(t.user, "Content")}{{{{ else if eq .Role "assistant" }}}}{put(t.assistant, "Content")}{{{{ end }}}}' + "{{ end }}"
+    lines = [f"FROM {model}", "", f'TEMPLATE """{head}{body}"""', ""]
+    lines += [f'SYSTEM """{t.default_system}"""', ""] if t.default_system else []
+    lines += [f'PARAMETER stop "{x}"' for x in t.stop]
+    return "\n".join(lines) + "\n"
+
+
 def jinja(t: Template) -> str:
     """A template as Jinja text."""
     put = lambda p: p.replace("{{content}}", "' + content + '").replace("\n", "\\n")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.udfs import answers_equal, canonical_answer
 from curata.plans.lineage import cut
+from curata.plans.skew import dictionary_join, hot_limit
 
 
 def contamination(docs: DataFrame, doc_id: str, text_words: Column, items: DataFrame, item_id: str, item_words: Column, shingle, n: int = 8, most_items: int = 5) -> DataFrame:
@@ -54,9 +55,41 @@ def seeded_key(*cols: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
+def mark_first(df: DataFrame, n: int, order: Sequence[Column], bucket: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: whether a row is among the first n in the total order (bucket..., order...), without ordering the table in one task.
+
+    ``bucket`` is a coarse part of the order with a bounded number of values (at most some ten thousands). Their counts tell in
+    which bucket the n-th row lies; buckets before it belong whole, later ones not at all, and only that one is ordered.
+    """
+    b = [f"__b{k}" for k in range(len(bucket))]
+    d = df.withColumns(dict(zip(b, bucket)))
+    counts = d.groupBy(*b).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the buckets
+    edge = counts.withColumn("__before", before).where((F.col("__before") < n) & (F.col("__before") + F.col("__n") >= n)).first() if n > 0 else None
+    if edge is None:  # fewer rows than n, or none wanted
+        return d.withColumn(name, F.lit(n > 0)).drop(*b)
+    key, at = F.struct(*b), F.struct(*(F.lit(edge[c]).alias(c) for c in b))
+    here = key.eqNullSafe(at)
+    rank = F.row_number().over(Window.partitionBy(*b).orderBy(*order))
+    outside = d.where(~here).withColumn(name, key < at)
+    inside = d.where(here).withColumn(name, rank <= n - edge["__before"])
+    return outside.unionByName(inside).drop(*b)
+
+
+def first_n(df: DataFrame, n: int, order: Sequence[Column], bucket: Sequence[Column]) -> DataFrame:
+    """Exactly the first n rows of a total order (all if there are fewer); see ``mark_first``."""
+    return mark_first(df, n, order, bucket, "__first").where("__first").drop("__first")
+
+
+def seeded_order(key: str, seed: int) -> tuple[list[Column], list[Column]]:
+    """(order, bucket) of the seeded order by a key: 65,536 buckets by the head of the hash."""
+    h = seeded_key(F.col(key), seed=seed)
+    return [h, F.col(key)], [F.substring(h, 1, 4)]
+
+
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows (all if there are fewer) without replacement."""
-    return df.orderBy(seeded_key(F.col(key), seed=seed), key).limit(n)
+    return first_n(df, n, *seeded_order(key, seed))
 
 
 def rank_by_buckets(df: DataFrame, groups: Sequence[str], bucket: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
@@ -82,9 +115,32 @@ def seeded_rank(df: DataFrame, groups: Sequence[str], key: str, seed: int, name:
     return rank_by_buckets(df, groups, [F.substring(h, 1, 3)], [h, F.col(key)], name)
 
 
+def fair_level(df: DataFrame, group: str, total: int) -> tuple[int, int]:
+    """(k, rest): with max-min fair quotas for ``total`` rows all groups give their first k - 1 rows and ``rest`` groups a k-th.
+
+    Only the sizes of groups that occur come to the driver; n rows have at most sqrt(2 n) different ones.
+    """
+    sizes = sorted((r["n"], r["g"]) for r in df.groupBy(group).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("g")).collect())
+    groups, taken, level = sum(g for _, g in sizes), 0, 0
+    for n, g in sizes:
+        step = groups * (n - level)
+        if taken + step >= total:
+            more, rest = divmod(total - taken, groups)
+            return level + more + 1, rest
+        taken, level, groups = taken + step, n, groups - g
+    return level + 1, 0  # everything
+
+
+def fair_first(ranked: DataFrame, rank: str, group: str, level: tuple[int, int]) -> DataFrame:
+    """The rows below the level, and the k-th rows of the first groups: one row a group is ordered."""
+    k, rest = level
+    whole = ranked.where(F.col(rank) < k)
+    return whole.unionByName(ranked.where(F.col(rank) == k).orderBy(group).limit(rest)) if rest else whole
+
+
 def water_fill(df: DataFrame, group: str, key: str, total: int, seed: int) -> DataFrame:
     """A sample of ``total`` rows with max-min fair quotas by group: the k-th rows of all groups before any k+1-th."""
-    return seeded_rank(df, [group], key, seed, "quota_rank").orderBy("quota_rank", group).limit(total)
+    return fair_first(seeded_rank(df, [group], key, seed, "quota_rank"), "quota_rank", group, fair_level(df, group, total))
 
 
 def oversample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -93,16 +149,16 @@ def oversample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     if not rows:
         return df.withColumn("round", F.lit(0))
     full, rest = divmod(n, rows)
-    last = df.orderBy(seeded_key(F.col(key), seed=seed), key).limit(rest).withColumn("round", F.lit(full))
-    whole = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(full - 1)))) if full else df.withColumn("round", F.lit(0)).limit(0)
-    return whole.unionByName(last)
+    marked = mark_first(df, rest, *seeded_order(key, seed), "__last")
+    last = F.lit(full - 1) + F.col("__last").cast("int")
+    return marked.where(last >= 0).withColumn("round", F.explode(F.sequence(F.lit(0), last))).drop("__last")
 
 
 def split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """``split`` = validation for the first ceil(share n) rows in seeded order (a share of 1 or more is a count)."""
     n = int(share) if share >= 1 else -(-int(df.count() * share * 1_000_000) // 1_000_000)
-    held = uniform_sample(df.select(key), key, n, seed).withColumn("split", F.lit("validation"))
-    return df.join(held, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    marked = mark_first(df, n, *seeded_order(key, seed), "__held")
+    return marked.withColumn("split", F.when(F.col("__held"), "validation").otherwise("train")).drop("__held")
 
 
 def interleave(df: DataFrame, source: str, key: str, weights: dict[str, int], seed: int, stop: str = "first") -> DataFrame:
@@ -127,16 +183,27 @@ def tiers(cases: Sequence[tuple[Column, int]], otherwise: int = -1) -> Column:
     return F.coalesce(*(F.when(p, F.lit(v)) for p, v in cases), F.lit(otherwise))
 
 
-def fill_by_tier(df: DataFrame, tier: str, group: str, order: Sequence[Column], total: int) -> DataFrame:
-    """``total`` rows by ascending tier; inside the tier that doesn't fit, with fair quotas by group."""
-    w = Window.partitionBy(tier, group).orderBy(*order)
-    return df.where(F.col(tier) >= 0).withColumn("quota_rank", F.row_number().over(w)).orderBy(tier, "quota_rank", group).limit(total)
-
+def fill_by_tier(df: DataFrame, tier: str, group: str, order: Sequence[Column], bucket: Sequence[Column], total: int) -> DataFrame:
+    """``total`` rows by ascending tier; inside the tier that doesn't fit, with fair quotas by group.
 
-def with_shortfall(primary: DataFrame, reserve: DataFrame, key: str, total: int, order: Sequence[Column]) -> DataFrame:
+    Tiers that fit are taken as they are; only the tier at the edge is ranked, by buckets.
+    """
+    d = df.where(F.col(tier) >= 0)
+    left, whole = total, []
+    for r in sorted(d.groupBy(tier).count().collect(), key=lambda r: r[tier]):  # as many rows as tiers
+        if r["count"] > left:
+            edge = d.where(F.col(tier) == r[tier])
+            part = fair_first(rank_by_buckets(edge, [group], bucket, order, "__rank"), "__rank", group, fair_level(edge, group, left)).drop("__rank")
+            return d.where(F.col(tier).isin(whole)).unionByName(part) if whole else part
+        whole.append(r[tier])
+        left -= r["count"]
+    return d
+
+
+def with_shortfall(primary: DataFrame, reserve: DataFrame, key: str, total: int, order: Sequence[Column], bucket: Sequence[Column]) -> DataFrame:
     """The primary rows, topped up from the reserve (without them) in its order; ``origin`` tells which."""
     have = primary.count()
-    extra = reserve.join(primary.select(key), key, "left_anti").orderBy(*order).limit(max(total - have, 0))
+    extra = first_n(reserve.join(primary.select(key), key, "left_anti"), max(total - have, 0), order, bucket)
     return primary.withColumn("origin", F.lit("primary")).unionByName(extra.withColumn("origin", F.lit("fill")), allowMissingColumns=True)
 
 
@@ -198,7 +265,8 @@ def select(rows: DataFrame, how: Selection, key: str = "pool_idx", prompt: str =
     if how.quotas:
         return water_fill(d.where(F.col(group) >= 0), group, key, how.total, how.seed).drop("quota_rank")
     if how.hardest:
-        return d.orderBy(F.col("pass_rate").asc_nulls_last(), seeded_key(F.col(key), seed=how.seed), key).limit(how.total)
+        h, rate = seeded_key(F.col(key), seed=how.seed), F.coalesce("pass_rate", F.lit(2.0))
+        return first_n(d, how.total, [rate, h, F.col(key)], [F.floor(rate * 64), F.substring(h, 1, 2)])
     return uniform_sample(d, key, how.total, how.seed)
 
 
@@ -262,14 +330,18 @@ def class_agreement(df: DataFrame, group: str, key: str, answer: str) -> DataFra
 def bootstrap_gap(scores: DataFrame, bench: str, question: str, a: str, b: str, rounds: int, seed: int) -> DataFrame:
     """(lo, hi, mean): percentiles 2.5 and 97.5 of the macro-averaged gap a - b over resampled questions.
 
-    Each round draws as many questions of each bench as it has, with replacement, by a hash of (seed, round, place);
-    the resampled means come from one join and two aggregations.
+    Each round draws as many questions of each bench as it has, with replacement. The draw of a slot in round r is
+    (a + r b) mod p mod n with a and b hashed from (seed, bench, slot) and the prime p = 2^31 - 1: one hash a slot, and draws of different
+    slots are independent. The resampled means come from one join and two aggregations.
     """
     w = Window.partitionBy(bench).orderBy(question)
     q = scores.select(bench, (F.col(a) - F.col(b)).alias("gap"), (F.row_number().over(w) - 1).alias("at"))
     n = q.groupBy(bench).agg(F.count("*").alias("n"))
-    draws = q.select(bench, F.col("at").alias("slot")).join(n, bench).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "round", bench, "slot")), 1, 8), 16, 10).cast("bigint") % F.col("n")
+    slots = q.select(bench, F.col("at").alias("slot")).join(n, bench)
+    h, p31 = F.md5(F.concat_ws("|", F.lit(str(seed)), bench, "slot")), 2**31 - 1
+    half = lambda k: F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") % p31
+    draws = slots.select(bench, "n", half(1).alias("ha"), half(9).alias("hb")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    draw = (F.col("ha") + F.col("round") * F.col("hb")) % p31 % F.col("n")
     drawn = draws.withColumn("at", draw).join(q, [bench, "at"]).groupBy("round", bench).agg(F.avg("gap").alias("m"))
     means = drawn.groupBy("round").agg(F.avg("m").alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
@@ -323,11 +395,69 @@ def term_weights(docs: DataFrame, doc: str, group: str, words: Column, stop: Seq
     Terms are kept whole; ranks come from a window of each group over its distinct terms.
     """
     t = docs.select(doc, group, F.explode(words).alias("term")).where(~F.col("term").isin(list(stop))).groupBy(doc, group, "term").agg(F.count("*").alias("tf"))
+    t = cut(t)  # read three times: numbers and words, not texts
     n = docs.select(doc).distinct().count()
     df_ = t.groupBy("term").agg(F.count("*").alias("df"))
-    w = t.join(df_, "term").withColumn("x", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    weight = df_.select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    # a term of a third of all documents is sent along, the others are shuffled
+    w = cut(dictionary_join(t, weight, ["term"], "df", hot_limit(t.count())).withColumn("x", F.col("tf") * F.col("idf")))
     norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     size = docs.groupBy(group).agg(F.count("*").alias("size"))
     mean = w.join(norm, doc).groupBy(group, "term").agg(F.sum(F.col("x") / F.col("norm")).alias("s")).join(size, group).select(group, "term", F.round(F.col("s") / F.col("size"), 6).alias("weight"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "term"))
     return mean.withColumn("rank", rank).where(F.col("rank") <= top).select(group, "rank", "term", "weight")
+
+
+def folded_runs(df: DataFrame, run: str, excluded: Sequence[str] = ("crashed", "test")) -> DataFrame:
+    """Runs without those whose name holds an excluded word, with ``base``: the shortest other run that a name continues after an underscore, else itself.
+
+    The names are few; the rows join them once.
+    """
+    kept = df.where(~reduce(lambda a, b: a | b, (F.contains(F.lower(run), F.lit(w)) for w in excluded)))
+    names = kept.select(F.col(run).alias("__name")).distinct()
+    # a run's possible bases are the heads of its own name, so this is an equality join
+    heads = names.select("__name", F.explode(F.transform(F.split("__name", "_"), lambda _, i: F.array_join(F.slice(F.split("__name", "_"), F.lit(1), i + 1), "_"))).alias("__head"))
+    base = heads.join(names.select(F.col("__name").alias("__head")), "__head").groupBy("__name").agg(F.min_by("__head", F.length("__head")).alias("base"))
+    return kept.join(base, F.col(run) == F.col("__name")).drop("__name")
+
+
+def slice_of(df: DataFrame, members: dict[str, Sequence] | None = None, ranges: dict[str, tuple] | None = None, flags: dict[str, bool] | None = None) -> DataFrame:
+    """The rows of an interactive view: columns among given values, within closed ranges (None is open), flags as wanted. A NULL is in no slice."""
+    for c, values in (members or {}).items():
+        df = df.where(F.col(c).isin(list(values)))
+    for c, (low, high) in (ranges or {}).items():
+        df = df.where(F.lit(True) if low is None else F.col(c) >= low).where(F.lit(True) if high is None else F.col(c) <= high)
+    for c, wanted in (flags or {}).items():
+        df = df.where(F.col(c) == F.lit(wanted))
+    return df
+
+
+def macro_average(df: DataFrame, run: str, bench: str, score: str, required: Sequence[str]) -> DataFrame:
+    """(run, average) over a required list of benches; NULL where one is missing."""
+    d = df.where(F.col(bench).isin(list(required))).groupBy(run).agg(F.avg(score).alias("a"), F.count_distinct(F.when(F.col(score).isNotNull(), F.col(bench))).alias("k"))
+    return df.select(run).distinct().join(d, run, "left").select(run, F.when(F.col("k") == len(set(required)), F.round("a", 6)).alias("average"))
+
+
+def first_finished(df: DataFrame, keys: Sequence[str], priority: str, score: str) -> DataFrame:
+    """Of each key the row of the first source, by priority, that has a score; keys without one are left out."""
+    return best_per_key(df.where(F.col(score).isNotNull()), keys, [F.col(priority)])
+
+
+def run_order(run: Column) -> Column:
+    """A sort key of runs: the base first, then the random ones, then all by name."""
+    return F.struct((run != "base").alias("a"), (~run.startswith("random")).alias("b"), run.alias("c"))
+
+
+def diagnostics(samples: DataFrame, keys: Sequence[str], length: str, limit: int, boxed: Column, looping: Column, right: Column) -> DataFrame:
+    """Median and 90th percentile of lengths, shares at the limit, without box and looping, and accuracy of the boxed and the unboxed ones; NULL for an empty part."""
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    q = F.percentile(length, F.array(F.lit(0.5), F.lit(0.9)))
+    d = samples.groupBy(*keys).agg(q.alias("q"), share(F.col(length) >= limit).alias("hit_max"), share(~boxed).alias("no_boxed"), share(looping).alias("loop"), share(F.when(boxed, right)).alias("right_boxed"), share(F.when(~boxed, right)).alias("right_unboxed"))
+    return d.select(*keys, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), "hit_max", "no_boxed", "loop", "right_boxed", "right_unboxed")
+
+
+def assigned(vectors: DataFrame, key: str, vector: str, centers: Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
+    """(key, cluster, distance, distances): the nearest of the given centres, the smaller number of equal ones, and the distance to every centre."""
+    d = F.array(*(F.sqrt(squared_distance(F.col(vector), F.array(*map(F.lit, c)))) for _, c in centers))
+    numbers = F.array(*(F.lit(k) for k, _ in centers))
+    return vectors.select(key, d.alias("distances")).select(key, F.element_at(numbers, F.array_position("distances", F.array_min("distances")).cast("int")).alias("cluster"), F.array_min("distances").alias("distance"), "distances")

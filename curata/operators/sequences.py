@@ -199,3 +199,19 @@ def encode_rated(prompt: Column, response: Column, mismatched: Column, cutoff: i
         p, a = F.slice(prompt, F.lit(1), s), F.slice(ids, F.lit(1), t)
         parts += [F.concat(p, a).alias(f"{name}_ids"), F.concat(F.transform(p, lambda _: F.lit(IGNORE)), a).alias("labels" if name == "input" else "kl_labels")]
     return F.struct(*parts)
+
+
+def encoder(stage: str, packing: bool = False):
+    """The encoder of a training stage: texts in blocks, turns (packed or not), preference pairs, rated responses."""
+    by_stage = {("pretraining", False): blocks, ("pretraining", True): blocks, ("supervised", False): encode_turns, ("supervised", True): pack_batches, ("preference", False): encode_preference, ("rated", False): encode_rated}
+    if (stage, packing) not in by_stage:
+        raise ValueError(f"no encoder for {stage} data{' with packing' if packing else ''}")
+    return by_stage[stage, packing]
+
+
+def sampling_plan(samples: int, most: int) -> tuple[int, int]:
+    """(rounds, samples of a round): the fewest rounds of equal size whose size divides the samples and is at most ``most``."""
+    if samples < 1 or most < 1:
+        raise ValueError("samples and batch must be positive")
+    size = max(d for d in range(1, min(samples, most) + 1) if samples % d == 0)
+    return samples // size, size

@@ -29,7 +29,7 @@ _CONTAM = f"""WITH q AS (SELECT id, {_TOK % 'problem'} AS w FROM amc), qg AS (SE
 
 def _scored(spark, folder) -> DataFrame:
     items, docs = table(spark, folder, "amc", "id", "problem"), spread(table(spark, folder, "audit_pool", "pool_idx", "output").where("output IS NOT NULL"))
-    return R.contamination(docs, "pool_idx", T.tokens(F.col("output")), items, "id", T.tokens(F.col("problem")), T.shingles)
+    return R.contamination(docs, "pool_idx", T.tokens(F.col("output")), items, "id", T.tokens(F.col("problem")), T.hashed_shingles)
 
 
 @query(_CONTAM + " SELECT pool_idx, id, score FROM (SELECT *, row_number() OVER (PARTITION BY pool_idx ORDER BY score DESC, pos, id) AS rn FROM scored WHERE score >= 0.5) WHERE rn = 1")
@@ -208,22 +208,17 @@ def run_verdicts(spark, folder):
     return d.select("run", "p", F.round(gap, 6).alias("gap"), F.when(gap > F.col("hi") - F.col("lo"), "exceeds").when(F.col("p") < F.col("lo"), "worse").otherwise("within noise").alias("verdict"))
 
 
-@query(
-    f"""WITH g AS (SELECT bench, question % 500 AS q, avg(c / n) FILTER (WHERE run = 'BUILDING') AS a, avg(c / n) FILTER (WHERE run = 'MACHINERY') AS b FROM ({_GRID}) GROUP BY ALL),
-    q AS (SELECT bench, a - b AS gap, row_number() OVER (PARTITION BY bench ORDER BY q) - 1 AS at FROM g WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT bench, count(*) AS n FROM q GROUP BY bench),
-    draws AS (SELECT q.bench, q.at AS slot, n, r.range AS round FROM q JOIN n USING (bench), range(200) r),
-    drawn AS (SELECT round, d.bench, avg(gap) AS m FROM (SELECT *, CAST('0x' || substr(md5('7|' || round || '|' || bench || '|' || slot), 1, 8) AS BIGINT) % n AS at FROM draws) d JOIN q ON q.bench = d.bench AND q.at = d.at GROUP BY ALL),
-    m AS (SELECT round, avg(m) AS m FROM drawn GROUP BY round)
-    SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(m), 6) AS mean FROM m"""
-)
-def bootstrap_interval(spark, folder):
-    """Interval of the gap between two runs by resampling of 500 groups of orders a bench, 200 rounds; ``paired_bootstrap`` resamples questions."""
-    g = grid(spark, folder).withColumn("q", F.col("question") % 500).withColumn("x", F.col("c") / F.col("n"))
-    s = g.groupBy("bench", "q").agg(F.avg(F.when(F.col("run") == "BUILDING", F.col("x"))).alias("a"), F.avg(F.when(F.col("run") == "MACHINERY", F.col("x"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return R.bootstrap_gap(s, "bench", "q", "a", "b", 200, 7)
+_PAIRED = """l AS (SELECT n_name AS bench, l_suppkey AS question, c_mktsegment AS run, l_returnflag = 'R' AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    s AS (SELECT bench, question, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE run = 'BUILDING') - avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE run = 'MACHINERY') AS gap FROM l GROUP BY ALL),
+    q AS (SELECT bench, gap, row_number() OVER (PARTITION BY bench ORDER BY question) - 1 AS place, count(*) OVER (PARTITION BY bench) AS n FROM s WHERE gap IS NOT NULL)"""
 
 
-@query()
+@query(
+    f"""WITH {_PAIRED}, h AS (SELECT bench, place AS slot, n, md5('7|' || bench || '|' || place) AS h FROM q),
+    k AS (SELECT bench, slot, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 2147483647 AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2147483647 AS b FROM h),
+    d AS (SELECT r.range AS round, bench, (a + r.range * b) % 2147483647 % n AS place FROM k, range(2000) r), m AS (SELECT round, d.bench, avg(gap) AS m FROM d JOIN q ON q.bench = d.bench AND q.place = d.place GROUP BY ALL),
+    e AS (SELECT round, avg(m) AS m FROM m GROUP BY round) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(m), 6) AS mean FROM e"""
+)
 def paired_bootstrap(spark, folder):
     """Interval of the gap between two runs by paired resampling of all questions, 2000 rounds.
 
@@ -295,15 +290,25 @@ def source_cdf(spark, folder):
     return r.join(size, F.col("source").eqNullSafe(F.col("s"))).select("source", "doc_id", ((F.col("place") - 1) / F.col("n")).alias("share"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, avg(value) AS v FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+    w AS (SELECT *, 1.8 * (1 / (1 + exp(-0.05 * n)) - 0.5) AS w FROM k), s AS (SELECT a.event_type, a.k, sum(CASE WHEN b.k = 1 THEN pow(a.w, a.k - 1) * b.v ELSE (1 - a.w) * pow(a.w, a.k - b.k) * b.v END) AS y FROM w a JOIN w b ON a.event_type = b.event_type AND b.k <= a.k GROUP BY ALL)
+    SELECT event_type, list(round(y, 6) ORDER BY k) AS smoothed FROM s GROUP BY event_type"""
+)
 def loss_smoothing(spark, folder):
-    """Smoothed series of event values by type, in the order of time."""
+    """Smoothed series of event values by type, in the order of time, to six places."""
     e = table(spark, folder, "events", "event_id", "ts", "event_type", "value")
     s = e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("v")).groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("s"))
-    return s.select("event_type", R.smoothed(F.transform("s", lambda x: x["v"])).alias("smoothed"))
+    return s.select("event_type", F.transform(R.smoothed(F.transform("s", lambda x: x["v"])), lambda y: F.round(y, 6)).alias("smoothed"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT doc_id, domain, text FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, domain, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM d),
+    tf AS (SELECT doc_id, domain, term, count(*) AS tf FROM t WHERE term NOT IN ('the', 'and', 'for', 'that', 'with', 'this', 'are', 'not') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM d),
+    w AS (SELECT doc_id, domain, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term), n), norm AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM w GROUP BY doc_id), size AS (SELECT domain, count(*) AS size FROM d GROUP BY domain),
+    m AS (SELECT w.domain, term, round(sum(x / norm) / any_value(size), 6) AS weight FROM w JOIN norm USING (doc_id) JOIN size ON w.domain = size.domain GROUP BY ALL)
+    SELECT * FROM (SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY weight DESC, term) AS INTEGER) AS rank, term, weight FROM m) WHERE rank <= 8"""
+)
 def cluster_terms(spark, folder):
     """The eight weightiest words of each domain's documents by mean tf-idf."""
     d = table(spark, folder, "documents", "doc_id", "domain", "text").where("text IS NOT NULL")
@@ -333,7 +338,7 @@ def vector_clusters(spark, folder):
 
     e = table(spark, folder, "embeddings", "vec_id", "embedding")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    v = e.select("vec_id", array_to_vector(F.transform("embedding", lambda x: (x / norm).cast("double"))).alias("features"))
+    v = cut(e.select("vec_id", array_to_vector(F.transform("embedding", lambda x: (x / norm).cast("double"))).alias("features")))  # read by four fits
     models = [KMeans(k=10, seed=s, maxIter=20).fit(v) for s in range(4)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(v).groupBy(F.col("prediction").alias("cluster_id")).agg(F.count("*").alias("n"))

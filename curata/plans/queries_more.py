@@ -19,14 +19,17 @@ def _nested(start: str, pairs: list[tuple[str, str]]) -> str:
     return start
 
 
-_FINAL = _nested("list_extract(string_split(r1_answer, '='), -1)", [*A.REPLACED, *((x, "") for x in A.REMOVED)])
-for _p, _t in ((r"(.*?)(\$)(.*?)(\$)(.*)", r"$\3$"), (r"\\text\{(.*?)\}", r"\1"), (r"\\textbf\{(.*?)\}", r"\1"), (r"\\overline\{(.*?)\}", r"\1"), (r"\\boxed\{(.*)\}", r"\1"), (r"frac([^{])(.)", r"frac{\1}{\2}"), (r"sqrt([^{])", r"sqrt{\1}"), (r"\$", "")):
-    _FINAL = f"regexp_replace({_FINAL}, '{_p}', '{_t}', 'g')"
+_TOLD = _nested("list_extract(string_split(r1_answer, '='), -1)", [*A.REPLACED, *((x, "") for x in A.REMOVED)])
+_HELD = "CASE WHEN len(string_split(t, '$')) > 2 THEN list_extract(string_split(t, '$'), 2) ELSE t END"
+for _w in ("text", "textbf", "overline"):
+    _HELD = f"regexp_replace({_HELD}, '\\\\{_w}\\{{([^}}\n]*)\\}}', '\\1', 'g')"
+_HELD = f"regexp_replace({_HELD}, '\\\\boxed\\{{(.*)\\}}', '\\1', 'g')"
+_HELD = f"regexp_replace(regexp_replace({_HELD}, 'frac([^{{])(.)', 'frac{{\\1}}{{\\2}}', 'g'), 'sqrt([^{{])', 'sqrt{{\\1}}', 'g')"
 
 
 @query(
-    f"""WITH a AS (SELECT pool_idx, {_FINAL} AS x FROM audit_pool WHERE r1_answer IS NOT NULL), b AS (SELECT pool_idx, CASE WHEN regexp_matches(replace(x, ',', ''), '^[0-9]+$') THEN replace(x, ',', '') ELSE x END AS x FROM a),
-    c AS (SELECT pool_idx, regexp_replace(regexp_replace(x, '^([0-9]+)\\.00?$', '\\1'), '^([0-9]+)%$', '\\1') AS x FROM b) SELECT pool_idx, CASE WHEN regexp_matches(x, '^[A-Ga-g]$') THEN lower(x) ELSE x END AS answer FROM c"""
+    f"""WITH a AS (SELECT pool_idx, {_TOLD} AS t FROM audit_pool WHERE r1_answer IS NOT NULL), b AS (SELECT pool_idx, replace({_HELD}, '$', '') AS x FROM a)
+    SELECT pool_idx, CASE WHEN regexp_matches(replace(x, ',', ''), '^[0-9]+$') THEN replace(x, ',', '') WHEN regexp_matches(x, '^[0-9]+(\\.00?%?|%)$') THEN regexp_extract(x, '^[0-9]+') WHEN regexp_matches(x, '^[A-Ga-g]$') THEN lower(x) ELSE x END AS answer FROM b"""
 )
 def normal_final_answers(spark, folder):
     """Answers in the normal form of quantitative benchmarks."""
@@ -88,13 +91,13 @@ def chosen_letters(spark, folder):
     return table(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", M.letter_of(F.slice("embedding", 1, 4)).alias("letter"))
 
 
-@query()
+@query("SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / len(embedding)), 9) AS perplexity FROM embeddings")
 def perplexities(spark, folder):
     """Perplexity of a sequence of log-probabilities (here: negative magnitudes of a vector) with every label used."""
     e = table(spark, folder, "embeddings", "vec_id", "embedding")
     logp = F.transform("embedding", lambda x: -F.abs(x.cast("double")))
     labels = F.array_repeat(F.lit(1), F.size("embedding") + 1)
-    return e.select("vec_id", M.perplexity(logp, labels).alias("perplexity"))
+    return e.select("vec_id", F.round(M.perplexity(logp, labels), 9).alias("perplexity"))
 
 
 _AB = "CASE WHEN t * 2 < 120 THEN 120 WHEN s * 2 < 120 THEN 120 - s ELSE floor(120 * (t / (s + t))) END"

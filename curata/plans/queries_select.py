@@ -99,7 +99,7 @@ def tiered_selection(spark, folder):
     """400 rows by tier, with fair quotas in the tier that doesn't fit, short ones first."""
     noise = F.coalesce(F.expr(_NOISE), F.lit(False))
     t = survivors(spark, folder).withColumn("tier", R.tiers([(F.expr(_BAND), 0), ((F.col("pass_rate") == 0) & ~noise, 1), (F.col("pass_rate") == 1, 2)]))
-    return R.fill_by_tier(t, "tier", "cluster_id", [F.col("total_tokens").asc_nulls_last(), F.col("pool_idx")], 400).select("pool_idx", "tier")
+    return R.fill_by_tier(t, "tier", "cluster_id", [F.col("total_tokens").asc_nulls_last(), F.col("pool_idx")], [F.floor(F.coalesce("total_tokens", F.lit(2**62)) / 256)], 400).select("pool_idx", "tier")
 
 
 @query(
@@ -109,7 +109,7 @@ def tiered_selection(spark, folder):
 def shortfall_fill(spark, folder):
     """The preferred rows, topped up to 900 from the others in seeded order."""
     s = survivors(spark, folder).select("pool_idx", F.coalesce(F.expr(_BAND), F.lit(False)).alias("preferred"))
-    out = R.with_shortfall(s.where("preferred").drop("preferred"), s.where("NOT preferred").drop("preferred"), "pool_idx", 900, [R.seeded_key(F.col("pool_idx"), seed=SEED), F.col("pool_idx")])
+    out = R.with_shortfall(s.where("preferred").drop("preferred"), s.where("NOT preferred").drop("preferred"), "pool_idx", 900, *R.seeded_order("pool_idx", SEED))
     return out.select("pool_idx", "origin")
 
 
@@ -125,18 +125,17 @@ def train_validation(spark, folder):
     return R.split(table(spark, folder, "documents", "doc_id"), "doc_id", 0.1, SEED)
 
 
-_SIZES = "s AS (SELECT source, count(*) AS n FROM documents WHERE source IN ('trace_dump', 'code_notes', 'qa_corner') GROUP BY source)"
-_WEIGHT = "CASE source WHEN 'trace_dump' THEN 3 WHEN 'code_notes' THEN 2 WHEN 'qa_corner' THEN 1 END"
+_WEIGHT = "CASE domain WHEN 'math' THEN 3 WHEN 'code' THEN 2 WHEN 'other' THEN 1 END"
 
 
 @query(
-    f"""WITH {_SIZES}, l AS (SELECT min(n // {_WEIGHT}) AS last FROM s), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_key(SEED, 'doc_id')}, doc_id) - 1 AS r, {_WEIGHT} AS w FROM documents WHERE source IN (SELECT source FROM s))
-    SELECT doc_id, source, CAST(r // w AS BIGINT) AS turn, CAST(r % w AS INTEGER) AS slot FROM r, l WHERE r // w < last"""
+    f"""WITH s AS (SELECT domain, count(*) AS n FROM documents WHERE domain IS NOT NULL GROUP BY domain), l AS (SELECT min(n // {_WEIGHT}) AS last FROM s),
+    r AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY {_key(SEED, 'doc_id')}, doc_id) - 1 AS r, {_WEIGHT} AS w FROM documents WHERE domain IS NOT NULL)
+    SELECT doc_id, domain, CAST(r // w AS BIGINT) AS turn, CAST(r % w AS INTEGER) AS slot FROM r, l WHERE r // w < last"""
 )
 def interleaved_sources(spark, folder):
-    """Three sources in turns of 3, 2 and 1, until the first runs out."""
-    d = table(spark, folder, "documents", "doc_id", "source")
-    return R.interleave(d, "source", "doc_id", {"trace_dump": 3, "code_notes": 2, "qa_corner": 1}, SEED)
+    """All domains in turns of 3, 2 and 1, until the first runs out."""
+    return R.interleave(table(spark, folder, "documents", "doc_id", "domain"), "domain", "doc_id", {"math": 3, "code": 2, "other": 1}, SEED)
 
 
 @query(f"""WITH s AS ({_FIRST.replace('SELECT *', 'SELECT *', 1)}), g AS (SELECT cluster_id, count(*) AS c FROM s GROUP BY cluster_id)

@@ -193,19 +193,34 @@ def dialogue_turns(spark, folder):
     return d.select("doc_id").join(t.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("turns"))
 
 
-@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("WITH w AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events) SELECT event_type, day, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 1 DAY, ts) AS day FROM events) WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM w) GROUP BY event_type, day")
 def streamed_windows(spark, folder):
-    """Daily counts and sums of a stream of events with a watermark, run to the end of the input."""
-    out = streams.windowed(spark, f"{folder}/events.parquet", "ts", "event_type", "value", "1 day", "2 days")
+    """Daily counts and sums of a stream of events: the windows that a watermark of two days has closed at the end of the input."""
+    out = streams.windowed(streams.source(spark, f"{folder}/events.parquet"), "ts", "event_type", "value", "1 day", "2 days")
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
+@query("WITH w AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events), f AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR > ts THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM f) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT mark FROM w)")
+def streamed_sessions(spark, folder):
+    """Sessions of a stream with gaps of an hour: those that a watermark of two days has closed at the end of the input."""
+    out = streams.sessions(streams.source(spark, f"{folder}/events.parquet"), "ts", "user_id", "1 hour", "2 days")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY event_type")
 def streamed_progress(spark, folder):
     """Progress of an append-only log: resumable, each file once."""
     return streams.latest(spark, f"{folder}/events.parquet", "event_type", "event_id")
 
 
+@query("SELECT event_type, steps, total, round(100 * steps / total, 2) AS percentage, elapsed, round(elapsed / steps * (total - steps), 3) AS remaining, round(tokens / elapsed, 6) AS throughput FROM (SELECT event_type, max(event_id) AS steps, max(event_id) + 1000 AS total, epoch(max(ts)) - epoch(min(ts)) AS elapsed, sum(value) AS tokens FROM events GROUP BY event_type) WHERE steps > 0 AND elapsed > 0")
+def training_progress(spark, folder):
+    """Steps, percentage, elapsed and remaining time and throughput of append-only training logs, read as a stream."""
+    s = streams.source(spark, f"{folder}/events.parquet").withColumn("of", F.col("event_id") + 1000)
+    p = streams.progress(s, "event_type", "event_id", "of", "ts", "value").where("steps > 0 AND elapsed > 0")
+    return p.select("event_type", "steps", "total", "percentage", "elapsed", F.round("remaining", 3).alias("remaining"), F.round("throughput", 6).alias("throughput"))
+
+
 @query("SELECT user_id, session_start, n FROM (SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR > ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s)")
 def sessions(spark, folder):
     """Sessions of users with gaps of an hour."""

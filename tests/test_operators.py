@@ -106,11 +106,18 @@ def test_kinds(spark, answer, kind):
     assert one(spark, T.answer_kind(F.lit(answer).cast("string"))) == kind
 
 
-@pytest.mark.parametrize("a,b,same", [("\\dfrac{1}{2}", "0.5", True), ("50\\%", "0.5", True), ("1/2", "\\frac12", True), ("(1, 2)", "(1,2)", True), ("(2,1)", "(1,2)", False), ("x = 3", "3", True), ("2\\sqrt{3}", "\\sqrt{12}", True), ("27.0", "27", True), ("1,000", "1000", True), ("", "", False), (None, "1", False), ("2x+1=3y", "3y=2x+1", True), ("7", "8", False), ("\\pi", "3.14159265", True), ("12 cm", "12", True)])
+@pytest.mark.parametrize("a,b,same", [("\\dfrac{1}{2}", "0.5", True), ("50\\%", "0.5", True), ("1/2", "\\frac12", True), ("(1, 2)", "(1,2)", True), ("(2,1)", "(1,2)", False), ("x = 3", "3", True), ("2\\sqrt{3}", "\\sqrt{12}", True), ("27.0", "27", True), ("1,000", "1000", True), ("", "", False), (None, "1", False), ("2x+1=3y", "3y=2x+1", True), ("x+1", "1+x", True), ("(x+1)^2", "x^2+2x+1", True), ("\\frac{1}{x-1}-\\frac{1}{x+1}", "\\frac{2}{x^2-1}", True), ("x+1", "x+2", False), ("y=2x+1", "2x+1", True), ("2x-y=-1", "y-2x=1", True), ("3/2, 1.6", "8/5, 1.5", True), ("1,1,2", "1,2,2", False), ("twelve", "12", True), ("minus twenty-one", "-21", True), ("two hundred and five", "205", True), ("March", "3", True), ("\\begin{bmatrix}1&2\\\\3&4\\end{bmatrix}", "\\begin{pmatrix}1.0&2\\\\3&2^2\\end{pmatrix}", True), ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1&2\\end{pmatrix}", False), ("[0, \\infty)", "[0,inf)", True), ("(0,1)", "[0,1)", False), ("\\{2,1\\}", "\\{1,2\\}", True), ("\\sin^2x+\\cos^2x", "1", True), ("hello there", "there hello", False), ("2^{100}", "4^{50}", True), ("k=7", "7", True), ("3 and 4", "4,3", True), ("7", "8", False), ("\\pi", "3.14159265", True), ("12 cm", "12", True)])
 def test_same_answer(a, b, same):
     assert U.same_answer(a, b) is same
 
 
+def test_other_grades():
+    assert U.same_simple("1.000001", "1") and not U.same_simple("1.1", "1") and U.same_simple("1,000", "1000.0") and U.same_simple("ab", "ab ") and not U.same_simple(None, "1")
+    assert U.same_latex("\\frac{x}{2}", "0.5x") and U.same_latex("a b", "ab") and not U.same_latex("x", "y") and not U.same_latex(None, "x")
+    want = {"The answer is True.": "True", "no": "False", "so (B)": "(b)", "Therefore the answer is 3/4": "0.75", "x = 12 cm": "12", "it takes 7 steps or 1,200": "1200", "the answer is 2\\pi": "6.28318530718", "": "", "unclear": "unclear"}
+    assert {k: U.theorem_answer(k) for k in want} == want and U.theorem_answer(None) is None
+
+
 def test_canonical_is_idempotent():
     for t in ("\\dfrac{1}{2}", " 3.500 cm. ", "x=12", "\\text{yes}", "$1{,}000$", "\\frac12"):
         assert U.canonical(U.canonical(t)) == U.canonical(t)
@@ -290,6 +297,86 @@ def test_every_template_holds_all_turns(spark, name):
     assert whole.index("be kind") < whole.index("first question") < whole.index("first answer") < whole.index("second question")
 
 
+def test_thoughts_calls_and_model_files(spark):
+    from curata.operators import tools
+
+    assert len(D.TEMPLATES) > 80
+    assert one(spark, D.with_thought(F.lit("yes"), False)) == "<think>\n\n</think>\n\nyes" and one(spark, D.with_thought(F.lit("yes"), True)) == "yes"
+    assert one(spark, D.with_thought(F.lit("<think>\na\n</think>\n\nyes"), False)).count("<think>") == 1
+    call = '{"name": "f", "arguments": {"a": 1}}'
+    plain, thought = one(spark, D.function_turn(F.lit(call), tools.write_calls("qwen"))), one(spark, D.function_turn(F.lit("<think>\nhm\n</think>\n\n" + call), tools.write_calls("qwen")))
+    assert thought == "<think>\nhm\n</think>\n\n" + plain and "f" in plain
+    text = D.ollama(D.TEMPLATES["qwen"])
+    assert text.count("{{") == text.count("}}") and 'PARAMETER stop "<|im_end|>"' in text and "Alibaba" in text
+
+
+def test_sources_of_other_kinds(spark, tmp_path):
+    import pyarrow as pa
+
+    for k in range(2):
+        t = pa.table({"a": [k, k + 10], "b": ["x", None]})
+        (tmp_path / "arrow").mkdir(exist_ok=True)
+        with pa.ipc.new_file(str(tmp_path / "arrow" / f"{k}.arrow"), t.schema) as w:
+            w.write_table(t)
+    got = readers.load(spark, readers.Dataset("a", str(tmp_path / "arrow")))
+    assert sorted((r.a, r.b or "") for r in got.collect()) == [(0, "x"), (1, "x"), (10, ""), (11, "")]
+    d = readers.resolved("n", {"file": "f.json", "cloud": "s3a://b/f.json", "formatting": "chat"}, "/data")
+    assert (d.origin, d.path, d.formatting) == ("cloud", "s3a://b/f.json", "chat")
+    assert readers.resolved("n", {"hub": "x/y", "file": "f.json"}, "/data").path == "/data/f.json" and readers.resolved("n", {"hub": "x/y", "file": "f.json"}, "/data", True).origin == "hub"
+    for bad in ({}, {"hub": "x"}, {"cloud": "http://x"}):
+        with pytest.raises(ValueError):
+            readers.resolved("n", bad, "/data")
+    assert readers.settings("a: 1 # one\n\n# b: 2\nc:d:e\n") == {"a": "1", "c": "d:e"}
+    with pytest.raises(ValueError):
+        readers.gathered(spark.range(3), "id", spark.createDataFrame([(9, 0)], "id bigint, pos int"), "pos")
+    assert "| id |" in readers.save_report(spark.range(2), f"file://{tmp_path}/report")
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [{"strategy": "x"}, {"weights": (1.0,)}, {"strategy": "interleave", "datasets": ("a",), "weights": (1.0, 2.0)}, {"cutoff": 0}, {"validation": -1}, {"validation": 0.1}, {"validation": 0.1, "datasets": ("a",), "validation_sets": ("b",)}, {"max_samples": 0}, {"mask_history": True, "train_on_prompt": True}, {"stage": "x"}, {"packing": True, "stage": "rated"}, {"streaming": True}, {"streaming": True, "max_steps": 5, "max_samples": 3}],
+)
+def test_data_arguments(bad):
+    with pytest.raises(ValueError):
+        readers.DataArguments(**bad)
+    assert readers.DataArguments(datasets=("a", "b"), weights=(1.0, 2.0), strategy="interleave", streaming=True, max_steps=3).cutoff == 2048
+
+
+def test_stages_and_sampling():
+    assert S.encoder("supervised") is S.encode_turns and S.encoder("supervised", True) is S.pack_batches and S.encoder("pretraining") is S.blocks
+    for bad in (("rated", True), ("x", False)):
+        with pytest.raises(ValueError):
+            S.encoder(*bad)
+    assert [S.sampling_plan(*x) for x in ((8, 8), (8, 3), (7, 3), (64, 16))] == [(1, 8), (4, 2), (7, 1), (4, 16)]
+    D.register_converter("own", lambda c: {"_prompt": c})
+    with pytest.raises(ValueError):
+        D.register_converter("own", None)
+
+
+def test_merging_checks_the_stage(spark):
+    plain, ranked = readers.Dataset("p", "x"), readers.Dataset("r", "x", ranking=True)
+    assert readers.merged({"p": (plain, spark.range(2)), "q": (plain, spark.range(3))}, "supervised").count() == 5
+    assert set(readers.merged({"p": (plain, spark.range(2))}, "supervised", merge=False)) == {"p"}
+    for parts, stage in (({"p": (plain, spark.range(1))}, "preference"), ({"r": (ranked, spark.range(1))}, "supervised")):
+        with pytest.raises(ValueError):
+            readers.merged(parts, stage)
+
+
+def test_exact_samples_in_any_layout(spark):
+    df = spark.range(1000)
+    for n in (0, 1, 7, 500, 999, 1000, 2000):
+        rows = R.uniform_sample(df, "id", n, 5).collect()
+        plain = df.orderBy(R.seeded_key(F.col("id"), seed=5), "id").limit(n).collect()
+        assert {r.id for r in rows} == {r.id for r in plain}
+    assert "TakeOrdered" not in R.uniform_sample(df, "id", 500, 5)._jdf.queryExecution().executedPlan().toString()
+    t = spark.createDataFrame([(k, k % 3, k % 7 if k % 11 else None) for k in range(300)], "id bigint, tier int, g int")
+    for n in (0, 50, 150, 299, 400):
+        got = R.fill_by_tier(t, "tier", "g", [F.col("id")], [F.floor(F.col("id") / 16)], n)
+        rank = t.withColumn("k", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("tier", "g").orderBy("id")))
+        want = rank.orderBy("tier", "k", "g").limit(n)
+        assert {r.id for r in got.collect()} == {r.id for r in want.collect()}, n
+
+
 def test_preference_transcripts(spark):
     a = "\n\nHuman: q1\n\nAssistant: a1\n\nHuman: q2\n\nAssistant: good"
     df = spark.createDataFrame([(1, a, a.replace("good", "bad")), (2, "x", None)], "id bigint, c string, r string")

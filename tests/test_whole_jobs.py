@@ -97,7 +97,12 @@ def test_paired_bootstrap(spark, tmp_path):
         cells.setdefault((nations[nation], supplier), {}).setdefault(run, []).append(flag == "R")
     gaps = {b: [np.mean(x["BUILDING"]) - np.mean(x["MACHINERY"]) for (n, _), x in sorted(cells.items()) if n == b and {"BUILDING", "MACHINERY"} <= set(x)] for b in nations}
     assert all(len(g) > 7 for g in gaps.values())  # more than the suppliers' remainders by 500
-    draw = lambda r, b, k: int(hashlib.md5(f"7|{r}|{b}|{k}".encode()).hexdigest()[:8], 16) % len(gaps[b])
+    prime = 2**31 - 1
+
+    def draw(r, b, k):
+        h = hashlib.md5(f"7|{b}|{k}".encode()).hexdigest()
+        return (int(h[:8], 16) % prime + r * (int(h[8:16], 16) % prime)) % prime % len(gaps[b])
+
     means = [np.mean([np.mean([gaps[b][draw(r, b, k)] for k in range(len(gaps[b]))]) for b in nations]) for r in range(2000)]
     assert np.allclose([got.lo, got.hi, got["mean"]], [*np.percentile(means, [2.5, 97.5]), np.mean(means)], atol=2e-6)
 
