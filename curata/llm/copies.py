@@ -1,10 +1,12 @@
 """Problem 2: records that are copies of each other apart from formatting, by dictionary-encoded columns.
 
-Each field's distinct values are canonicalised once and numbered; a record becomes the tuple of its fields'
-numbers, and equal tuples are copies. The dictionary is built by two aggregations (distinct values, distinct
-canonical values); numbers are bucket and rank within the bucket, so they are the same in every run and no
-task sees more than its bucket. Values shared by very many records reach them by broadcast (their number is
-bounded, see ``curata.plans.skew``), all others by shuffle; groups of copies are only ever aggregated.
+Each field's distinct values are canonicalised once and numbered; a record becomes the sorted tuple of its
+field-value numbers, and equal tuples are copies. All fields of a record count, nested ones by their path, unless the
+caller names the compared ones or some to leave out. The dictionary is built by two aggregations (distinct values,
+distinct canonical values); numbers are bucket and rank within the bucket, so they are the same in every run and no
+task sees more than its bucket. Values shared by very many records, and canonical values of very many forms, reach
+their rows by broadcast (their number is bounded, see ``curata.plans.skew``), all others by shuffle; groups of copies
+are only ever aggregated.
 
 Cases: NULL, empty and missing fields are equal; a record that is no JSON object is compared by its whole
 text; NULL records are all equal; rows with a NULL key are left out.
@@ -12,19 +14,21 @@ text; NULL records are all equal; rows with a NULL key are left out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curata.plans.lineage import cut
 from curata.plans.skew import dictionary_join, hot_limit
+from curata.plans.spread import spread
 
 #: Buckets of the numbering: ranks are taken within one, and with 65,536 a bucket of 10^10 values has 150,000.
 BUCKETS = 65_536
-#: Compared fields: name and path in the record.
-FIELDS = {"instruction": "r.instruction", "input": "r.input", "system": "r.system", "category": "r.extra_info.category", "source": "r.extra_info.source"}
-
-_SCHEMA = T.StructType([*(T.StructField(k, T.StringType()) for k in ("instruction", "input", "system")), T.StructField("extra_info", T.StructType([T.StructField(k, T.StringType()) for k in ("category", "source")])), T.StructField("_bad", T.StringType())])
+#: Objects inside objects are taken apart down to this depth; what lies deeper is one value, its text.
+DEPTH = 4
+#: The field of a record that is no object.
+WHOLE = "\u0003"
 
 
 def canonical(col: Column) -> Column:
@@ -51,61 +55,75 @@ def canonical(col: Column) -> Column:
     return c
 
 
-def parsed(raw: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """(``id_col``, the compared fields): '' for missing ones; a record that is no object has its text as instruction."""
-    r = F.from_json(record_col, _SCHEMA, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    rows = raw.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(record_col), r.alias("r"))
-    bad = F.col("r._bad").isNotNull() | F.col("r").isNull()
-    fields = [F.coalesce(F.when(~bad, F.col(path)), F.lit("")).alias(name) for name, path in FIELDS.items()]
-    fields[0] = F.when(bad, F.concat(F.lit("\u0003"), F.coalesce(record_col, F.lit("")))).otherwise(F.coalesce("r.instruction", F.lit(""))).alias("instruction")
-    return rows.select(id_col, *fields)
+def cells(raw: DataFrame, id_col: str, record_col: str, fields: Sequence[str] | None = None, ignored: Sequence[str] = ()) -> DataFrame:
+    """(``id_col``, cells): the (field, value) pairs of each record, nested fields by their path; empty values are left out.
 
+    ``fields`` are the paths that count, in place of all but ``ignored``.
+    """
+    is_object = lambda c: c.rlike(r"^\s*\{")
+    entries = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
+    named = lambda e, lead: F.struct((F.concat(lead, F.lit("."), e["key"]) if lead is not None else e["key"]).alias("field"), e["value"].alias("v"))
+    rows = raw.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(record_col).alias("t"), F.when(is_object(F.col(record_col)), entries(F.col(record_col))).alias("m"))
+    d = rows.select(id_col, "t", F.transform("m", lambda e: named(e, None)).alias("cells"))
+    heads = None if fields is None else sorted({p.rsplit(".", k)[0] for p in fields for k in range(1, p.count(".") + 1)})
+    for _ in range(DEPTH if heads is None else max((p.count(".") for p in fields), default=0)):
 
-def value_hash(col: Column) -> Column:
-    """128 bits of a value, to join by in place of the text."""
-    return F.unhex(F.md5(col))
+        def open_(c: Column) -> Column:
+            inner = F.when(is_object(c["v"]) if heads is None else c["field"].isin(heads) & is_object(c["v"]), entries(c["v"]))
+            return F.coalesce(F.transform(inner, lambda e: named(e, c["field"])), F.array(c))
 
+        d = d.select(id_col, "t", F.flatten(F.transform("cells", open_)).alias("cells"))
+    wanted = (lambda c: c["field"].isin(list(fields))) if fields is not None else (lambda c: ~c["field"].isin(list(ignored)))
+    kept = F.filter("cells", lambda c: wanted(c) & (F.coalesce(c["v"], F.lit("")) != ""))
+    whole = F.array(F.struct(F.lit(WHOLE).alias("field"), F.coalesce("t", F.lit("")).alias("v")))
+    return d.select(id_col, F.coalesce(kept, whole).alias("cells"))
 
-def dictionary(records: DataFrame) -> DataFrame:
-    """(field, h, freq, n): each distinct raw value of each field with its number and its frequency.
 
-    Canonical values of very many raw forms (upper and lower case, spacings) are one key of the second join; it has
-    as many rows as there are distinct raw values, and adaptive skew handling splits such a key.
-    """
-    pairs = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("field"), F.col(name).alias("v")) for k, name in enumerate(FIELDS)))
-    values = records.select(F.explode(pairs).alias("p")).select("p.*").groupBy("field", "v").agg(F.count("*").alias("freq"))
-    values = values.select("field", value_hash(F.col("v")).alias("h"), canonical(F.col("v")).alias("c"), "freq")
+def value_hash(*cols: Column) -> list[Column]:
+    """128 bits of a value as two integers, to join by in place of the text."""
+    return [F.xxhash64(F.lit(k), *cols) for k in (1, 2)]
+
+
+def dictionary(records: DataFrame) -> DataFrame:
+    """(a, b, freq, n): the number of each distinct (field, raw value), by its hash, and its frequency; values of no content have none."""
+    values = records.select(F.explode("cells").alias("c")).select("c.*").groupBy("field", "v").agg(F.count("*").alias("freq"))
+    content = canonical(F.col("v"))
+    a, b = value_hash(F.col("field"), F.col("v"))
+    values = values.select(a.alias("a"), b.alias("b"), "freq", "field", content.alias("c")).where("c <> ''")
+    ca, cb = value_hash(F.col("field"), F.col("c"))
     # written down: else the numbering below would canonicalise again, and each record's value at that
-    values = cut(values.withColumn("hc", value_hash(F.col("c"))).drop("c"))
-    numbered = values.select("field", "hc").distinct().withColumn("bucket", F.pmod(F.xxhash64("field", "hc"), F.lit(BUCKETS)))
+    values = cut(values.select("a", "b", "freq", ca.alias("ca"), cb.alias("cb")))
+    numbered = values.groupBy("ca", "cb").agg(F.count("*").alias("forms")).withColumn("bucket", F.pmod("ca", F.lit(BUCKETS)))
     # rank within the bucket: the numbers are dense there and the same in every run
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("field", "hc"))
-    numbered = numbered.select("field", "hc", (F.col("bucket") * F.lit(1 << 40) + rank).alias("n"))
-    return cut(values.join(numbered, ["field", "hc"]).select("field", "h", "freq", "n"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("ca", "cb"))
+    numbered = numbered.select("ca", "cb", "forms", (F.col("bucket") * F.lit(1 << 40) + rank).alias("n"))
+    return cut(dictionary_join(values, numbered, ["ca", "cb"], "forms", hot_limit(values.count())).select("a", "b", "freq", "n"))
 
 
 def encoded(records: DataFrame, id_col: str) -> DataFrame:
-    """(``id_col``, code): the record as its sorted field-value tuple of integers.
+    """(``id_col``, code): the record as its sorted tuple of field-value integers.
 
     The texts are read twice, for the dictionary and for the records' hashes; both are written down compactly.
     """
     entries = dictionary(records)
-    hashed = cut(records.select(id_col, *(value_hash(F.col(name)).alias(name) for name in FIELDS)))
-    pairs = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("field"), F.col(name).alias("h")) for k, name in enumerate(FIELDS)))
-    cells = hashed.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.field", "p.h")
-    cells = dictionary_join(cells, entries, ["field", "h"], "freq", hot_limit(hashed.count()))
-    return cells.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("field", "n"))).alias("code")).select(id_col, F.transform("code", lambda x: x["n"]).alias("code"))
+    pair = lambda c: F.struct(*(h.alias(k) for h, k in zip(value_hash(c["field"], c["v"]), "ab")))
+    hashed = cut(records.select(id_col, F.transform("cells", pair).alias("h")))
+    single = hashed.select(id_col, F.explode("h").alias("p")).select(id_col, "p.a", "p.b")
+    joined = dictionary_join(single, entries, ["a", "b"], "freq", hot_limit(hashed.count()))
+    # a NULL of each record beside its numbers, so that records without any content have a tuple too
+    numbers = joined.select(id_col, "n").unionByName(hashed.select(id_col, F.lit(None).cast("bigint").alias("n")))
+    return numbers.groupBy(id_col).agg(F.array_sort(F.collect_list("n")).alias("code"))
 
 
-def groups(raw: DataFrame, id_col: str, record_col: str) -> tuple[DataFrame, DataFrame]:
+def groups(raw: DataFrame, id_col: str, record_col: str, fields: Sequence[str] | None = None, ignored: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Encoded records, and (code, keep, n) of each group of copies; n = 1 where a record has none."""
-    codes = cut(encoded(parsed(raw, id_col, record_col), id_col))
+    codes = cut(encoded(cells(spread(raw), id_col, record_col, fields, ignored), id_col))
     return codes, codes.groupBy("code").agg(F.min(id_col).alias("keep"), F.count("*").alias("n"))
 
 
-def copies(raw: DataFrame, id_col: str, record_col: str) -> DataFrame:
+def copies(raw: DataFrame, id_col: str, record_col: str, fields: Sequence[str] | None = None, ignored: Sequence[str] = ()) -> DataFrame:
     """(keep, copy): each record that repeats another, with the smallest key of its group."""
-    codes, kept = groups(raw, id_col, record_col)
+    codes, kept = groups(raw, id_col, record_col, fields, ignored)
     several = kept.where("n > 1")
-    rows = dictionary_join(codes, several, ["code"], "n", hot_limit(raw.count()))
+    rows = dictionary_join(codes, several, ["code"], "n", hot_limit(codes.count()))
     return rows.where(F.col(id_col) != F.col("keep")).select("keep", F.col(id_col).alias("copy"))

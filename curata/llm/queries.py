@@ -34,14 +34,18 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leak.without_leaks(table(spark, folder, "audit_pool", "pool_idx", "source"), leak.matches(*_pool_and_items(spark, folder)), "pool_idx")
 
 
+#: What TESTDATA compares of a record; ``index`` isn't.
+_COMPARED = ("instruction", "input", "system", "extra_info.category", "extra_info.source")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(keep_pool_idx, copy_pool_idx): records that repeat another."""
-    return copies.copies(table(spark, folder, "pool_raw", "pool_idx", "record"), "pool_idx", "record").select(F.col("keep").alias("keep_pool_idx"), F.col("copy").alias("copy_pool_idx"))
+    return copies.copies(table(spark, folder, "pool_raw", "pool_idx", "record"), "pool_idx", "record", _COMPARED).select(F.col("keep").alias("keep_pool_idx"), F.col("copy").alias("copy_pool_idx"))
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """(keep_pool_idx, n_copies): one row for each distinct record."""
-    _, kept = copies.groups(table(spark, folder, "pool_raw", "pool_idx", "record"), "pool_idx", "record")
+    _, kept = copies.groups(table(spark, folder, "pool_raw", "pool_idx", "record"), "pool_idx", "record", ignored=("extra_info.index",))
     return kept.select(F.col("keep").alias("keep_pool_idx"), F.col("n").alias("n_copies"))
 
 

@@ -148,11 +148,31 @@ def test_copies_match_brute_force(spark):
             key = re.findall(r"\d+", json.loads(r)["instruction"])[0] if k < 300 else re.sub(r"\W", "", r.lower()) if k < 302 else r
             groups.setdefault(key, []).append(k)
     want = {(min(g), k) for g in groups.values() for k in g if k != min(g)}
-    assert {(r["keep"], r["copy"]) for r in copies.copies(raw, "pool_idx", "record").collect()} == want
-    _, kept = copies.groups(raw, "pool_idx", "record")
+    five = ("instruction", "input", "system", "extra_info.category", "extra_info.source")
+    assert {(r["keep"], r["copy"]) for r in copies.copies(raw, "pool_idx", "record", five).collect()} == want
+    assert {(r["keep"], r["copy"]) for r in copies.copies(raw, "pool_idx", "record", ignored=("extra_info.index",)).collect()} == want
+    _, kept = copies.groups(raw, "pool_idx", "record", five)
     assert sum(r.n for r in kept.collect()) == 205
 
 
+def test_all_fields_count(spark):
+    """A sixth field, nested ones and lists are content; their order and the records' formatting aren't."""
+    rows = [
+        '{"a": "x", "b": {"c": "Y", "d": {"e": 1}}, "f": [1, 2]}', '{"f": [1,2], "b": {"d": {"e": 1}, "c": " y. "}, "a": "X"}', '{"a": "x", "b": {"c": "y", "d": {"e": 2}}, "f": [1, 2]}',
+        '{"a": "x", "b": {"c": "y", "d": {"e": 1}}, "f": [2, 1]}', '{"a": "x", "b": {"c": "y", "d": {"e": 1}}, "f": [1, 2], "g": "more"}', '{"a": "x", "b": {"c": "y", "d": {"e": 1}}, "f": [1, 2], "g": null, "h": ""}', "{}", '{"z": null}', '{"b": "x"}', '{"a": "x"}', '{"a": ',
+    ]
+    raw = spark.createDataFrame(list(enumerate(rows)), "k bigint, r string")
+    assert {(r["keep"], r["copy"]) for r in copies.copies(raw, "k", "r").collect()} == {(0, 1), (0, 5), (6, 7)}
+    assert {(r["keep"], r["copy"]) for r in copies.copies(raw, "k", "r", ignored=("g", "b.d.e")).collect()} >= {(0, 1), (0, 2), (0, 4), (0, 5), (6, 7)}
+
+
+def test_forms_of_one_value(spark):
+    """A third of the distinct raw values are forms of one canonical value."""
+    raw = spark.range(6000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"a": "same'), F.repeat(F.lit("."), F.col("id").cast("int")), F.lit('"}'))).otherwise(F.concat(F.lit('{"a": "n'), "id", F.lit('"}'))).alias("r"))
+    got = copies.copies(raw, "k", "r")
+    assert got.count() == 1999 and got.where("keep <> 0").count() == 0
+
+
 def test_copies_of_a_hot_group(spark):
     raw = spark.range(9000).select(F.col("id").alias("pool_idx"), F.when(F.col("id") % 3 == 0, F.lit('{"instruction": "same"}')).otherwise(F.concat(F.lit('{"instruction": "n'), "id", F.lit('"}'))).alias("record"))
     got = copies.copies(raw, "pool_idx", "record")
