@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import budget, copies, language, leak, mixture, packing, pairs, repeats, toxic
+from curata.llm import budget, copies, language, leak, mixture, oracle, packing, pairs, repeats, toxic
 from curata.llm.common import source_key
 from curata.plans.lineage import cut
 from curata.sources import table
@@ -90,7 +90,8 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p4_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """Sources with their raw and shrunk rates of repetitive outputs."""
     df = table(spark, folder, "audit_pool", "pool_idx", "output", "source")
-    return repeats.host_rates(cut(repeats.text_rule(df.withColumn("source", source_key(F.col("source"))), "pool_idx", "output", "source")))
+    rates = repeats.host_rates(cut(repeats.text_rule(df.withColumn("source", source_key(F.col("source"))), "pool_idx", "output", "source")))
+    return rates.select("host", "n", "n_failed", *(F.round(c, 9).alias(c) for c in ("rate", "shrunk_rate")), "bad_host", F.round("threshold", 9).alias("threshold"))
 
 
 def p5_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,4 +153,4 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p1_clean, p2_found, p2_groups, p3_found, p3_languages, p3_segments, p4_found, p4_shares, p4_hosts, p5_tokens, p5_budget, p6_found, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 #: Queries that SQL can state. The others are held against brute force, exact round trips and held-out rows in the tests.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
