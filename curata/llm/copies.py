@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curata.plans.lineage import cut
 from curata.plans.skew import dictionary_join, hot_limit
@@ -55,27 +56,42 @@ def canonical(col: Column) -> Column:
     return c
 
 
+def schema_of(paths: Sequence[str]) -> T.StructType:
+    """The schema of a record with these paths, each value as its text."""
+    tree: dict = {}
+    for p in paths:
+        node = tree
+        for part in p.split("."):
+            node = node.setdefault(part, {})
+    make = lambda node: T.StructType([T.StructField(k, make(v) if v else T.StringType()) for k, v in node.items()])
+    return make(tree)
+
+
 def cells(raw: DataFrame, id_col: str, record_col: str, fields: Sequence[str] | None = None, ignored: Sequence[str] = ()) -> DataFrame:
     """(``id_col``, cells): the (field, value) pairs of each record, nested fields by their path; empty values are left out.
 
-    ``fields`` are the paths that count, in place of all but ``ignored``.
+    ``fields`` are the paths that count, in place of all but ``ignored``; a record is then read by their schema at once.
     """
+    rows = raw.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(record_col).alias("t"))
+    whole = F.array(F.struct(F.lit(WHOLE).alias("field"), F.coalesce("t", F.lit("")).alias("v")))
+    if fields is not None:
+        schema = T.StructType([*schema_of(fields).fields, T.StructField("_bad", T.StringType())])
+        d = rows.select(id_col, "t", F.from_json("t", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        bad = F.col("r._bad").isNotNull() | F.col("r").isNull()
+        pairs = F.array(*(F.struct(F.lit(p).alias("field"), F.coalesce(f"r.{p}", F.lit("")).alias("v")) for p in fields))
+        return d.select(id_col, F.when(bad, whole).otherwise(pairs).alias("cells"))
     is_object = lambda c: c.rlike(r"^\s*\{")
     entries = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
-    named = lambda e, lead: F.struct((F.concat(lead, F.lit("."), e["key"]) if lead is not None else e["key"]).alias("field"), e["value"].alias("v"))
-    rows = raw.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(record_col).alias("t"), F.when(is_object(F.col(record_col)), entries(F.col(record_col))).alias("m"))
-    d = rows.select(id_col, "t", F.transform("m", lambda e: named(e, None)).alias("cells"))
-    heads = None if fields is None else sorted({p.rsplit(".", k)[0] for p in fields for k in range(1, p.count(".") + 1)})
-    for _ in range(DEPTH if heads is None else max((p.count(".") for p in fields), default=0)):
+    top = rows.select(id_col, "t", F.when(is_object(F.col("t")), entries(F.col("t"))).alias("m"))
+    d = top.select(id_col, "t", F.transform("m", lambda e: F.struct(e["key"].alias("field"), e["value"].alias("v"))).alias("cells"))
+    for _ in range(DEPTH):
 
         def open_(c: Column) -> Column:
-            inner = F.when(is_object(c["v"]) if heads is None else c["field"].isin(heads) & is_object(c["v"]), entries(c["v"]))
-            return F.coalesce(F.transform(inner, lambda e: named(e, c["field"])), F.array(c))
+            inner = F.when(is_object(c["v"]), entries(c["v"]))
+            return F.coalesce(F.transform(inner, lambda e: F.struct(F.concat(c["field"], F.lit("."), e["key"]).alias("field"), e["value"].alias("v"))), F.array(c))
 
         d = d.select(id_col, "t", F.flatten(F.transform("cells", open_)).alias("cells"))
-    wanted = (lambda c: c["field"].isin(list(fields))) if fields is not None else (lambda c: ~c["field"].isin(list(ignored)))
-    kept = F.filter("cells", lambda c: wanted(c) & (F.coalesce(c["v"], F.lit("")) != ""))
-    whole = F.array(F.struct(F.lit(WHOLE).alias("field"), F.coalesce("t", F.lit("")).alias("v")))
+    kept = F.filter("cells", lambda c: ~c["field"].isin(list(ignored)) & (F.coalesce(c["v"], F.lit("")) != ""))
     return d.select(id_col, F.coalesce(kept, whole).alias("cells"))
 
 
@@ -86,13 +102,14 @@ def value_hash(*cols: Column) -> list[Column]:
 
 def dictionary(records: DataFrame) -> DataFrame:
     """(a, b, freq, n): the number of each distinct (field, raw value), by its hash, and its frequency; values of no content have none."""
-    values = records.select(F.explode("cells").alias("c")).select("c.*").groupBy("field", "v").agg(F.count("*").alias("freq"))
+    # outer: for a plain explode the optimizer would put a filter on the cells below it, and parse each record once more for that
+    values = records.select(F.explode_outer("cells").alias("c")).select("c.*").where("field IS NOT NULL").groupBy("field", "v").agg(F.count("*").alias("freq"))
     content = canonical(F.col("v"))
     a, b = value_hash(F.col("field"), F.col("v"))
-    values = values.select(a.alias("a"), b.alias("b"), "freq", "field", content.alias("c")).where("c <> ''")
+    values = values.select(a.alias("a"), b.alias("b"), "freq", "field", content.alias("c"))
     ca, cb = value_hash(F.col("field"), F.col("c"))
-    # written down: else the numbering below would canonicalise again, and each record's value at that
-    values = cut(values.select("a", "b", "freq", ca.alias("ca"), cb.alias("cb")))
+    # written down: else the numbering below would canonicalise again, and each record's value at that; a filter before would, too
+    values = cut(values.select("a", "b", "freq", ca.alias("ca"), cb.alias("cb"), (F.col("c") == "").alias("none"))).where("NOT none").drop("none")
     numbered = values.groupBy("ca", "cb").agg(F.count("*").alias("forms")).withColumn("bucket", F.pmod("ca", F.lit(BUCKETS)))
     # rank within the bucket: the numbers are dense there and the same in every run
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("ca", "cb"))
