@@ -39,11 +39,10 @@ def canonical(col: Column) -> Column:
     between digits, a gap between two digits, and + - * = / ^ < > % of formulas (a hyphen or stroke between
     two words is prose, and so are a dash and doubled asterisks).
     """
-    c = F.lower(F.translate(col, "０１２３４５６７８９＋＝＊．−‐‑", "0123456789+=*.---"))
+    signs, plain, unseen = "０１２３４５６７８９＋＝＊．−‐‑_", "0123456789+=*.--- ", "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+    c = F.replace(F.lower(F.translate(col, signs + unseen, plain)), F.lit("ß"), F.lit("ss"))  # upper case has two letters for it
+    c = F.when(F.contains(c, F.lit("**")), F.regexp_replace(c, "\\*\\*+", " ")).otherwise(c)
     steps = (
-        ("ß", "ss"),  # upper case has two letters for it
-        ("[\\u200B-\\u200F\\u2060\\uFEFF\\u00AD]", ""),
-        ("\\*\\*+|_", " "),
         ("(?<=\\p{N})\\.(?=\\p{N})", "\u0001"),
         ("(?<=\\p{N}),(?=\\p{N})", "\u0002"),
         ("(?<=\\p{L}{2})[-/](?=\\p{L}{2})", " "),
@@ -79,7 +78,7 @@ def cells(raw: DataFrame, id_col: str, record_col: str, fields: Sequence[str] |
         d = rows.select(id_col, "t", F.from_json("t", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
         bad = F.col("r._bad").isNotNull() | F.col("r").isNull()
         pairs = F.array(*(F.struct(F.lit(p).alias("field"), F.coalesce(f"r.{p}", F.lit("")).alias("v")) for p in fields))
-        return d.select(id_col, F.when(bad, whole).otherwise(pairs).alias("cells"))
+        return d.select(id_col, F.when(bad, whole).otherwise(F.filter(pairs, lambda c: c["v"] != "")).alias("cells"))
     is_object = lambda c: c.rlike(r"^\s*\{")
     entries = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
     top = rows.select(id_col, "t", F.when(is_object(F.col("t")), entries(F.col("t"))).alias("m"))
