@@ -143,6 +143,20 @@ def blocks(df: DataFrame, key: str, ids: str, block: int, end: int, batch: int =
     return cuts.groupBy("batch_id", "block_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("from", "piece"))), lambda x: x["piece"])).alias("ids"))
 
 
+def text_blocks(df: DataFrame, key: str, text: str, block: int, end: int, batch: int = 1000) -> DataFrame:
+    """(batch_id, block_id, ids): as ``blocks`` over the code points of texts. The texts themselves are shuffled, once, and a batch has ``batch`` keys."""
+
+    def cut(bid: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, text])
+        sign = np.array([end], np.int32)
+        flat = np.concatenate([x for t in pdf[text] for x in (np.frombuffer(t.encode("utf-32-le", "replace"), "<i4"), sign)])
+        n = len(flat) // block
+        return pd.DataFrame({"batch_id": bid[0], "block_id": np.arange(n), "ids": pd.Series(list(flat[: n * block].reshape(n, block)), dtype=object)})
+
+    d = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
+    return d.groupBy(F.floor(F.col(key) / batch).alias("batch_id")).applyInPandas(cut, "batch_id bigint, block_id bigint, ids array<int>")
+
+
 def padded(ids: Column, width: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import udfs as U
 from curata.operators import dialogue as D
 from curata.operators import sequences as S
 from curata.operators import tools
 from curata.plans.registry import query
-from curata.plans.spread import spread
 from curata.sources import readers, table
 from curata.streaming import streams
 
@@ -139,7 +137,7 @@ def pretraining_blocks(spark, folder):
 def document_blocks(spark, folder):
     """All documents joined with an end sign by batches of 1000 keys and cut into blocks of 2048; the rest of a batch is dropped."""
     d = table(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL")
-    return S.blocks(spread(d).select("doc_id", U.code_points("text").alias("ids")), "doc_id", "ids", 2048, 1)
+    return S.text_blocks(d, "doc_id", "text", 2048, 1)
 
 
 @query(

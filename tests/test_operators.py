@@ -342,6 +342,31 @@ def test_data_arguments(bad):
     assert readers.DataArguments(datasets=("a", "b"), weights=(1.0, 2.0), strategy="interleave", streaming=True, max_steps=3).cutoff == 2048
 
 
+def test_clusters_must_name_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from curata.plans.lineage import shared_folder
+
+    def session(master, named=None):
+        get = lambda key, default=None: named
+        return N(sparkContext=N(master=master, getConf=lambda: N(get=get)), conf=N(get=get))
+
+    assert shared_folder(session("yarn", "hdfs:///x")) == "hdfs:///x" and shared_folder(session("local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+
+
+def test_small_tables_are_spread_and_large_ones_never(spark, tmp_path, monkeypatch):
+    from curata.plans import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread.spread(df).rdd.getNumPartitions() > df.rdd.getNumPartitions()
+    monkeypatch.setattr(spread, "SMALL_BYTES", 10)
+    assert spread.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
 def test_stages_and_sampling():
     assert S.encoder("supervised") is S.encode_turns and S.encoder("supervised", True) is S.pack_batches and S.encoder("pretraining") is S.blocks
     for bad in (("rated", True), ("x", False)):
