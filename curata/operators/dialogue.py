@@ -240,6 +240,15 @@ def placeholder_count(messages: Column, sign: str = "<image>") -> Column:
     return F.aggregate(F.transform(messages, lambda m: F.regexp_count(m["content"], F.lit(re.escape(sign)))), F.lit(0), lambda a, x: a + x)
 
 
+def image_size(width: Column, height: Column, most: int, least: int) -> Column:
+    """(width, height) of an image scaled, sides in proportion, to at most ``most`` and then at least ``least`` pixels; fractions are cut off."""
+    scaled = lambda f, x: F.floor(x * f).cast("int")
+    down = F.when(width * height > most, F.sqrt(F.lit(float(most)) / (width * height))).otherwise(F.lit(1.0))
+    w, h = scaled(down, width), scaled(down, height)
+    up = F.when(w * h < least, F.sqrt(F.lit(float(least)) / (w * h))).otherwise(F.lit(1.0))
+    return F.struct(scaled(up, w).alias("width"), scaled(up, h).alias("height"))
+
+
 def frame_places(frames: Column, seconds: Column, fps: float, most: int) -> Column:
     """Evenly spaced frames of a clip: as many as ``fps`` asks for, at most ``most``, at least one."""
     n = F.greatest(F.least(F.floor(seconds * fps), F.lit(most), frames), F.lit(1)).cast("int")

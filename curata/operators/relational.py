@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,18 +16,26 @@ from curata.plans.lineage import cut
 from curata.plans.skew import dictionary_join, hot_limit
 
 
+#: Bits of a gram's hash in the map of rare grams: at most 2^20 numbers are sent along.
+MAP_BITS = 20
+
+
 def contamination(docs: DataFrame, doc_id: str, text_words: Column, items: DataFrame, item_id: str, item_words: Column, shingle, n: int = 8, most_items: int = 5) -> DataFrame:
     """(doc_id, item_id, score, pos): for each document and item the share of the item's n-grams found in it.
 
     Grams of more than ``most_items`` items don't count as hits but stay in the denominator; hits count places, so
-    repeated passages can lift a score above 1. ``pos`` is the first hit. The item side is one exploded table of
-    grams; whether it is broadcast is left to its size.
+    repeated passages can lift a score above 1. ``pos`` is the first hit. The documents' grams first meet a broadcast map of
+    the rare grams' hashes, ``MAP_BITS`` bits each and so of bounded size whatever the number of items; the few that are left are
+    joined with the grams themselves, by broadcast or shuffle as their size allows.
     """
     # words in a projection of their own: a lambda would evaluate them for each gram
     grams = items.select(F.col(item_id).alias("item"), item_words.alias("w")).select("item", F.explode(F.array_distinct(shingle(F.col("w"), n))).alias("gram"))
     size = grams.groupBy("item").agg(F.count("*").alias("n_grams"))
-    rare = grams.groupBy("gram").agg(F.count("*").alias("k"), F.collect_list("item").alias("owners")).where(F.col("k") <= most_items).select("gram", "owners")
+    few = grams.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") <= most_items).select("gram")
+    rare = cut(grams.join(few, "gram").groupBy("gram").agg(F.collect_list("item").alias("owners")))  # of at most most_items
     probes = docs.select(F.col(doc_id).alias("doc"), text_words.alias("w")).select("doc", F.posexplode(shingle(F.col("w"), n)).alias("pos", "gram"))
+    bits = F.xxhash64("gram").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("bits")
+    probes = probes.withColumn("bits", bits).join(F.broadcast(rare.select(bits).distinct()), "bits", "left_semi").drop("bits")
     hits = probes.join(rare, "gram").select("doc", "pos", F.explode("owners").alias("item"))
     got = hits.groupBy("doc", "item").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
     return got.join(size, "item").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.round(F.col("hits") / F.col("n_grams"), 3).alias("score"), "pos")
@@ -327,25 +336,27 @@ def class_agreement(df: DataFrame, group: str, key: str, answer: str) -> DataFra
     return d.select(key, group, F.round(F.coalesce("best", F.lit(1)) / F.col("n"), 6).alias("agreement"), F.coalesce(F.col("size") * 2 > F.col("n"), F.lit(False)).alias("in_majority"))
 
 
+#: A prime below 2^31, and Poisson(1) as the number of these shares of it that a draw reaches.
+PRIME = 2**31 - 1
+POISSON = [int(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) * PRIME) for k in range(9)]
+
+
 def bootstrap_gap(scores: DataFrame, bench: str, question: str, a: str, b: str, rounds: int, seed: int) -> DataFrame:
     """(lo, hi, mean): percentiles 2.5 and 97.5 of the macro-averaged gap a - b over resampled questions.
 
-    Each round draws as many questions of each bench as it has, with replacement. The draw of a slot in round r is
-    (a + r b) mod p mod n with a and b hashed from (seed, bench, slot) and the prime p = 2^31 - 1: one hash a slot, and draws of different
-    slots are independent. The resampled means come from one join and two aggregations.
+    Every question enters each round with a Poisson(1) weight, the form of resampling with replacement that needs no draws across
+    rows: nothing is joined or ordered, and rounds x benches sums are all that is shuffled. The weight in round r comes from
+    (x + r y) mod PRIME with x and y hashed from (seed, bench, question), so it is the same in every layout.
     """
-    w = Window.partitionBy(bench).orderBy(question)
-    q = scores.select(bench, (F.col(a) - F.col(b)).alias("gap"), (F.row_number().over(w) - 1).alias("at"))
-    n = q.groupBy(bench).agg(F.count("*").alias("n"))
-    slots = q.select(bench, F.col("at").alias("slot")).join(n, bench)
-    h, p31 = F.md5(F.concat_ws("|", F.lit(str(seed)), bench, "slot")), 2**31 - 1
-    half = lambda k: F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") % p31
-    draws = slots.select(bench, "n", half(1).alias("ha"), half(9).alias("hb")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    draw = (F.col("ha") + F.col("round") * F.col("hb")) % p31 % F.col("n")
-    drawn = draws.withColumn("at", draw).join(q, [bench, "at"]).groupBy("round", bench).agg(F.avg("gap").alias("m"))
-    means = drawn.groupBy("round").agg(F.avg("m").alias("m"))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), bench, F.col(question).cast("string")))
+    part = lambda k: F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") % PRIME
+    q = scores.select(bench, (F.col(a) - F.col(b)).alias("gap"), part(1).alias("hx"), part(9).alias("hy")).where("gap IS NOT NULL")
+    drawn = q.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("v", (F.col("hx") + F.col("round") * F.col("hy")) % PRIME)
+    weight = sum(((F.col("v") >= t).cast("int") for t in POISSON), F.lit(0))
+    means = drawn.select("round", bench, "gap", weight.alias("w")).groupBy("round", bench).agg(F.try_divide(F.sum(F.col("w") * F.col("gap")), F.sum("w")).alias("m"))
+    rounds_ = means.groupBy("round").agg(F.avg("m").alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.agg(p.alias("p"), F.avg("m").alias("mean")).select(F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"), F.round("mean", 6).alias("mean"))
+    return rounds_.agg(p.alias("p"), F.avg("m").alias("mean")).select(F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"), F.round("mean", 6).alias("mean"))
 
 
 def gate(p: Column, ref: Column, n: Column) -> Column:

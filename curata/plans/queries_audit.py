@@ -208,15 +208,14 @@ def run_verdicts(spark, folder):
     return d.select("run", "p", F.round(gap, 6).alias("gap"), F.when(gap > F.col("hi") - F.col("lo"), "exceeds").when(F.col("p") < F.col("lo"), "worse").otherwise("within noise").alias("verdict"))
 
 
-_PAIRED = """l AS (SELECT n_name AS bench, l_suppkey AS question, c_mktsegment AS run, l_returnflag = 'R' AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-    s AS (SELECT bench, question, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE run = 'BUILDING') - avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE run = 'MACHINERY') AS gap FROM l GROUP BY ALL),
-    q AS (SELECT bench, gap, row_number() OVER (PARTITION BY bench ORDER BY question) - 1 AS place, count(*) OVER (PARTITION BY bench) AS n FROM s WHERE gap IS NOT NULL)"""
+_POISSON = " + ".join(f"CASE WHEN v >= {t} THEN 1 ELSE 0 END" for t in R.POISSON)
 
 
 @query(
-    f"""WITH {_PAIRED}, h AS (SELECT bench, place AS slot, n, md5('7|' || bench || '|' || place) AS h FROM q),
-    k AS (SELECT bench, slot, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 2147483647 AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2147483647 AS b FROM h),
-    d AS (SELECT r.range AS round, bench, (a + r.range * b) % 2147483647 % n AS place FROM k, range(2000) r), m AS (SELECT round, d.bench, avg(gap) AS m FROM d JOIN q ON q.bench = d.bench AND q.place = d.place GROUP BY ALL),
+    f"""WITH l AS (SELECT n_name AS bench, l_suppkey AS question, c_mktsegment AS run, l_returnflag = 'R' AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    s AS (SELECT bench, question, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE run = 'BUILDING') - avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE run = 'MACHINERY') AS gap FROM l GROUP BY ALL),
+    k AS (SELECT bench, gap, CAST('0x' || substr(md5('7|' || bench || '|' || question), 1, 8) AS BIGINT) % {R.PRIME} AS x, CAST('0x' || substr(md5('7|' || bench || '|' || question), 9, 8) AS BIGINT) % {R.PRIME} AS y FROM s WHERE gap IS NOT NULL),
+    d AS (SELECT r.range AS round, bench, gap, (x + r.range * y) % {R.PRIME} AS v FROM k, range(2000) r), w AS (SELECT round, bench, gap, {_POISSON} AS w FROM d), m AS (SELECT round, bench, sum(w * gap) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL),
     e AS (SELECT round, avg(m) AS m FROM m GROUP BY round) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(m), 6) AS mean FROM e"""
 )
 def paired_bootstrap(spark, folder):
@@ -231,7 +230,7 @@ def paired_bootstrap(spark, folder):
     d = samples.join(o.join(runs, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     part = lambda run, x: F.sum(F.when(F.col("c_mktsegment") == run, F.col(x)))
     s = d.groupBy(F.col("n_name").alias("bench"), F.col("l_suppkey").alias("question")).agg((part("BUILDING", "c") / part("BUILDING", "n")).alias("a"), (part("MACHINERY", "c") / part("MACHINERY", "n")).alias("b"))
-    return R.bootstrap_gap(cut(s.where("a IS NOT NULL AND b IS NOT NULL")), "bench", "question", "a", "b", 2000, 7)
+    return R.bootstrap_gap(s, "bench", "question", "a", "b", 2000, 7)
 
 
 @query(

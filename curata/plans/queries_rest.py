@@ -17,6 +17,7 @@ from curata.plans.queries_audit import _GRID, grid, run_scores
 from curata.plans.registry import query
 from curata.plans.spread import spread
 from curata.sources import files, readers, table
+from curata.streaming import streams
 from curata.streaming.streams import scratch
 
 # Sources and sinks: each writes the rows in the delivered form below the session's shared folder and reads them back.
@@ -354,3 +355,69 @@ def thought_targets(spark, folder):
 def example_slice(spark, folder):
     """The examples of a slice [start, end) in the order of their keys."""
     return readers.page(table(spark, folder, "audit_pool", "pool_idx"), "pool_idx", 2, 50)
+
+
+@query("SELECT id, trim(problem) AS question, CAST(answer AS VARCHAR) AS reply, CAST(2 AS INTEGER) AS n FROM amc WHERE problem IS NOT NULL")
+def embedded_transcripts(spark, folder):
+    """Turns of transcripts written into one text."""
+    a = table(spark, folder, "amc", "id", "problem", "answer").where("problem IS NOT NULL")
+    t = a.select("id", readers.embedded_turns(F.concat(F.lit("Talk. Human: "), "problem", F.lit("\nAssistant: "), F.col("answer").cast("string"))).alias("t"))
+    return t.select("id", F.col("t")[0]["content"].alias("question"), F.col("t")[1]["content"].alias("reply"), F.size("t").alias("n"))
+
+
+_SIDE = "CASE WHEN w * h > 1000000 THEN sqrt(1e6 / (w * h)) ELSE 1.0 END"
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, p_size * 100 AS w, CAST(floor(p_retailprice) AS INTEGER) AS h FROM part), b AS (SELECT p_partkey, CAST(floor(w * {_SIDE}) AS INTEGER) AS w, CAST(floor(h * {_SIDE}) AS INTEGER) AS h FROM a)
+    SELECT p_partkey, CAST(floor(w * CASE WHEN w * h < 400000 THEN sqrt(4e5 / (w * h)) ELSE 1.0 END) AS INTEGER) AS width, CAST(floor(h * CASE WHEN w * h < 400000 THEN sqrt(4e5 / (w * h)) ELSE 1.0 END) AS INTEGER) AS height FROM b"""
+)
+def image_sizes(spark, folder):
+    """Sizes of images scaled into bounds of pixels."""
+    p = table(spark, folder, "part", "p_partkey", "p_size", "p_retailprice")
+    return p.select("p_partkey", D.image_size(F.col("p_size") * 100, F.col("p_retailprice").cast("int"), 1_000_000, 400_000).alias("s")).select("p_partkey", "s.*")
+
+
+#: Pairs of answers and whether they grade as the same, worked out by hand.
+_ANSWERS = [
+    ("\\dfrac{1}{2}", "0.5", True), ("50\\%", "0.5", True), ("(1, 2)", "(1,2)", True), ("(2,1)", "(1,2)", False), ("x = 3", "3", True), ("1,000", "1000", True), ("7", "8", False), ("12 cm", "12", True), ("3/2, 1.6", "8/5, 1.5", True), ("1,1,2", "1,2,2", False),
+    ("twelve", "12", True), ("[0, \\infty)", "[0,inf)", True), ("(0,1)", "[0,1)", False), ("the answer is B", "B", True), ("", "1", False), ("2x+1=3y", "3y=2x+1", True),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {same})" for a, b, same in _ANSWERS) + ") v(pred, gold, same)")
+def answer_grades(spark, folder):
+    """Pairs of answers judged by the full cascade."""
+    d = spark.createDataFrame([(a, b) for a, b, _ in _ANSWERS], "pred string, gold string")
+    return d.select("pred", "gold", U.answers_equal("pred", "gold").alias("same"))
+
+
+@query("SELECT CAST(pool_idx // 1000 AS BIGINT) AS batch_id, count(*) AS n_sequences, CAST(sum(length(r1_answer)) AS BIGINT) AS tokens, TRUE AS fits FROM audit_pool WHERE length(r1_answer) BETWEEN 1 AND 64 GROUP BY ALL")
+def packed_totals(spark, folder):
+    """Greedy packing by batches keeps every sequence that fits, all its tokens, and the capacity."""
+    a = table(spark, folder, "audit_pool", "pool_idx", "r1_answer").where("r1_answer IS NOT NULL AND r1_answer <> ''").select("pool_idx", S.words_as_ids(F.col("r1_answer")).alias("ids"))
+    p = S.pack_batches(a, "pool_idx", "ids", 64)
+    return p.groupBy("batch_id").agg(F.sum("n_sequences").alias("n_sequences"), F.sum("tokens").alias("tokens"), F.bool_and((F.col("tokens") <= 64) & (F.size("input_ids") == 64)).alias("fits"))
+
+
+@query("SELECT 'taken' AS side, 100 AS n UNION ALL SELECT 'rest', count(*) - 100 FROM events")
+def stream_split(spark, folder):
+    """The first hundred rows of a stream and all that follow."""
+    taken, rest = streams.take_skip(streams.source(spark, f"{folder}/events.parquet"), "event_id", 100)
+    return R.unions([df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n") for side, df in (("taken", taken), ("rest", rest))])
+
+
+@query("SELECT event_id, 'events' AS stream, 2 * value AS value FROM events UNION ALL SELECT o_orderkey, 'orders', 2 * o_totalprice FROM orders")
+def interleaved_streams(spark, folder):
+    """Two streams as one, mapped by a function of whole batches."""
+    e = streams.source(spark, f"{folder}/events.parquet").select("event_id", "value")
+    o = streams.source(spark, f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("value"))
+    both = streams.interleaved({"events": e, "orders": o}).select("event_id", "stream", "value")
+    return streams.run(streams.mapped(both, lambda pdf: pdf.assign(value=2 * pdf["value"]), "event_id bigint, stream string, value double"))
+
+
+@query("SELECT event_id, TRUE AS ordered FROM events")
+def shuffled_stream(spark, folder):
+    """A stream's rows in a seeded order inside each batch: every row once, places ascending with the hash."""
+    s = streams.shuffled(streams.source(spark, f"{folder}/events.parquet").select("event_id"), "event_id", 3)
+    return s.select("event_id", (F.col("place") == F.xxhash64("event_id", (F.col("batch") + 3).cast("int"))).alias("ordered"))

@@ -66,3 +66,19 @@ def made_once(spark: SparkSession, folder: str, make: Callable[[], DataFrame], k
     elif read_text(spark, f"{folder}/key.json") not in (None, told):
         raise ValueError(f"{folder} was made of something else")
     return spark.read.parquet(f"{folder}/data")
+
+
+def checksums(spark: SparkSession, folder: str) -> dict[str, str]:
+    """SHA-256 of each file of a folder by name, to tell whether frozen files have changed."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.format("binaryFile").load(listed(spark, folder)).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sum")).collect()
+    return {r.name: r.sum for r in sorted(rows)}
+
+
+def must_be_frozen(spark: SparkSession, folder: str, expected: dict[str, str]) -> None:
+    """An error that names what was added, removed or changed."""
+    got = checksums(spark, folder)
+    changed = sorted(k for k in got.keys() | expected.keys() if got.get(k) != expected.get(k))
+    if changed:
+        raise ValueError(f"not as frozen: {', '.join(changed)}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -243,6 +244,12 @@ def media_paths(paths: Column, folder: str) -> Column:
     return F.transform(paths, lambda p: F.when(p.rlike(r"^(/|[a-zA-Z][a-zA-Z0-9+.-]*://)"), p).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), p)))
 
 
+def changed_settings(before: str, after: str) -> dict[str, tuple[str | None, str | None]]:
+    """The keys on which two configurations differ, with both values; None where one has none."""
+    a, b = settings(before), settings(after)
+    return {k: (a.get(k), b.get(k)) for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)}
+
+
 def settings(text: str) -> dict[str, str]:
     """``key: value`` lines of a configuration without comments and blank lines; the first colon divides."""
     out = {}
@@ -296,6 +303,14 @@ def transcript_turns(df: DataFrame, key: str, text: str, speaker: str = "[A-Z][a
     return t.select(key, "turn", F.substring_index("x", ": ", 1).alias("speaker"), F.regexp_replace(F.regexp_replace("x", f"^{speaker}: ", ""), "^\\s+|\\s+$", "").alias("content"))
 
 
+def embedded_turns(text: Column, human: str = "Human:", assistant: str = "Assistant:") -> Column:
+    """The turns of a transcript written into one text, wherever its marks stand: (role, content) from the first mark on, trimmed; none without a mark."""
+    marks = "|".join(re.escape(m) for m in (human, assistant))
+    parts = F.filter(F.split(text, f"(?={marks})"), lambda x: x.rlike(f"^({marks})"))
+    content = lambda x: F.regexp_replace(F.regexp_replace(x, f"^({marks})", ""), r"^\s+|\s+$", "")
+    return F.transform(parts, lambda x: F.struct(F.when(x.startswith(human), "user").otherwise("assistant").alias("role"), content(x).alias("content")))
+
+
 def alternating(values: Column) -> Column:
     """A list of texts as user and assistant turns; an odd last one is dropped, fewer than two give NULL."""
     even = F.size(values) - F.size(values) % 2

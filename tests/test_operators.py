@@ -367,6 +367,24 @@ def test_small_tables_are_spread_and_large_ones_never(spark, tmp_path, monkeypat
     assert spread.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
 
 
+def test_frozen_files_and_settings(spark, tmp_path):
+    from curata.sources import files
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    sums = files.checksums(spark, str(tmp_path))
+    assert sorted(sums) == ["a.txt", "b.txt"]
+    files.must_be_frozen(spark, str(tmp_path), sums)
+    (tmp_path / "b.txt").write_text("2")
+    with pytest.raises(ValueError, match="b.txt"):
+        files.must_be_frozen(spark, str(tmp_path), sums)
+    assert readers.changed_settings("a: 1\nb: 2", "a: 1\nb: 3 # new\nc: 4") == {"b": ("2", "3"), "c": (None, "4")}
+    made = [files.made_once(spark, str(tmp_path / "cache"), lambda n=n: spark.range(n), {"v": 1}).count() for n in (3, 5)]
+    assert made == [3, 3]
+    with pytest.raises(ValueError):
+        files.made_once(spark, str(tmp_path / "cache"), lambda: spark.range(1), {"v": 2})
+
+
 def test_stages_and_sampling():
     assert S.encoder("supervised") is S.encode_turns and S.encoder("supervised", True) is S.pack_batches and S.encoder("pretraining") is S.blocks
     for bad in (("rated", True), ("x", False)):

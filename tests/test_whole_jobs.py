@@ -1,6 +1,7 @@
 """Jobs that SQL doesn't state, as queries on small tables against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -97,13 +98,22 @@ def test_paired_bootstrap(spark, tmp_path):
         cells.setdefault((nations[nation], supplier), {}).setdefault(run, []).append(flag == "R")
     gaps = {b: [np.mean(x["BUILDING"]) - np.mean(x["MACHINERY"]) for (n, _), x in sorted(cells.items()) if n == b and {"BUILDING", "MACHINERY"} <= set(x)] for b in nations}
     assert all(len(g) > 7 for g in gaps.values())  # more than the suppliers' remainders by 500
-    prime = 2**31 - 1
-
-    def draw(r, b, k):
-        h = hashlib.md5(f"7|{b}|{k}".encode()).hexdigest()
-        return (int(h[:8], 16) % prime + r * (int(h[8:16], 16) % prime)) % prime % len(gaps[b])
-
-    means = [np.mean([np.mean([gaps[b][draw(r, b, k)] for k in range(len(gaps[b]))]) for b in nations]) for r in range(2000)]
+    prime, means = 2**31 - 1, []
+    named = {b: [(s, np.mean(x["BUILDING"]) - np.mean(x["MACHINERY"])) for (n, s), x in cells.items() if n == b and {"BUILDING", "MACHINERY"} <= set(x)] for b in nations}
+
+    def weight(r, b, s):
+        h = hashlib.md5(f"7|{b}|{s}".encode()).hexdigest()
+        v, p, k, total = (int(h[:8], 16) % prime + r * (int(h[8:16], 16) % prime)) % prime, math.exp(-1), 0, 0.0
+        while k < 9:
+            total += p / math.factorial(k)
+            if v < int(total * prime):
+                break
+            k += 1
+        return k
+
+    for r in range(2000):
+        by = [[(weight(r, b, s), g) for s, g in named[b]] for b in nations]
+        means.append(np.mean([sum(w * g for w, g in rows) / n for rows in by if (n := sum(w for w, _ in rows))]))
     assert np.allclose([got.lo, got.hi, got["mean"]], [*np.percentile(means, [2.5, 97.5]), np.mean(means)], atol=2e-6)
 
 
