@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -224,6 +225,49 @@ def same_answer(pred: str | None, gold: str | None) -> bool:
     return algebra.equal(a, b)
 
 
+def _buckets(name: str, x: float, tolerance: float) -> Iterator[str]:
+    """Names of overlapping buckets: two numbers that differ by at most the tolerance (of either) share one."""
+    if not math.isfinite(x):
+        yield f"{name}{x}"
+        return
+    level = math.ceil(math.log2(2 * tolerance))
+    for k in (level, level + 1):  # numbers near each other may be on neighbouring levels
+        for half in (0.0, 0.5):
+            yield f"{name}{k}:{half}:{math.floor(math.ldexp(x, -k) + half)}"
+
+
+def answer_keys(answer: str | None) -> set[str]:
+    """Keys by which equal answers meet: any two that ``same_answer`` holds equal, either way, share at least one."""
+    a = canonical(answer)
+    if not a:
+        return set()
+    out = {"s" + a.lower()}
+    if letters := re.sub(r"[^A-E]", "", a.upper()):
+        out.add("l" + letters[-1])
+    if (v := value(a)) is not None:
+        for x in (v, v / 100, v * 100):
+            out |= set(_buckets("n", x, max(2e-9 * abs(x), 1e-4)))
+        return out
+    if (m := algebra.matrix(a)) is not None:
+        return out | {f"m{len(m)}:{k}" for k in answer_keys(m[0][0])} if m and m[0] else out
+    inner = re.fullmatch(r"([(\[]|\\\{)(.+)([)\]]|\\\})", a)
+    for kind, parts in (("i", algebra.members(inner[2]) if inner else []), ("o", algebra.members(a))):
+        if len(parts) > 1:
+            out |= {f"{kind}{len(parts)}:{k}" for x in parts for k in answer_keys(x)}
+    if a.count("=") == 1:
+        out.add("e")
+    if (tree := algebra.read(a)) is not None:
+        for k, at in enumerate(algebra.points(algebra.names(tree))):
+            if (x := algebra.value(tree, at)) is not None:
+                out |= set(_buckets(f"p{k}:", abs(x), 2 * algebra.ROUNDING * max(abs(x), 1.0)))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def meeting_keys(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: sorted(answer_keys(t)))
+
+
 def same_simple(pred: str | None, gold: str | None) -> bool:
     """Numbers within 1e-5, else the same spelling; NULL equals nothing."""
     if pred is None or gold is None:

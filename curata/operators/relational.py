@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.functions.udfs import answers_equal, canonical_answer
+from curata.functions.udfs import answers_equal, canonical_answer, meeting_keys
 from curata.plans.lineage import cut
 from curata.plans.skew import dictionary_join, hot_limit
 
@@ -306,14 +306,16 @@ def class_agreement(df: DataFrame, group: str, key: str, answer: str) -> DataFra
     the row's class is a strict majority.
 
     Empty and NULL answers equal nothing, each is a class of its own. Equality isn't transitive, classes are its closure; an answer is graded
-    against those of later keys, as gold. Distinct normal forms are graded once a group, and only groups with equal forms of other spelling are gathered.
+    against those of later keys, as gold. Distinct normal forms are graded once a group, and only those pairs that share a key any two equal answers share
+    (``udfs.answer_keys``: value buckets, members, points of expressions); only groups with equal forms of other spelling are gathered.
     """
     rows = df.where(F.col(group).isNotNull()).select(key, group, F.when(F.col(answer) != "", F.col(answer)).alias("a"))
     size = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(size, group).withColumn("form", F.when(F.col("a").isNotNull(), canonical_answer("a")))
     forms = cut(rows.where("form IS NOT NULL").groupBy(group, "form").agg(F.count("*").alias("c"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("a").alias("a")))
-    x, y = (forms.select(group, *(F.col(c).alias(f"{c}_{side}") for c in ("form", "lo", "hi", "a"))) for side in "xy")
-    pairs = x.join(y, group).where("form_x < form_y").withColumn("xy", answers_equal("a_x", "a_y")).withColumn("yx", answers_equal("a_y", "a_x"))
+    keyed = cut(forms.select(group, "form", "lo", "hi", "a", F.explode(meeting_keys("a")).alias("k")))
+    x, y = (keyed.select(group, "k", *(F.col(c).alias(f"{c}_{side}") for c in ("form", "lo", "hi", "a"))) for side in "xy")
+    pairs = x.join(y, [group, "k"]).where("form_x < form_y").drop("k").distinct().withColumn("xy", answers_equal("a_x", "a_y")).withColumn("yx", answers_equal("a_y", "a_x"))
     edges = pairs.where("(lo_x < hi_y AND xy) OR (lo_y < hi_x AND yx)").select(group, "form_x", "form_y")
 
     def components(pdf: pd.DataFrame) -> pd.DataFrame:

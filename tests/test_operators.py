@@ -111,6 +111,14 @@ def test_same_answer(a, b, same):
     assert U.same_answer(a, b) is same
 
 
+def test_equal_answers_share_a_key():
+    answers = ["1/2", "0.5", "50\\%", "0.50004", "50", "\\frac12", "x+1", "1+x", "(x+1)^2", "x^2+2x+1", "(1,2)", "(1.0, 2)", "\\{2,1\\}", "\\{1,2\\}", "3/2, 1.6", "8/5, 1.5", "B", "ab", "(B)", "y=2x+1", "2x-y=-1", "y-2x=1", "2^{100}", "4^{50}", "1267650600228229401496703205376",
+               "[0,\\infty)", "[0,inf)", "\\begin{pmatrix}1&2\\end{pmatrix}", "\\begin{bmatrix}1.0&2\\end{bmatrix}", "i^2", "-1", "2+3i", "3i+2", "Yes", "yes", "0", "0.00008", "-0.00009", "1000000.0001", "1000000.0009", "1e9", "\\frac{1}{x}", "x^{-1}", "0.0001", "1.0001", "1"]
+    equal = [(a, b) for a in answers for b in answers if U.same_answer(a, b)]
+    assert len(equal) > 70 and all(U.answer_keys(a) & U.answer_keys(b) for a, b in equal)
+    assert not U.answer_keys("7") & U.answer_keys("8") and not U.answer_keys(None)
+
+
 def test_other_grades():
     assert U.same_simple("1.000001", "1") and not U.same_simple("1.1", "1") and U.same_simple("1,000", "1000.0") and U.same_simple("ab", "ab ") and not U.same_simple(None, "1")
     assert U.same_latex("\\frac{x}{2}", "0.5x") and U.same_latex("a b", "ab") and not U.same_latex("x", "y") and not U.same_latex(None, "x")
