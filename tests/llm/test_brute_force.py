@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curata.llm import budget, common, copies, language, leak, mixture, ngrams, packing, pairs, repeats, toxic
+from curata.llm import budget, common, copies, leak, mixture, ngrams, packing, repeats
 
 WORDS = "the a river stone seven blue under table counts of every second tall runs green 12 34 left right near".split()
 
