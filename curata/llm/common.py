@@ -85,7 +85,7 @@ def map_batches(df: DataFrame, schema: str, texts: tuple[str, ...], make: Callab
     return spread(df).mapInArrow(run, schema)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
 class PieceCounter(dict):

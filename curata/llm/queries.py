@@ -133,7 +133,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _toxic(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
-    return toxic.scores(docs, toxic.train(docs, table(spark, folder, "doc_labels")))
+    labels = table(spark, folder, "doc_labels")
+    seen, verdict = toxic.read(docs), toxic.verdicts(labels)
+    tallies = toxic.tallied(seen, verdict)
+    return toxic.scores(docs, toxic.train(docs, labels, tallies), seen, toxic.said(tallies, toxic.shares(verdict)))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -156,6 +156,23 @@ def test_marked_documents_score_higher(spark, content):
     assert toxic.found(toxic.scores(d.limit(0), content)).count() == 0
 
 
+def test_all_documents_and_reviews_are_tallied(spark):
+    """No document and no review is left out of the tallies, and a wording that only reviews know is found."""
+    told = "crawl back into your hole and stay there"
+    rows = [(i, f"The sum over row {i} is even. {'Case ' + 'abcdefghij'[i % 10] * 2 + ' holds by the rule of signs'}. {told if i % 50 == 0 else 'We go on'}.", "s") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "a", int(i % 50 == 0)) for i in range(2500)], "doc_id bigint, rater string, toxic int")
+    seen, verdict = toxic.read(docs), toxic.verdicts(labels)
+    tallies = toxic.tallied(seen, verdict)
+    by = {r.text: r for r in toxic.frames(tallies).collect()}
+    assert by["the sum over row 0 is even"].places == 3000 and by[told].places == 60
+    assert (by[told].r01 + by[told].r11, by[told].r00 + by[told].r10) == (50, 0)
+    assert sum(by["the sum over row 0 is even"][c] for c in toxic._MARKS) == 2500
+    model = toxic.train(docs, labels, tallies)
+    got = {r.doc_id for r in toxic.found(toxic.scores(docs, model, seen, toxic.said(tallies, toxic.shares(verdict)))).collect()}
+    assert got == {i for i in range(3000) if i % 50 == 0}
+
+
 def test_all_queries_run(spark):
     small = "/root/testdata/sf0.001"
     if not os.path.isdir(small):
