@@ -16,14 +16,17 @@ from collections import Counter
 from dataclasses import dataclass
 
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import lang_label, map_batches, sample_limits, sampled
 from curata.llm.language import prepared
+from curata.plans.lineage import cut
 
-#: Bound of the labelled samples: rows of a language for the word dictionary, rows for the terminal contexts.
-ROWS_PER_LANG, CONTEXT_ROWS = 500, 6000
+#: Bound of the labelled sample: rows of a language for the word dictionary.
+ROWS_PER_LANG = 500
+#: Contexts of this share of all words are known whether a text asks for them or not.
+FREQUENT = 1e-5
 #: Of a copy's words, compressed with the prompt as dictionary, at most this share of their bytes is left; the like for the prompt's words by the copy.
 MOST_NEW, MOST_MISSING = 0.3, 0.35
 #: Bytes of an empty zstandard frame. Responses more than so many times longer than their prompt aren't the prompt alone.
@@ -185,8 +188,8 @@ def _word(x: str) -> bool:
     return x[0].isalnum() or x == "§"
 
 
-def contexts(texts: list[str]) -> Contexts:
-    """Counted over texts; the end of a text counts as one only if it has a box or its own full stop."""
+def context_counts(texts: list[str]) -> dict[str, list[int]]:
+    """(places, ends) of 1 to 3 words; the end of a text counts as one only if it has a box or its own full stop."""
     seen: dict[str, list[int]] = {}
     for t in texts:
         p = pieces(t)
@@ -206,7 +209,32 @@ def contexts(texts: list[str]) -> Contexts:
                     c = seen.setdefault(" ".join(run[-n:]), [0, 0])
                     c[0] += 1
                     c[1] += end
-    return Contexts({k: (a, b) for k, (a, b) in seen.items() if a > 1 or len(k.split()) == 1})
+    return seen
+
+
+def contexts(df: DataFrame, text_col: str, whole: Column) -> Contexts:
+    """Counted over all texts that are whole; of the counts those come here that some text's last words ask for, and frequent ones for other texts."""
+
+    def count():
+        def work(part, texts):
+            seen = context_counts([t for t in texts if t])
+            return {"context": list(seen), "places": [a for a, _ in seen.values()], "ends": [b for _, b in seen.values()]}
+
+        return work
+
+    def ask():
+        def work(part, texts):
+            runs = [open_end(t) for t in texts if t]
+            return {"context": sorted({" ".join(r[-n:]) for r in runs if isinstance(r, list) for n in (1, 2, 3) if len(r) >= n})}
+
+        return work
+
+    asked = map_batches(df.select(text_col), "context string", (text_col,), ask).distinct()
+    counts = map_batches(df.where(whole).select(text_col), "context string, places bigint, ends bigint", (text_col,), count).groupBy("context").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
+    counts = cut(counts.where((F.col("places") > 1) | ~F.col("context").contains(" ")))
+    total = counts.where(~F.col("context").contains(" ")).agg(F.sum("places")).first()[0] or 0
+    rows = counts.join(asked.withColumn("asked", F.lit(True)), "context", "left").where(F.col("asked") | (F.col("places") >= FREQUENT * total)).collect()
+    return Contexts({r.context: (r.places, r.ends) for r in rows})
 
 
 # Words after which a sentence never ends, whatever a sample says.
@@ -218,6 +246,12 @@ _CLOSED = re.compile(r"\\(?:[td]?frac\{[^{}]*\}\{[^{}]*\}|(?![td]?frac)[a-zA-Z]+
 
 
 def is_truncated(text: str, model: Contexts) -> bool:
+    end = open_end(text)
+    return not model.may_end(end) if isinstance(end, list) else end
+
+
+def open_end(text: str) -> bool | list[str]:
+    """Whether a text is cut off, or its last words where only the contexts can tell."""
     tags = text.count("<think>") - text.count("</think>")
     if tags > 0:
         return True
@@ -258,7 +292,7 @@ def is_truncated(text: str, model: Contexts) -> bool:
         return True
     if run == ["0"]:
         return False
-    return not model.may_end(run)
+    return run
 
 
 @dataclass
@@ -335,17 +369,15 @@ def wrong_language(prompt: str | None, text: str, words: Dictionary) -> bool:
 
 
 def train(df: DataFrame, id_col: str, text_col: str, label_col: str, truncated_col: str) -> tuple[Dictionary, Contexts]:
-    """Both models, from bounded samples chosen by a hash of the key."""
+    """The dictionary from a bounded labelled sample chosen by a hash of the key, the contexts from all rows."""
     label, text = lang_label(F.col(label_col)), F.col(text_col)
     share = sample_limits(df, label, text, ROWS_PER_LANG)
     # contexts come from delivered rows of any label that aren't marked as cut off
     whole = F.when(~F.coalesce(F.col(truncated_col), F.lit(False)), F.lit(True))
-    flat = sample_limits(df, whole, text, CONTEXT_ROWS).get(True, 0.0)
     by_lang = F.coalesce(*(F.when(label == k, F.lit(v)) for k, v in share.items()), F.lit(0.0))
-    a, b = sampled(F.col(id_col), text, by_lang), sampled(F.col(id_col), text, F.lit(flat)) & F.coalesce(whole, F.lit(False))
-    rows = df.where(a | b).select(F.col(id_col).alias("i"), text.alias("t"), label.alias("l"), a.alias("a"), b.alias("b")).collect()
+    rows = df.where(sampled(F.col(id_col), text, by_lang)).select(F.col(id_col).alias("i"), text.alias("t"), label.alias("l")).collect()
     rows.sort(key=lambda r: (r.i is None, r.i, r.t))
-    return word_dictionary([(r.t, r.l) for r in rows if r.a]), contexts([r.t for r in rows if r.b])
+    return word_dictionary([(r.t, r.l) for r in rows]), contexts(df, text_col, F.coalesce(whole, F.lit(False)))
 
 
 def defects(prompt: str | None, text: str | None, words: Dictionary, model: Contexts) -> list[str]:

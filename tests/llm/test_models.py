@@ -122,6 +122,14 @@ def test_defects_of_odd_tables(spark, defect_models):
     assert pairs.defective(df.limit(0), defect_models, "pool_idx", "prompt", "output").count() == 0
 
 
+def test_contexts_count_all_rows(spark):
+    """Every whole text counts, however many there are."""
+    rows = [(i, "We add the tables.", "en", i >= 7000) for i in range(8000)] + [(8000, "First we add the tables", "en", False)]
+    df = spark.createDataFrame(rows, "pool_idx bigint, output string, lang string, truncated boolean")
+    _, model = pairs.train(df, "pool_idx", "output", "lang", "truncated")
+    assert model.seen["tables"] == (7000, 7000) and model.seen["add the tables"] == (7000, 7000)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def content(spark):
