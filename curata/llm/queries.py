@@ -136,7 +136,7 @@ def _toxic(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "doc_labels")
     seen, verdict = toxic.read(docs), toxic.verdicts(labels)
     tallies = toxic.tallied(seen, verdict)
-    return toxic.scores(docs, toxic.train(docs, labels, tallies), seen, toxic.said(tallies, toxic.shares(verdict)))
+    return toxic.scores(docs, toxic.train(docs, labels, tallies), seen, toxic.said(tallies, toxic.shares(verdict)), tallies)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

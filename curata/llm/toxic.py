@@ -52,20 +52,30 @@ LEAST_RATIO = 0.3
 THRESHOLD = 0.2
 #: Fits, each with the examples of the one before.
 ROUNDS = 4
+#: The fit gathers about so many values at a time.
+RUN = 1 << 15
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 #: Single letters set off by one sign each: s-p-a-c-e-d, s p a c e d.
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ \-._·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
 _LEET_WORD = re.compile(r"(?<![^\W_])(?=[^\s]*[^\W\d_][^\s]*[^\W\d_])[a-zß-ɏ0-9@$!|]*(?:[a-zß-ɏ][0134578@$!|]|[0134578@$!|][a-zß-ɏ])[a-zß-ɏ0-9@$!|]*[a-zß-ɏ0-9@$]")
 _LEET = str.maketrans("0134578@$!|", "oieastbasil")
-_MASK = re.compile(r"(?<=[^\W\d_])[.*_#·•](?=[^\W\d_])")
+_MASK = re.compile(r"[.*_#·•](?<=[^\W\d_][.*_#·•])(?=[^\W\d_])")
+#: What every match of ``_SPACED`` and of ``_LEET_WORD`` holds; patterns that begin with few signs are found fast.
+_SET_OFF = re.compile(r"[ \-._·](?<=[^\W\d_].)[^\W\d_][ \-._·][^\W\d_]")
+_LEET_SIGN = re.compile(r"[0134578@$!|](?:[a-zß-ɏ]|(?<=[a-zß-ɏ].))")
 #: Words that mix Latin letters with Cyrillic look-alikes.
 _MIXED = re.compile(r"(?<![^\W_])(?=[а-яіѕј]*[a-z])(?=[a-z]*[а-яіѕј])[a-zа-яіѕј]+")
 _LOOKALIKE = str.maketrans("аеорсухкмтвніѕј", "aeopcyxkmtbhisj")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_SPLIT = re.compile(r"(?<![^\W\d_])\.+|\.+(?![^\W\d_])|[!?。！？;；\n\r]+|\[/?[A-Za-z]+[^\]\n]*\]|```|</?[A-Za-z]+[^<>\n]*>")
+_SPLIT = re.compile(
+    r"[!?。！？;；\n\r.\[`<](?:(?<=[!?。！？;；\n\r])[!?。！？;；\n\r]*|(?<=\.)(?:(?<![^\W\d_]\.)\.*|\.*(?![^\W\d_]))"
+    r"|(?<=\[)/?[A-Za-z]+[^\]\n]*\]|(?<=`)``|(?<=<)/?[A-Za-z]+[^<>\n]*>)"
+)
 #: Numbers by themselves or before a single letter; any number.
-_NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?=[^\W\d_]?(?![^\W_]))")
+_NUMBER = re.compile(r"\d(?<![^\W_]\d)\d*(?:[.,]\d+)*(?=[^\W\d_]?(?![^\W_]))")
+#: The same for ASCII.
+_PLAIN_NUMBER = re.compile(r"[0-9](?<![^\W_][0-9])[0-9]*(?:[.,][0-9]+)*(?=[^\W\d_]?(?![^\W_]))")
 _TITLE = re.compile(r"(?<![^\W_])[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
@@ -74,10 +84,9 @@ _SPACE = re.compile(r"[^\S\x1c-\x1f\n]+")
 
 def rough(joined: str) -> str:
     """Lower case without invisible signs; numbers that aren't part of a word as 0."""
-    t = _INVISIBLE.sub("", joined)
-    if not t.isascii():
-        t = unicodedata.normalize("NFKC", t)
-    return _NUMBER.sub("0", t.lower())
+    if joined.isascii():
+        return _PLAIN_NUMBER.sub("0", joined.lower())
+    return _NUMBER.sub("0", unicodedata.normalize("NFKC", _INVISIBLE.sub("", joined)).lower())
 
 
 def undisguised(sentence: str) -> str:
@@ -85,14 +94,41 @@ def undisguised(sentence: str) -> str:
     return cleared_up(rough(sentence))
 
 
-def cleared_up(t: str) -> str:
-    """A rough sentence with look-alikes, spacing inside words, digits for letters and stretched letters undone."""
+def cleared_up(t: str, stretched: bool = True) -> str:
+    """A rough sentence with look-alikes, spacing inside words, digits for letters and stretched letters undone.
+
+    ``stretched``: whether ``t`` may hold a sign thrice in a row.
+    """
+    given = t
     if not t.isascii():
         t = _MIXED.sub(lambda m: m.group().translate(_LOOKALIKE), t)
-    t = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), t)
-    t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), t)
-    t = _STRETCHED.sub(r"\1", _MASK.sub("*", t))
-    return _SPACE.sub(" ", _DIGITS.sub("0", t)).strip(" -*#>:,'\"()")
+    if _SET_OFF.search(t):
+        t = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), t)
+    if _LEET_SIGN.search(t):
+        t = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), t)
+    stretched = stretched or t != given
+    t = _MASK.sub("*", t)
+    if stretched:
+        t = _STRETCHED.sub(r"\1", t)
+    t = _DIGITS.sub("0", t)
+    if " ".join(t.split()) != t:
+        t = _SPACE.sub(" ", t)
+    return t.strip(" -*#>:,'\"()")
+
+
+def all_cleared_up(rough_: list[str]) -> list[str]:
+    """``cleared_up`` of each, equal ones once."""
+    each = dict.fromkeys(rough_)
+    if not each:
+        return []
+    codes = np.frombuffer("\x1d".join(each).encode("utf-32-le", "surrogatepass"), np.uint32)
+    thrice = np.flatnonzero((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]))
+    ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) + 1)
+    stretched = np.zeros(len(each), bool)
+    stretched[np.searchsorted(ends, thrice, "right")] = True
+    for t, x in zip(each, stretched.tolist()):
+        each[t] = cleared_up(t, x)
+    return [each[t] for t in rough_]
 
 
 def rough_units(texts: list[str | None]) -> list[list[str]]:
@@ -108,16 +144,24 @@ def units(texts: list[str | None]) -> list[list[str]]:
 
 def cased_units(texts: list[str | None]) -> list[list[str]]:
     """The sentences of each text as written but for invisible signs and numbers."""
-    joined = _INVISIBLE.sub("", "\x1d".join((t or "").replace("\x1d", " ") for t in texts))
-    if not joined.isascii():
-        joined = unicodedata.normalize("NFKC", joined)
-    return [[x for u in _SPLIT.split(t) if len(x := u.strip()) > 1] for t in _NUMBER.sub("0", joined).split("\x1d")]
+    out = []
+    for t in texts:
+        t = (t or "").replace("\x1d", " ")
+        if t.isascii():
+            t = _PLAIN_NUMBER.sub("0", t)
+        else:
+            t = _NUMBER.sub("0", unicodedata.normalize("NFKC", _INVISIBLE.sub("", t)))
+        out.append([x for u in _SPLIT.split(t) if len(x := u.strip()) > 1])
+    return out
 
 
-def framed(sentence: str) -> tuple[str, str]:
-    """A cased sentence undisguised, and its frame: without capitalised words (names), if enough other words are left to know it by."""
-    text, frame = undisguised(sentence), undisguised(_TITLE.sub("§", sentence))
-    return text, frame if len(_WORD.findall(frame)) >= FRAME_WORDS else text
+def framed(sentences_: list[str]) -> list[tuple[str, str]]:
+    """Cased sentences undisguised, each with its frame: without capitalised words (names), if enough other words are left to know it by."""
+    texts = all_cleared_up([rough(s) for s in sentences_])
+    bare = [_TITLE.sub("§", s) for s in sentences_]
+    frames_ = all_cleared_up([rough(s) for s in bare])
+    known = {f: len(_WORD.findall(f)) >= FRAME_WORDS for f in set(frames_)}
+    return [(t, f if known[f] else t) for t, f in zip(texts, frames_)]
 
 
 def word_counts(sentences_: list[str]) -> dict[str, int]:
@@ -180,56 +224,105 @@ class Features:
         return at, self.feature[np.arange(len(at)) + np.repeat(self.start[rows] - (np.cumsum(size) - size), size)]
 
 
+class Sums:
+    """Sums over groups of neighbouring entries of the values that the entries point to."""
+
+    def __init__(self, index: np.ndarray, size: np.ndarray):
+        self.index, self.size = index, size
+        self.filled = np.flatnonzero(size)
+        self.start = np.cumsum(size[self.filled]) - size[self.filled]
+        # a run of groups at a time, so that what is gathered stays in the processor's cache
+        first = np.flatnonzero(np.diff(self.start // RUN, prepend=-1))
+        self.runs = list(zip(first.tolist(), [*first[1:].tolist(), len(self.start)]))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.filled))
+        for i, j in self.runs:
+            a, b = self.start[i], self.start[j] if j < len(self.start) else len(self.index)
+            out[i:j] = np.add.reduceat(values.take(self.index[a:b]), self.start[i:j] - a)
+        if len(out) == len(self.size):
+            return out
+        whole = np.zeros(len(self.size))
+        whole[self.filled] = out
+        return whole
+
+
+def both_ways(row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> tuple[Sums, Sums]:
+    """Of a matrix of zeros and ones (``row`` ascending) the sums over rows and the sums over columns."""
+    key = np.sort((column.astype(np.int64) << 32) | row)
+    return Sums(column, np.bincount(row, minlength=rows)), Sums(key & 0xFFFFFFFF, np.bincount(column, minlength=columns))
+
+
+def alike(row: np.ndarray, feature: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams that occur, the group of each, and one n-gram of each group: those of a group occur in the same rows."""
+    rng, bits = np.random.default_rng(1), 52 - int(rows).bit_length()
+    # sums of whole numbers below 2^53 are exact in any order; equal ones twice are equal sets of rows
+    a, b = (np.bincount(feature, rng.integers(1, 1 << bits, rows).astype(float)[row], 1 << BITS) for _ in range(2))
+    used = np.flatnonzero(a)
+    order = np.lexsort((b[used], a[used]))
+    a, b = a[used][order], b[used][order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(used)]
+    group = np.empty(len(used), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return used, group, used[order[new]]
+
+
 def fit(texts: Features, rows: np.ndarray, kind: np.ndarray, weight: np.ndarray, easy: np.ndarray | None = None) -> tuple[Model, np.ndarray]:
     """A model and each n-gram's weight in the rows; ``kind``: number of the kind, -1 for none; ``weight`` of each row.
 
     The ratios count all rows. A step of the fit takes all rows but ``easy`` ones, of which the steps take a slice in turns.
+    N-grams of the same rows have the same ratio and the same weight after each step, so they are fitted as one that counts for all.
     """
     row, feature = texts.take(rows)
     count = np.maximum(np.bincount(row, minlength=len(rows)), 1)
     often = np.bincount(feature, minlength=1 << BITS) > 1  # an n-gram of one text says nothing about others
     row, feature = row[often[feature]], feature[often[feature]]
     mass = np.bincount(feature, weight[row], 1 << BITS)
-    used = np.flatnonzero(mass)
-    place_of = np.zeros(1 << BITS, np.int64)
-    place_of[used] = np.arange(len(used))
+    used, group, first = alike(row, feature, len(rows))
+    many = np.bincount(group, minlength=len(first))
+    place_of = np.full(1 << BITS, -1)
+    place_of[first] = np.arange(len(first))
     local = place_of[feature]
+    row, local = row[local >= 0], local[local >= 0]
+    root = np.sqrt(count)
+    whole = both_ways(row, local, len(rows), len(first))
     table, bias = np.zeros((1 << BITS, len(KINDS)), np.float32), np.zeros(len(KINDS))
     for k in range(len(KINDS)):
         y = (kind == k).astype(float)
         if not y.any():
             bias[k] = -10.0
             continue
-        pos = np.bincount(local, (y * weight)[row], len(used)) + SMOOTH
-        neg = np.bincount(local, ((1 - y) * weight)[row], len(used)) + SMOOTH
+        pos, neg = whole[1](y * weight) + SMOOTH, whole[1]((1 - y) * weight) + SMOOTH
         # log-count ratio of shares
         ratio = np.log((pos / ((y * weight).sum() + 2 * SMOOTH)) / (neg / (((1 - y) * weight).sum() + 2 * SMOOTH)))
         # n-grams about as frequent in both say nothing
-        tells = np.flatnonzero(np.abs(ratio[local]) >= LEAST_RATIO)
+        tells = np.where(np.abs(ratio) >= LEAST_RATIO, ratio, 0)
         turns = np.zeros(len(rows), bool) if easy is None else easy & (y == 0)
         slices = int(np.clip(turns.sum() // SLICE_ROWS, 1, SLICES))
         part = np.where(turns, (np.cumsum(turns) - 1) % slices, -1)
         balance = weight * np.where(y > 0, ((1 - y) * weight).sum() / max((y * weight).sum(), 1e-9), 1.0) ** BALANCE
         balance = balance / balance.sum() * np.where(turns, slices, 1)
-        batches = []
-        for n in range(slices):
-            mine = np.flatnonzero((part < 0) | (part == n))
-            place = np.full(len(rows), -1)
-            place[mine] = np.arange(len(mine))
-            at = tells[place[row[tells]] >= 0]
-            batches.append((place[row[at]], local[at], ratio[local[at]] / np.sqrt(count)[row[at]], balance[mine], y[mine]))
-        w, b = np.full(len(used), 0.3), -1.0
-        g2, gb2 = np.full(len(used), 1e-8), 1e-8
+        batches = [(whole, root, balance, y)]
+        if slices > 1:
+            batches = []
+            for n in range(slices):
+                mine = np.flatnonzero((part < 0) | (part == n))
+                place = np.full(len(rows), -1)
+                place[mine] = np.arange(len(mine))
+                at = place[row] >= 0
+                batches.append((both_ways(place[row[at]], local[at], len(mine), len(first)), root[mine], balance[mine], y[mine]))
+        w, b = np.full(len(first), 0.3), -1.0
+        g2, gb2 = np.full(len(first), 1e-8), 1e-8
         for step in range(STEPS):
-            at, own, x, share, true = batches[step % slices]
-            z = np.bincount(at, x * w[own], len(true)) + b
+            (by_row, by_column), size, share, true = batches[step % slices]
+            z = by_row(many * tells * w) / size + b
             d = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - true)
-            g = np.bincount(own, x * d[at], len(used)) + PENALTY * (w - 0.3) / len(used) ** 0.5
+            g = tells * by_column(d / size) + PENALTY * (w - 0.3) / len(used) ** 0.5
             g2 += g * g
             gb2 += d.sum() ** 2
             w -= 0.15 * g / np.sqrt(g2)
             b -= 0.5 * d.sum() / np.sqrt(gb2)
-        table[used, k] = np.where(np.abs(ratio) >= LEAST_RATIO, w * ratio, 0)
+        table[used, k] = (w * tells)[group]
         bias[k] = b
     return Model(table, bias), mass
 
@@ -359,7 +452,7 @@ def tallied(seen: DataFrame, verdict: DataFrame) -> DataFrame:
 
     def make():
         def work(part, texts):
-            rows = [framed(t) for t in texts]
+            rows = framed(texts)
             return {"key": part.column("key"), "frame": [f for _, f in rows], "text": [t for t, _ in rows]} | {c: part.column(c) for c in ("places", *_MARKS)}
 
         return work
@@ -461,17 +554,19 @@ def said(tallies: DataFrame, base: float) -> DataFrame:
     return tallies.select("key", "frame").join(loud, "frame").select("key", (F.col("x") - F.signum("x") * TOLD).alias("said"))
 
 
-def scores(docs: DataFrame, model: Model, seen: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+def scores(docs: DataFrame, model: Model, seen: DataFrame | None = None, reviews: DataFrame | None = None, tallies: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, abuse, hate, sexual): the probabilities of each document's worst sentence; each sentence of the corpus is scored once.
 
-    ``reviews`` (``said``) clear a sentence of all kinds, or speak for its likeliest one.
+    ``reviews`` (``said``) clear a sentence of all kinds, or speak for its likeliest one. ``tallies`` (``tallied``) have the sentences
+    undisguised already, all but those of one sign, which are of no kind.
     """
-    seen = read(docs) if seen is None else seen
+    seen, raw = read(docs) if seen is None else seen, tallies is None
 
     def make():
         def work(part, texts):
-            clear = [cleared_up(rough(t)) for t in texts]
-            p = model.probabilities(clear)
+            clear = all_cleared_up([rough(t) for t in texts]) if raw else texts
+            at = {t: i for i, t in enumerate(dict.fromkeys(clear))}
+            p = model.probabilities(list(at))[[at[t] for t in clear]]
             x = np.array([v or 0.0 for v in part.column("said").to_pylist()])[:, None]
             x = np.where((x < 0) | (p == p.max(1, keepdims=True)), x, 0.0)
             p = np.where(x == 0, p, 1 / (1 + np.exp(-np.clip(_logit(p) + x, -30, 30)))) * np.array([[len(t) > 1] for t in clear])
@@ -479,7 +574,7 @@ def scores(docs: DataFrame, model: Model, seen: DataFrame | None = None, reviews
 
         return work
 
-    texts = _sentences(seen)
+    texts = _sentences(seen) if raw else tallies.select("key", "text")
     texts = texts.withColumn("said", F.lit(0.0)) if reviews is None else texts.join(reviews, "key", "left")
     each = map_batches(texts, "key bigint, abuse double, hate double, sexual double", ("text",), make)
     worst = seen.select("row", F.explode("units").alias("key")).join(each, "key").groupBy("row").agg(*(F.max(k).alias(k) for k in KINDS))

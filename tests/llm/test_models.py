@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,59 @@ def test_matches_sql(spark, name):
     got = queries.QUERIES[name](spark, small)
     assert sorted(got.columns) == columns
     assert sorted(str([r[k] for k in columns]) for r in got.collect()) == rows and rows
+
+
+def test_content_fit_counts_ngrams_of_the_same_rows_once(monkeypatch):
+    """The fit gathers groups of n-grams, not each n-gram, and gives what single n-grams give, over slices too."""
+    rng = np.random.default_rng(4)
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "9x", "ß"]
+    rows = [" ".join(rng.choice(words, rng.integers(1, 7))) for _ in range(300)] + [""]
+    texts = toxic.Features.of(rows)
+    kind, weight, easy = rng.integers(-1, 2, 301), rng.uniform(0.5, 3, 301), rng.random(301) < 0.7
+    monkeypatch.setattr(toxic, "SLICE_ROWS", 40)
+    sizes, make = [], toxic.both_ways
+    monkeypatch.setattr(toxic, "both_ways", lambda row, column, *n: sizes.append(len(row)) or make(row, column, *n))
+    for of in (easy, None):
+        sizes.clear()
+        model, mass = toxic.fit(texts, np.arange(301), kind, weight, of)
+        at, feature = texts.take(np.arange(301))
+        assert max(sizes) < 0.7 * len(feature)
+        x = np.zeros((301, 1 << toxic.BITS), bool)
+        x[at, feature] = True
+        used = np.flatnonzero(x.sum(0) > 1)
+        x = x[:, used].astype(float)
+        root = np.sqrt(np.maximum(np.bincount(at, minlength=301), 1))
+        assert np.allclose(mass[used], weight @ x) and mass.sum() == pytest.approx((weight @ x).sum())
+        for k in (0, 1):
+            y = (kind == k).astype(float)
+            p, q = (y * weight) @ x + toxic.SMOOTH, ((1 - y) * weight) @ x + toxic.SMOOTH
+            ratio = np.log(p / ((y * weight).sum() + 2 * toxic.SMOOTH) / (q / (((1 - y) * weight).sum() + 2 * toxic.SMOOTH)))
+            ratio[np.abs(ratio) < toxic.LEAST_RATIO] = 0
+            turns = np.zeros(301, bool) if of is None else of & (y == 0)
+            slices = min(max(turns.sum() // 40, 1), toxic.SLICES)
+            part = np.where(turns, (np.cumsum(turns) - 1) % slices, -1)
+            share = weight * np.where(y > 0, ((1 - y) * weight).sum() / (y * weight).sum(), 1.0) ** toxic.BALANCE
+            share = share / share.sum() * np.where(turns, slices, 1)
+            w, b, g2, gb2 = np.full(len(used), 0.3), -1.0, 1e-8, 1e-8
+            for step in range(toxic.STEPS):
+                d = share * (1 / (1 + np.exp(-(x @ (w * ratio) / root + b))) - y) * ((part < 0) | (part == step % slices))
+                g = ratio * (d / root @ x) + toxic.PENALTY * (w - 0.3) / len(used) ** 0.5
+                g2, gb2 = g2 + g * g, gb2 + d.sum() ** 2
+                w, b = w - 0.15 * g / np.sqrt(g2), b - 0.5 * d.sum() / np.sqrt(gb2)
+            assert np.allclose(model.table[used, k], w * ratio, atol=1e-5) and model.bias[k] == pytest.approx(b)
+            assert of is None or slices > 1
+
+
+def test_content_clears_equal_sentences_up_once(spark, content, monkeypatch):
+    """Equal sentences are undisguised once, and those of the tallies not again for their scores."""
+    seen, one = [], toxic.cleared_up
+    monkeypatch.setattr(toxic, "cleared_up", lambda t, *a: seen.append(t) or one(t, *a))
+    rows = ["y o u soooo b4d", "You SOOOO b4d.", "y o u soooo b4d", "aa4 bb", "plain  words", ""]
+    want = [toxic.undisguised(t) for t in rows]
+    seen.clear()
+    assert toxic.all_cleared_up([toxic.rough(t) for t in rows]) == want and len(seen) == 5
+    docs = spark.createDataFrame([(1, "The s-u-m is 12.5 here. Y0u are an idiot!", "a"), (2, "x. The s-u-m is 7 here.", None), (3, None, "a")], "doc_id bigint, text string, source string")
+    units = toxic.read(docs)
+    tallies = toxic.tallied(units, spark.createDataFrame([], "doc_id bigint, bad boolean"))
+    got, want = (sorted(map(tuple, toxic.scores(docs, content, units, None, t).collect()), key=str) for t in (tallies, None))
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want]) and [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 3
