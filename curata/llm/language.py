@@ -38,9 +38,10 @@ UNIT_WORDS, UNIT_CHARS = 3, 4
 SURE, CLOSE, FAR, LEAST_SCORE = 0.93, 0.3, 0.8, -0.6
 
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_SENTENCE = re.compile(r"[.!?。！？;；:：|()（）\[\]\"“”«»„「」『』>]+|\n(?:[^\S\x1c-\x1f]*\n)+")
+#: Patterns that begin with a set of signs are found fast; a single blank need not be replaced.
+_SENTENCE = re.compile(r"[.!?。！？;；:：|()（）\[\]\"“”«»„「」『』>\n](?:(?<!\n)[.!?。！？;；:：|()（）\[\]\"“”«»„「」『』>]*|(?<=\n)(?:[^\S\x1c-\x1f]*\n)+)")
 _UNIT = re.compile(r"[,，、—–]+")
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+_SPACE = re.compile(r"[^\S\x1c-\x1f](?:(?<! )[^\S\x1c-\x1f]*|[^\S\x1c-\x1f]+)")
 _LETTERS = re.compile(r"(?<![\w])[^\W\d_]{2,}(?:['’][^\W\d_]+)*|[^\W\d_](?=['’])|[àéyeoаи](?= )|[㐀-鿿]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)*")
 

@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import lang_label, map_batches, sample_limits, sampled
+from curata.llm.common import CHUNK_CHARS, chunks, lang_label, map_batches, sample_limits, sampled
 from curata.llm.language import prepared
 from curata.plans.lineage import cut
+from curata.plans.spread import spread
 
 #: Bound of the labelled sample: rows of a language for the word dictionary.
 ROWS_PER_LANG = 500
@@ -31,6 +34,8 @@ FREQUENT = 1e-5
 MOST_NEW, MOST_MISSING = 0.3, 0.35
 #: Bytes of an empty zstandard frame. Responses more than so many times longer than their prompt aren't the prompt alone.
 FRAME_BYTES, COPY_LENGTH = 10, 4
+#: A task keeps the languages of so many sentences of so many characters at most.
+KEPT, KEPT_CHARS = 100_000, 300
 #: Of a dictionary word's rate over the languages, its own language's share.
 SHARE_OF_WORD = 0.75
 #: A sentence may end after a context that is followed by an end in at least this share of its places.
@@ -174,53 +179,93 @@ class Contexts:
 
 
 _PIECE = re.compile(r"\d+(?:[.,/]\d+)*|[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_]+)*|[.!?。！？…;；:：,，、]+|\n+|[^\s\w]")
+#: A number of a text, and a sentence with the signs that end it: after these no context goes on.
+_NUMERAL = re.compile(r"\d+(?:[.,/]\d+)*")
+_STRETCH = re.compile(r"(?:[^.!?。！？;；:：\n…，,、]+|[…，,、][.!?。！？…;；:：，,、]*)*+(?:[.!?。！？;；:：][.!?。！？…;；:：，,、]*|\n+|\Z)")
 _FORMULA = re.compile(r"\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)", re.S)
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 
 
 def pieces(text: str) -> list[str]:
     """Words, numbers as 0, closed formulas as §, signs."""
-    t = _FORMULA.sub(" § ", _CODE.sub("\n\n", _TAG.sub("\n\n", text))).lower()
-    return ["0" if x[0].isdigit() else x for x in _PIECE.findall(t)]
+    return _pieces(_cleared(text))
+
+
+def _cleared(text: str) -> str:
+    return _FORMULA.sub(" § ", _CODE.sub("\n\n", _TAG.sub("\n\n", text))).lower()
+
+
+def _pieces(cleared: str) -> list[str]:
+    return ["0" if x[0].isdigit() else x for x in _PIECE.findall(cleared)]
 
 
 def _word(x: str) -> bool:
     return x[0].isalnum() or x == "§"
 
 
+class Sentences:
+    """Sentences of texts, numbers aside, as often as they occur. No context reaches over the end of one, so equal ones are taken apart once."""
+
+    def __init__(self):
+        self.often: Counter[str] = Counter()
+        self.lasts: Counter[tuple[str, bool]] = Counter()
+
+    def add(self, texts: list[str]) -> Sentences:
+        for t in texts:
+            *own, _ = _STRETCH.findall(_NUMERAL.sub("0", _cleared(t)))  # the last one is the empty end
+            if own:
+                self.lasts[own.pop(), bool(_BOX.search(t))] += 1
+            self.often.update(own)
+        return self
+
+    def chars(self) -> int:
+        return sum(map(len, self.often)) + sum(len(x) for x, _ in self.lasts)
+
+    def contexts(self) -> dict[str, list[int]]:
+        """(places, ends) of 1 to 3 words; the end of a text counts as one only if it has a box or its own full stop."""
+        seen: dict[str, list[int]] = {}
+        for (sentence, done), times in chain((((x, True), n) for x, n in self.often.items()), self.lasts.items()):
+            p = _pieces(sentence)
+            last = len(p) - 1
+            two = one = ""
+            for k, x in enumerate(p):
+                if not _word(x):
+                    continue
+                if k == last and not done:
+                    break
+                ends = times if k == last or p[k + 1][0] in ".!?。！？;；\n" else 0
+                pair = f"{one} {x}" if one else ""
+                for w in (x, pair, f"{two} {x}" if two else ""):
+                    if w:
+                        if (c := seen.get(w)) is None:
+                            seen[w] = [times, ends]
+                        else:
+                            c[0] += times
+                            c[1] += ends
+                two, one = pair, x
+        return seen
+
+
 def context_counts(texts: list[str]) -> dict[str, list[int]]:
-    """(places, ends) of 1 to 3 words; the end of a text counts as one only if it has a box or its own full stop."""
-    seen: dict[str, list[int]] = {}
-    for t in texts:
-        p = pieces(t)
-        done = bool(_BOX.search(t))
-        run: list[str] = []
-        for k, x in enumerate(p):
-            if not _word(x):
-                run = [] if x[0] in ".!?。！？\n:：;；" else run
-                continue
-            run.append(x)
-            follow = p[k + 1] if k + 1 < len(p) else ""
-            if not follow and not done:
-                continue
-            end = not follow or follow[0] in ".!?。！？;；\n"
-            for n in (1, 2, 3):
-                if len(run) >= n:
-                    c = seen.setdefault(" ".join(run[-n:]), [0, 0])
-                    c[0] += 1
-                    c[1] += end
-    return seen
+    """(places, ends) of 1 to 3 words in these texts."""
+    return Sentences().add(texts).contexts()
 
 
 def contexts(df: DataFrame, text_col: str, whole: Column) -> Contexts:
     """Counted over all texts that are whole; of the counts those come here that some text's last words ask for, and frequent ones for other texts."""
 
-    def count():
-        def work(part, texts):
-            seen = context_counts([t for t in texts if t])
-            return {"context": list(seen), "places": [a for a, _ in seen.values()], "ends": [b for _, b in seen.values()]}
+    def count(batches):
+        def stated(sentences):
+            seen = sentences.contexts()
+            return pa.RecordBatch.from_pydict({"context": pa.array(seen, pa.string()), "places": pa.array([a for a, _ in seen.values()], pa.int64()), "ends": pa.array([b for _, b in seen.values()], pa.int64())})
 
-        return work
+        sentences = Sentences()
+        for batch in batches:
+            for _, (texts,) in chunks(batch, text_col):
+                if sentences.add([t for t in texts if t]).chars() >= CHUNK_CHARS:
+                    yield stated(sentences)
+                    sentences = Sentences()
+        yield stated(sentences)
 
     def ask():
         def work(part, texts):
@@ -230,7 +275,7 @@ def contexts(df: DataFrame, text_col: str, whole: Column) -> Contexts:
         return work
 
     asked = map_batches(df.select(text_col), "context string", (text_col,), ask).distinct()
-    counts = map_batches(df.where(whole).select(text_col), "context string, places bigint, ends bigint", (text_col,), count).groupBy("context").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
+    counts = spread(df.where(whole).select(text_col)).mapInArrow(count, "context string, places bigint, ends bigint").groupBy("context").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
     counts = cut(counts.where((F.col("places") > 1) | ~F.col("context").contains(" ")))
     total = counts.where(~F.col("context").contains(" ")).agg(F.sum("places")).first()[0] or 0
     rows = counts.join(asked.withColumn("asked", F.lit(True)), "context", "left").where(F.col("asked") | (F.col("places") >= FREQUENT * total)).collect()
@@ -300,9 +345,21 @@ class Dictionary:
     """Words that belong to one language."""
 
     words: dict[str, str]
+    #: Languages of sentences met before.
+    known: dict[str, str | None] = field(default_factory=dict, compare=False, repr=False)
 
     def language(self, sentence: str) -> str | None:
         """The language of most of a sentence's known words; None if they are too few or tie. A Chinese character is a word."""
+        if sentence in self.known:
+            return self.known[sentence]
+        language = self._voted(sentence)
+        if len(sentence) <= KEPT_CHARS:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            self.known[sentence] = language
+        return language
+
+    def _voted(self, sentence: str) -> str | None:
         found = _TOKEN.findall(sentence)
         if sum((len(w) > 1 or w >= "㐀") and not w[0].isdigit() for w in found) < 2:
             return None

@@ -267,3 +267,57 @@ def test_content_clears_equal_sentences_up_once(spark, content, monkeypatch):
     tallies = toxic.tallied(units, spark.createDataFrame([], "doc_id bigint, bad boolean"))
     got, want = (sorted(map(tuple, toxic.scores(docs, content, units, None, t).collect()), key=str) for t in (tallies, None))
     assert np.allclose([r[2:] for r in got], [r[2:] for r in want]) and [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 3
+
+
+def counted_plainly(texts):
+    """Contexts counted word by word over whole texts."""
+    seen = {}
+    for t in texts:
+        p, run = pairs.pieces(t), []
+        for k, x in enumerate(p):
+            follow = p[k + 1] if k + 1 < len(p) else ""
+            if not pairs._word(x):
+                run = [] if x[0] in ".!?。！？\n:：;；" else run
+                continue
+            run.append(x)
+            if follow or pairs._BOX.search(t):
+                for n in range(1, min(len(run), 3) + 1):
+                    c = seen.setdefault(" ".join(run[-n:]), [0, 0])
+                    c[0] += 1
+                    c[1] += not follow or follow[0] in ".!?。！？;；\n"
+    return seen
+
+
+def test_contexts_take_equal_sentences_apart_once(spark, monkeypatch):
+    """Sentences equal but for numbers are taken apart once, over all slices of a task, and the counts are those of every word."""
+    rng, words = np.random.default_rng(6), ["the", "sum", "3.5", "1,000", "²", "٣", "don't", "co-op", "文", "a_b", "$x$", "$", "```", "\\boxed{5}", ".5", "x2", ""]
+    ends = [" ", " ", ". ", ", ", "…,.", ",.", ";", "：", "。", "\n", "\n\n", "?!", "，。", ""]
+    odd = ["".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.integers(0, 14))) for _ in range(2000)] + ["word " * 100_000]
+    assert pairs.context_counts(odd) == counted_plainly(odd)
+    taken, take = [], pairs._pieces
+    monkeypatch.setattr(pairs, "_pieces", lambda t: taken.append(t) or take(t))
+    texts = [f"The value is {k}.5 here. So it goes" for k in range(500)] + [None, ""]
+    got = pairs.context_counts([t for t in texts if t])
+    assert len(taken) == 2 and got["value is 0"] == [500, 0] and got["here"] == [500, 500] and "goes" not in got
+    monkeypatch.setattr(pairs, "CHUNK_CHARS", 60)
+    model = pairs.contexts(spark.createDataFrame([(t,) for t in texts], "output string"), "output", F.lit(True))
+    assert model.seen["is 0 here"] == (500, 500) and model.seen["so it"] == (500, 0)
+
+
+def test_languages_of_equal_sentences_are_found_once(monkeypatch):
+    words = pairs.Dictionary({"und": "de", "der": "de", "the": "en", "of": "en"})
+    asked, voted = [], pairs.Dictionary._voted
+    monkeypatch.setattr(pairs.Dictionary, "_voted", lambda self, s: asked.append(s) or voted(self, s))
+    monkeypatch.setattr(pairs, "KEPT", 2)
+    rows = ["und der rest", "the rest of it", "nothing known", "und der rest", "und der rest", "the und"]
+    assert [words.language(s) for s in rows] == ["de", "en", None, "de", "de", None]
+    assert asked == ["und der rest", "the rest of it", "nothing known", "und der rest", "the und"] and len(words.known) <= 2
+
+
+def test_prepared_as_by_plain_patterns():
+    plain_sentence = language.re.compile(r"[.!?。！？;；:：|()（）\[\]\"“”«»„「」『』>]+|\n(?:[^\S\x1c-\x1f]*\n)+")
+    plain_space, rng = language.re.compile(r"[^\S\x1c-\x1f]+"), np.random.default_rng(8)
+    for _ in range(2000):
+        t = "".join(rng.choice(list("ab é.!?;|(]\"“>\n\n\n \t\r\x0b\x1c\x85\xa0　12,—"), 25))
+        want = plain_space.sub(" ", language._UNIT.sub("\x1f", plain_sentence.sub("\x1e", language._NUMBER.sub("0", language.NOT_PROSE.sub(" ", t))))).lower()
+        assert language.prepared([t]) == want
